@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import documents
 from weftline.llm.mixing import mix_documents
+from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
 
 SHARDS = 8
@@ -23,9 +24,14 @@ def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op9_shard_documents": op9_shard_documents,
+    "op10_pack_documents": op10_pack_documents,
 }
 
 ORACLES: dict[str, str] = {}
