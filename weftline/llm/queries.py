@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import documents
+from weftline.llm.fingerprints import fingerprint_documents
 from weftline.llm.mixing import mix_documents
 from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
@@ -15,6 +16,10 @@ from weftline.llm.sharding import shard_documents
 SHARDS = 8
 
 
+def op3_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_documents(documents(spark, sf_dir))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_documents(documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -29,6 +34,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_fingerprint_documents": op3_fingerprint_documents,
     "op4_mix_sources": op4_mix_sources,
     "op9_shard_documents": op9_shard_documents,
     "op10_pack_documents": op10_pack_documents,
