@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import documents
 from weftline.llm.fingerprints import fingerprint_documents
+from weftline.llm.language import identify_documents
 from weftline.llm.mixing import mix_documents
 from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
@@ -25,6 +26,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_documents(documents(spark, sf_dir))
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
@@ -36,6 +41,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint_documents": op3_fingerprint_documents,
     "op4_mix_sources": op4_mix_sources,
+    "op6_identify_language": op6_identify_language,
     "op9_shard_documents": op9_shard_documents,
     "op10_pack_documents": op10_pack_documents,
 }
