@@ -13,6 +13,7 @@ from weftline.llm.language import identify_documents
 from weftline.llm.mixing import mix_documents
 from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
+from weftline.llm.topk import search_embeddings
 
 SHARDS = 8
 
@@ -26,6 +27,10 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_search_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(documents(spark, sf_dir))
 
@@ -41,6 +46,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_fingerprint_documents": op3_fingerprint_documents,
     "op4_mix_sources": op4_mix_sources,
+    "op5_search_top_k": op5_search_top_k,
     "op6_identify_language": op6_identify_language,
     "op9_shard_documents": op9_shard_documents,
     "op10_pack_documents": op10_pack_documents,
@@ -72,3 +78,16 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * least(whole + CASE WHEN upto - size / 2 < budget THEN 1 ELSE 0 END, 3) AS BIGINT) AS taken
 FROM r
 """
+
+ORACLES["op5_search_top_k"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
