@@ -11,6 +11,7 @@ from weftline.llm.common import documents
 from weftline.llm.fingerprints import fingerprint_documents
 from weftline.llm.language import identify_documents
 from weftline.llm.mixing import mix_documents
+from weftline.llm.near_dedup import near_duplicates
 from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
 from weftline.llm.topk import search_embeddings
@@ -35,6 +36,10 @@ def op6_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(documents(spark, sf_dir))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), words_per_shingle=2, percent=80)
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
@@ -48,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_search_top_k": op5_search_top_k,
     "op6_identify_language": op6_identify_language,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_shard_documents": op9_shard_documents,
     "op10_pack_documents": op10_pack_documents,
 }
