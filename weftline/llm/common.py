@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -38,6 +39,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of what no DataFrame holds any more: Spark deletes shuffle files when the driver collects garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(df: DataFrame) -> int:
     """Shuffle partitions for work on df: the session's setting, more where the input's estimated size asks for it."""
     held = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

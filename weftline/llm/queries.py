@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import documents
 from weftline.llm.fingerprints import fingerprint_documents
+from weftline.llm.katz import score_corpus
 from weftline.llm.language import identify_documents
 from weftline.llm.mixing import mix_documents
 from weftline.llm.near_dedup import near_duplicates
@@ -19,6 +20,10 @@ from weftline.llm.topk import search_embeddings
 SHARDS = 8
 
 
+def op1_score_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(documents(spark, sf_dir))
+
+
 def op3_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -49,6 +54,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_score_katz": op1_score_katz,
     "op3_fingerprint_documents": op3_fingerprint_documents,
     "op4_mix_sources": op4_mix_sources,
     "op5_search_top_k": op5_search_top_k,
