@@ -61,3 +61,37 @@ def by_bucket(bucket: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A stable order that groups records by bucket, and n + 1 offsets."""
     order = np.argsort(bucket.astype(np.uint16 if n <= 1 << 16 else np.int64), kind="stable")
     return order, np.concatenate(([0], np.cumsum(np.bincount(bucket, minlength=n))))
+
+
+#: A packed row: its kind, the partition it goes to, the block it concerns.
+ROWS = "kind int, bucket int, block long, payload binary"
+
+
+def packed_rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
+    kind, bucket, block, payload = zip(*rows) if rows else ([], [], [], [])
+    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(payload, pa.binary())], ["kind", "bucket", "block", "payload"])
+
+
+def groups(*keys: np.ndarray) -> np.ndarray:
+    """Starts of the runs of equal records in sorted columns."""
+    new = np.ones(len(keys[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
+def range_bucket(keys: np.ndarray, n: int) -> np.ndarray:
+    """Bucket of 48-bit keys by range, so that sorted keys are sorted by bucket too."""
+    return ((keys * np.uint64(n)) >> np.uint64(48)).astype(np.int64)
+
+
+def differences(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=x.dtype.type(0)) if len(x) else x
+
+
+def at_keys(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of keys among sorted ones, and whether they are there."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys

@@ -38,14 +38,13 @@ from pyspark.sql import functions as F
 
 from weftline.llm.arrays import U64, lower_ascii, mix64, slices, word_hashes, words
 from weftline.llm.common import partitions, pick, release, shared_dir
-from weftline.llm.exchange import deal, pack, unpack
+from weftline.llm.exchange import ROWS, at_keys, deal, differences, groups, pack, packed_rows, range_bucket, unpack
 
 BEGIN, END, FIRST_WORD = 0, 1, 2
 TOP, RESERVE = 5, 0.05
 #: Text bytes whose n-grams are merged before they are sent.
 BLOCK_BYTES = 12 << 20
 _POINT, _SHARE = float(1 << 32), float(1 << 50)
-_ROWS = "kind int, bucket int, block long, payload binary"
 
 
 @dataclass
@@ -85,35 +84,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iter
         yield flush()
 
 
-def _groups(*keys: np.ndarray) -> np.ndarray:
-    """Starts of the runs of equal records in sorted columns."""
-    new = np.ones(len(keys[0]), bool)
-    if len(new):
-        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
-    return np.flatnonzero(new)
-
-
-def _bucket(word: np.ndarray, n: int) -> np.ndarray:
-    return ((word * U64(n)) >> U64(48)).astype(np.int64)
-
-
-def _rows(rows: list[tuple[int, int, int, bytes]]) -> pa.RecordBatch:
-    kind, bucket, block, payload = zip(*rows) if rows else ([], [], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(bucket, pa.int32()), pa.array(block, pa.int64()), pa.array(payload, pa.binary())], ["kind", "bucket", "block", "payload"])
-
-
-def _differences(x: np.ndarray) -> np.ndarray:
-    return np.diff(x, prepend=x.dtype.type(0)) if len(x) else x
-
-
-def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of keys, and whether they are there."""
-    if not len(sorted_keys):
-        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-    return at, sorted_keys[at] == keys
-
-
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     """d for counts 0 .. TOP from the numbers of types with count 0 .. TOP + 1: Katz's formula, or absolute discounting where
     the counts of counts are too irregular for it to give values in (0, 1]."""
@@ -155,10 +125,10 @@ def _count_words(docs: DataFrame, n: int) -> Figures:
         for b in _blocks(batches):
             train = ~b.held[b.doc]
             word, count = np.unique(b.word[train], return_counts=True)
-            cut = np.searchsorted(_bucket(word, n), np.arange(n + 1))
+            cut = np.searchsorted(range_bucket(word, n), np.arange(n + 1))
             texts = np.array([int((~b.held).sum())], np.int64)
-            out = [(0, k, 0, pack(_differences(word[i:j]), count[i:j].astype(np.uint32))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
-            yield _rows([*out, (1, 0, 0, pack(texts))])
+            out = [(0, k, 0, pack(differences(word[i:j]), count[i:j].astype(np.uint32))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
+            yield packed_rows([*out, (1, 0, 0, pack(texts))])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, texts = [], 0
@@ -175,13 +145,13 @@ def _count_words(docs: DataFrame, n: int) -> Figures:
         count = np.concatenate([c for _, c in got]).astype(np.int64) if got else np.zeros(0, np.int64)
         order = np.argsort(word)
         word, count = word[order], count[order]
-        at = _groups(word)
+        at = groups(word)
         word, count = word[at], np.add.reduceat(count, at) if len(at) else count
         of = np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)
         top = np.argsort(-count, kind="stable")[: 4 * n]
-        yield _rows([(0, 0, 0, pack(np.array([count.sum(), len(word), texts], np.int64), of, word[top], count[top]))])
+        yield packed_rows([(0, 0, 0, pack(np.array([count.sum(), len(word), texts], np.int64), of, word[top], count[top]))])
 
-    rows = deal(docs.mapInArrow(send, _ROWS), n).mapInArrow(merge, _ROWS)
+    rows = deal(docs.mapInArrow(send, ROWS), n).mapInArrow(merge, ROWS)
     # A partition's most frequent words come along; those below the threshold are dropped before they reach the driver.
     total, texts, of, hot = np.zeros(2, np.int64), 0, np.zeros(TOP + 3, np.int64), []
     for r in rows.select("payload").toLocalIterator():
@@ -220,13 +190,13 @@ def _send_bigrams(docs: DataFrame, n: int, figures: Figures) -> DataFrame:
             out = [(DOCS, block % n, block, pack(b.ids.fill_null(0).to_numpy(), null.astype(np.uint8), b.held.astype(np.uint8), tokens))]
             order = np.lexsort((b.history, b.word))
             word, history, doc = b.word[order], b.history[order], b.doc[order]
-            at = _groups(word, history, doc)
+            at = groups(word, history, doc)
             times = np.diff(np.append(at, len(word))).astype(np.uint32)
             word, history, doc = word[at], history[at], doc[at]
-            pair = _groups(word, history)
-            where = _bucket(word[pair], n)
-            _, is_hot = _at(hot, word[pair])
-            where[is_hot] = _bucket(mix64(history[pair][is_hot] ^ (word[pair][is_hot] << U64(7))) >> U64(16), n)
+            pair = groups(word, history)
+            where = range_bucket(word[pair], n)
+            _, is_hot = at_keys(hot, word[pair])
+            where[is_hot] = range_bucket(mix64(history[pair][is_hot] ^ (word[pair][is_hot] << U64(7))) >> U64(16), n)
             lists = np.diff(np.append(pair, len(word)))
             order = np.argsort(where, kind="stable")
             cut = np.searchsorted(where[order], np.arange(n + 1))
@@ -237,12 +207,12 @@ def _send_bigrams(docs: DataFrame, n: int, figures: Figures) -> DataFrame:
                     continue
                 take = np.repeat(pair[mine] - np.cumsum(lists[mine]) + lists[mine], lists[mine]) + np.arange(int(lists[mine].sum()))
                 w = word[pair[mine]]
-                run_at = _groups(w)
+                run_at = groups(w)
                 h = history[pair[mine]]
-                out.append((BIGRAMS, k, block, pack(_differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (h >> U64(32)).astype(np.uint16), h.astype(np.uint32), lists[mine].astype(np.uint32), doc[take].astype(np.uint32), times[take], held)))
-            yield _rows(out)
+                out.append((BIGRAMS, k, block, pack(differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (h >> U64(32)).astype(np.uint16), h.astype(np.uint32), lists[mine].astype(np.uint32), doc[take].astype(np.uint32), times[take], held)))
+            yield packed_rows(out)
 
-    return docs.mapInArrow(run, _ROWS)
+    return docs.mapInArrow(run, ROWS)
 
 
 def _meet(n: int, f: Figures):  # noqa: ANN202
@@ -270,15 +240,15 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
         del parts
         order = np.lexsort((history, word))
         kind = np.empty(len(order), np.int64)  # the type (distinct bigram) of each record
-        at = _groups(word[order], history[order])
+        at = groups(word[order], history[order])
         kind[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         word, history = word[order][at], history[order][at]
         of = np.repeat(kind, lists)
         count = np.bincount(of, np.where(train[doc], times, 0), len(word)).astype(np.int64)
-        w_at = _groups(word)
+        w_at = groups(word)
         w_type = np.repeat(np.arange(len(w_at)), np.diff(np.append(w_at, len(word))))
         w_count = np.add.reduceat(count, w_at)
-        k, is_hot = _at(f.hot, word[w_at])
+        k, is_hot = at_keys(f.hot, word[w_at])
         if len(f.hot):
             w_count = np.where(is_hot, f.hot_counts[k], w_count)
         own = w_count[w_type]
@@ -294,37 +264,37 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
             has = np.flatnonzero(terms[1][s] != 0) if len(blocks) else None
             has = np.union1d(has, np.flatnonzero(terms[0][s] != 0))
             out.append((SUMS, block % n, block, pack(has.astype(np.uint32), *(np.rint(x[s][has] * _POINT).astype(np.int64) for x in terms[:2]), terms[2][s][has].astype(np.uint32), *(x[s][has].astype(np.uint32) for x in small))))
-        yield _rows(out)
+        yield packed_rows(out)
         # Histories: what their backoff weights need of the types met here.
         seen = np.flatnonzero(count)
         share = np.rint(f.share(own[seen]) * _SHARE).astype(np.int64)
         order = np.argsort(history[seen], kind="stable")
         h, c, share = history[seen][order], count[seen][order], share[order]
-        at = _groups(h)
+        at = groups(h)
         if len(at):
             sums = [np.add.reduceat(x, at) for x in (c, share, *((c == r).astype(np.int64) for r in range(1, TOP + 1)))]
             h = h[at]
-            _, is_hot = _at(f.hot, h)
+            _, is_hot = at_keys(f.hot, h)
             is_hot |= h == BEGIN
-            yield _rows([(HOT, 0, 0, pack(h[is_hot], *(x[is_hot] for x in sums)))])
+            yield packed_rows([(HOT, 0, 0, pack(h[is_hot], *(x[is_hot] for x in sums)))])
             h, sums = h[~is_hot], [x[~is_hot] for x in sums]
-            cut = np.searchsorted(_bucket(h, n), np.arange(n + 1))
-            yield _rows([(HISTORIES, k, 0, pack(_differences(h[i:j]), *(x[i:j] for x in sums))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i])
+            cut = np.searchsorted(range_bucket(h, n), np.arange(n + 1))
+            yield packed_rows([(HISTORIES, k, 0, pack(differences(h[i:j]), *(x[i:j] for x in sums))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i])
         # Bigrams not seen: their histories, by block.
         unseen = np.flatnonzero(count[of] == 0)
         h, d, t = history[of[unseen]], doc[unseen], times[unseen]
         block_of = np.searchsorted(first, d, "right") - 1
-        where = _bucket(h, n)
-        _, is_hot = _at(f.hot, h)
+        where = range_bucket(h, n)
+        _, is_hot = at_keys(f.hot, h)
         is_hot |= h == BEGIN
         where[is_hot] = (mix64(d[is_hot].astype(U64)) % U64(n)).astype(np.int64)  # their weights are known everywhere
         order = np.lexsort((h, block_of, where))
         h, d, t, block_of, where = h[order], d[order], t[order], block_of[order], where[order]
-        at = np.append(_groups(where, block_of), len(h)) if len(h) else np.zeros(1, np.int64)
-        yield _rows([(UNSEEN, int(where[i]), blocks[block_of[i]], pack(_differences(h[i:j]), (d[i:j] - first[block_of[i]]).astype(np.uint32), t[i:j].astype(np.uint32))) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
-        yield _rows([(COUNTS, 0, 0, pack(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)))])
-        w, run_at = word[seen], _groups(word[seen])
-        yield _rows([(TABLE, 0, 0, pack(_differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (history[seen] >> U64(32)).astype(np.uint16), history[seen].astype(np.uint32), count[seen].astype(np.uint32)))])
+        at = np.append(groups(where, block_of), len(h)) if len(h) else np.zeros(1, np.int64)
+        yield packed_rows([(UNSEEN, int(where[i]), blocks[block_of[i]], pack(differences(h[i:j]), (d[i:j] - first[block_of[i]]).astype(np.uint32), t[i:j].astype(np.uint32))) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+        yield packed_rows([(COUNTS, 0, 0, pack(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)))])
+        w, run_at = word[seen], groups(word[seen])
+        yield packed_rows([(TABLE, 0, 0, pack(differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (history[seen] >> U64(32)).astype(np.uint16), history[seen].astype(np.uint32), count[seen].astype(np.uint32)))])
 
     return run
 
@@ -351,14 +321,14 @@ def _back_off(n: int, f: Figures, hot: np.ndarray, hot_weights: np.ndarray, d: n
             h = np.concatenate([k[0] for k in known])
             order = np.argsort(h, kind="stable")
             h = h[order]
-            at = _groups(h)
+            at = groups(h)
             weight = _weights([np.add.reduceat(np.concatenate([k[2][i] for k in known])[order], at) for i in range(TOP + 2)], d)
             h = h[at]
         out: dict[int, list] = {}
         for keys, block, (doc, times) in asked:
             value = np.zeros(len(keys))
             for table, w in ((h, weight), (hot, hot_weights)):
-                at, there = _at(table, keys)
+                at, there = at_keys(table, keys)
                 if len(table):
                     value += np.where(there, w[at], 0)
             out.setdefault(block, []).append((doc, value * times))
@@ -368,7 +338,7 @@ def _back_off(n: int, f: Figures, hot: np.ndarray, hot_weights: np.ndarray, d: n
             has, at = np.unique(doc, return_inverse=True)
             nothing = np.zeros(len(has), np.int64)
             rows.append((SUMS, block % n, block, pack(has.astype(np.uint32), np.rint(np.bincount(at, value) * _POINT).astype(np.int64), nothing, *[nothing.astype(np.uint32)] * (TOP + 1))))
-        yield _rows(rows)
+        yield packed_rows(rows)
 
     return run
 
@@ -416,7 +386,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     figures = _count_words(docs, n)
     release(spark)
     path = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
-    met = deal(_send_bigrams(docs, n, figures), n).mapInArrow(_meet(n, figures), _ROWS)
+    met = deal(_send_bigrams(docs, n, figures), n).mapInArrow(_meet(n, figures), ROWS)
     met.write.partitionBy("kind").option("compression", "none").parquet(path)
     release(spark)
     schema = "bucket int, block long, payload binary, kind int"
@@ -432,7 +402,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     d = discounts(of[: TOP + 2])
     keys = np.array(sorted(hot), U64)
     weights = _weights(list(np.array([hot[int(k)] for k in keys]).T), d) if len(keys) else np.zeros(0)
-    late = deal(rows.filter(F.col("kind").isin(HISTORIES, UNSEEN)), n).mapInArrow(_back_off(n, figures, keys, weights, d), _ROWS)
+    late = deal(rows.filter(F.col("kind").isin(HISTORIES, UNSEEN)), n).mapInArrow(_back_off(n, figures, keys, weights, d), ROWS)
     return deal(rows.filter(F.col("kind").isin(DOCS, SUMS)).unionByName(late), n).mapInArrow(_finish(figures, d), _OUT)
 
 

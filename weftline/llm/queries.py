@@ -15,6 +15,7 @@ from weftline.llm.mixing import mix_documents
 from weftline.llm.near_dedup import near_duplicates
 from weftline.llm.packing import pack_documents
 from weftline.llm.sharding import shard_documents
+from weftline.llm.suffix_dedup import deduplicate_documents
 from weftline.llm.topk import search_embeddings
 
 SHARDS = 8
@@ -24,6 +25,10 @@ def op1_score_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_corpus(documents(spark, sf_dir))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_documents(documents(spark, sf_dir), 200)
+
+
 def op3_fingerprint_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint_documents(documents(spark, sf_dir))
 
@@ -55,6 +60,7 @@ def op10_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_score_katz": op1_score_katz,
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op3_fingerprint_documents": op3_fingerprint_documents,
     "op4_mix_sources": op4_mix_sources,
     "op5_search_top_k": op5_search_top_k,
