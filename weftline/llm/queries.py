@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.common import documents
+from weftline.llm.fm_dedup import deduplicate_documents_by_words
 from weftline.llm.fingerprints import fingerprint_documents
 from weftline.llm.katz import score_corpus
 from weftline.llm.language import identify_documents
@@ -50,6 +51,10 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), words_per_shingle=2, percent=80)
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate_documents_by_words(documents(spark, sf_dir), 20)
+
+
 def op9_shard_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(documents(spark, sf_dir), SHARDS)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_search_top_k": op5_search_top_k,
     "op6_identify_language": op6_identify_language,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_shard_documents": op9_shard_documents,
     "op10_pack_documents": op10_pack_documents,
 }
