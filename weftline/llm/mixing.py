@@ -13,8 +13,6 @@ gives no rows; further columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,16 +54,30 @@ def source_targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max
 
 
 def mix_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
-    """Every row with size, source_size, target and copies (how often the mix takes the whole document).
+    """Every row with doc_id, source, size, source_size, target and copies (how often the mix takes the whole document).
 
     The document at the boundary is kept if that brings its source nearer to the target, so a source misses its target by
     at most half that document.
     """
-    slim = pick(docs, "doc_id", "source", "text").select("doc_id", "source", word_count(F.col("text")).alias("size"), mix_key(F.col("doc_id")).alias("key"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("crc"))
-    return _mix(stored(slim, "mix"), weights, max_repeat)
+    slim = stored(_sized(pick(docs, "doc_id", "source", "text")).drop("text"), "mix")
+    return _apply(slim, _plan(slim, weights, max_repeat), max_repeat).select("doc_id", "source", "size", "source_size", "target", "copies")
+
+
+def mixed_rows(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
+    """The mix itself: docs' rows, whole, as often as the mix takes them. docs has unique column names."""
+    plan = _plan(stored(_sized(docs.select("doc_id", "source", "text")).drop("text"), "mix"), weights, max_repeat)
+    taken = _apply(_sized(docs), plan, max_repeat).filter(F.col("copies") > 0)
+    again = F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_again")
+    return taken.select(*docs.columns, again).drop("_again")
+
 
+def _sized(docs: DataFrame) -> DataFrame:
+    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    return docs.withColumns({"size": word_count(F.col("text")), "key": mix_key(F.col("doc_id")), "crc": crc})
 
-def _mix(slim: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
+
+def _plan(slim: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFrame:
+    """One row a source: target, whole repeats, the boundary key (prefix) and the budget left for the rows that have it."""
     sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sources, weights, max_repeat)
     size, target = F.col("source_size"), F.col("target")
@@ -81,20 +93,21 @@ def _mix(slim: DataFrame, weights: tuple[int, ...], max_repeat: int) -> DataFram
         hist = inside.groupBy("source", F.shiftright("key", left).alias("bucket")).agg(F.sum("size").alias("n"))
         run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
         hist = hist.withColumn("upto", F.sum("n").over(run)).withColumnRenamed("source", "s")
-        ends = plan.join(hist, F.col("source").eqNullSafe(F.col("s")) & (F.col("upto") <= F.col("budget")), "left")
-        past = F.max(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "upto")))
-        ends = ends.groupBy("source", "source_size", "target", "whole", "budget", "prefix").agg(past.alias("p"))
-        nxt = hist.groupBy("s").agg(F.sort_array(F.collect_list("bucket")).alias("held"))  # at most 2 ** LEVEL_BITS values
-        ends = ends.join(nxt, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        ends = plan.join(hist, F.col("source").eqNullSafe(F.col("s")), "left")
+        past = F.max(F.when(F.col("upto") <= F.col("budget"), F.struct("bucket", "upto"))).alias("p")
+        held = F.sort_array(F.collect_list("bucket")).alias("held")  # at most 2 ** LEVEL_BITS values
+        ends = ends.groupBy("source", "source_size", "target", "whole", "budget", "prefix").agg(past, held)
         later = F.filter("held", lambda b: F.col("p.bucket").isNull() | (b > F.col("p.bucket")))
         after = F.when(F.size(later) > 0, F.element_at(later, 1)).otherwise(F.shiftleft(F.col("prefix"), LEVEL_BITS) + (1 << LEVEL_BITS))
-        plan = stored(ends.select("source", "source_size", "target", "whole", (F.col("budget") - F.coalesce(F.col("p.upto"), F.lit(0))).alias("budget"), F.coalesce(after, F.shiftleft(F.col("prefix"), LEVEL_BITS)).alias("prefix")), "mix-plan")
-    # Below the threshold: in. In the last bucket (rows that share all the key's bits): by rank, while it brings the sum nearer.
-    joined = slim.join(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "budget", "prefix"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    out = ["doc_id", "source", "size", "source_size", "target"]
-    clear = joined.filter(F.col("key") != F.col("prefix")).select(*out, (F.col("whole") + F.when(F.col("key") < F.col("prefix"), 1).otherwise(0)).alias("copies"))
+        plan = stored(ends.select("source", "source_size", "target", "whole", (F.col("budget") - F.coalesce(F.col("p.upto"), F.lit(0))).alias("budget"), after.alias("prefix")), "mix-plan")
+    return plan
+
+
+def _apply(rows: DataFrame, plan: DataFrame, max_repeat: int) -> DataFrame:
+    """rows with the plan's figures and copies. Below the boundary key: in. At it: by rank, while it brings the sum nearer."""
+    joined = rows.join(plan.select(F.col("source").alias("s"), "source_size", "target", "whole", "budget", "prefix"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    clear = joined.filter(F.col("key") != F.col("prefix")).withColumn("more", F.when(F.col("key") < F.col("prefix"), 1).otherwise(0))
     edge = Window.partitionBy("source", "key").orderBy("doc_id", "crc", "size").rowsBetween(Window.unboundedPreceding, 0)
     tied = joined.filter(F.col("key") == F.col("prefix")).withColumn("upto", F.sum("size").over(edge))
-    tied = tied.select(*out, (F.col("whole") + F.when(F.col("upto") - F.col("size") / 2 < F.col("budget"), 1).otherwise(0)).alias("copies"))
-    capped = F.least(F.col("copies"), F.lit(max_repeat)).cast("long")
-    return reduce(DataFrame.unionByName, (clear, tied)).withColumn("copies", capped)
+    tied = tied.withColumn("more", F.when(F.col("upto") - F.col("size") / 2 < F.col("budget"), 1).otherwise(0)).drop("upto")
+    return clear.unionByName(tied).withColumn("copies", F.least(F.col("whole") + F.col("more"), F.lit(max_repeat)).cast("long"))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,3 +77,31 @@ def deduplicate_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
     found = deduplicate(pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text"), length)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def deduplicated_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """docs with repeats taken out of text (n_chars, if there, follows); a text that nothing is left of goes with its row.
+
+    Removal is by bytes; a character that it cuts in two goes whole.
+    """
+    fields = docs.schema.fields
+    found = deduplicate(docs, length)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kept, gone = b.column(b.schema.get_field_index("kept")).to_pylist(), b.column(b.schema.get_field_index("n_removed")).to_numpy()
+            before = b.column(b.schema.get_field_index("text"))
+            texts = [t if not g else k.decode("utf-8", "ignore") for t, k, g in zip(before.to_pylist(), kept, gone)]
+            stay = pa.array([not g or bool(t.strip()) for t, g in zip(texts, gone)])
+            columns = []
+            for f in fields:
+                held = b.column(b.schema.get_field_index(f.name))
+                if f.name == "text":
+                    held = pa.array(texts, before.type)
+                elif f.name == "n_chars":
+                    sizes = pa.array([None if t is None else len(t) for t in texts], held.type)
+                    held = pa.compute.if_else(pa.array(gone > 0), sizes, held)
+                columns.append(held)
+            yield pa.RecordBatch.from_arrays(columns, [f.name for f in fields]).filter(stay)
+
+    return found.mapInArrow(run, docs.schema)
