@@ -5,10 +5,11 @@ that share a band are candidates. The samples are also folded into an odd sketch
 bit: the population count of two sketches' XOR estimates the similarity, and candidates that are clearly too far apart
 go. The others are confirmed on their full sets. Linked classes form components.
 
-A band's group is never expanded into all its pairs. In the first rounds each member is compared with its group's
-pivot, another one each round, if the two are not in one component yet: as many pairs as members. What then still
-spans several components is compared in blocks of bounded size, and only pairs of different components whose sketches
-are near come out, so large groups of copies cost their size, and no link that matters for a component is dropped.
+A band's group is never expanded into all its pairs. In the first rounds each member outside its group's largest
+component meets one pivot of it, another one each round: as many pairs as members. What then still lies outside a
+group's largest component is compared with the group in blocks of bounded size; there sketches choose, full sets decide,
+and a task gives no more links than join its components. So large groups of copies cost about their size, and no link
+that matters for a component is dropped.
 
 With BANDS bands of ROWS samples a pair at similarity 0.8 is missed with chance (1 - 0.8**ROWS)**BANDS, about 5e-8; the
 sketch limit lies six standard deviations from a pair at 0.8.
@@ -34,7 +35,7 @@ from weftline.llm.components import components
 BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
 SAMPLES = BANDS * ROWS
 #: Pivot rounds before the rest is compared in blocks, and members a block.
-ROUNDS, BLOCK = 2, 512
+ROUNDS, BLOCK = 3, 512
 
 _SEED = mix64(np.arange(2 * SAMPLES, dtype=U64) + U64(0xA0761D6478BD642F))
 _FACTOR = _SEED[:SAMPLES] | U64(1)
@@ -131,27 +132,35 @@ def _far(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of distinct pairs (a, b), those whose full sets are similar enough."""
-    x = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x")), "a").join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y")), "b")
-    both = F.size(F.array_intersect("x", "y")).cast("long")
-    return x.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+def _same_set(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _block_pairs(members: DataFrame, limit: int) -> DataFrame:
-    """members: key, i, j (numbers of two blocks of the key), left, right (which of the two the row is in), comp, set_id,
-    sketch. Pairs of different components with near sketches, each pair of blocks in one task."""
+def _block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
+    """members: key, i, j (numbers of two blocks of the key), left (whether the row is in the first), comp, set_id, sketch,
+    members. Links a, b between different components, as many as it takes to join them: sketches choose, full sets
+    decide, and pairs that are joined by then are passed over."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         ids, comp = table.column("set_id").to_numpy(), table.column("comp").to_numpy()
         sk = table.column("sketch").combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(U64)
-        left, right = (np.flatnonzero(table.column(c).to_numpy(zero_copy_only=False)) for c in ("left", "right"))
+        sets = table.column("members")
+        is_left = table.column("left").to_numpy(zero_copy_only=False).astype(bool)
+        left, right = np.flatnonzero(is_left), np.flatnonzero(~is_left)
+        kinds, comp = np.unique(comp, return_inverse=True)
+        root = np.arange(len(kinds))  # of each component, kept flat
         a, b = [], []
         for x in left:
-            other = right[comp[right] != comp[x]]
-            near = other[np.bitwise_count(sk[other] ^ sk[x]).sum(axis=1) <= limit]
-            a.append(np.full(len(near), ids[x])), b.append(ids[near])
-        a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
+            other = right[root[comp[right]] != root[comp[x]]]
+            far = np.bitwise_count(sk[other] ^ sk[x]).sum(axis=1)
+            near = np.flatnonzero(far <= limit)
+            mine = sets[x].values.to_numpy() if len(near) else None
+            for y in other[near[np.argsort(far[near], kind="stable")]]:
+                if root[comp[x]] != root[comp[y]] and _same_set(mine, sets[y].values.to_numpy(), percent):
+                    a.append(ids[x]), b.append(ids[y])
+                    root[root == root[comp[y]]] = root[comp[x]]
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
@@ -161,47 +170,53 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     """set_id, comp of every class that shares a band with another; None if there is none."""
     classes = signed.filter(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     keyed = classes.select("set_id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    # Bands with the same members say the same: one of them is kept.
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("who")).filter(F.col("n") > 1)
+    shared = shared.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n")
     groups = stored(keyed.join(shared, "key"), "groups")
     if groups.isEmpty():
         return None
     needed = stored(groups.select("set_id").distinct().join(classes.select("set_id", "doc_id", "sketch"), "set_id"), "needed")
     wanted = needed.select(F.col("doc_id").alias("rep")).distinct()
     sets = _sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("doc_id", "text"), k)
-    sets = stored(sets.join(needed.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"]), "sets")
-    sketches = needed.select("set_id", "sketch")
+    sets = stored(sets.join(needed.select("set_id", "sketch"), "set_id").dropDuplicates(["set_id"]), "sets")
     limit = sketch_limit(percent)
     labels = needed.select("set_id", F.col("set_id").alias("comp"))
     links: DataFrame | None = None
 
-    def near(pairs: DataFrame) -> DataFrame:
-        s = sketches
-        x = pairs.join(s.select(F.col("set_id").alias("a"), F.col("sketch").alias("x")), "a").join(s.select(F.col("set_id").alias("b"), F.col("sketch").alias("y")), "b")
-        return x.filter(_far(F.col("x"), F.col("y")) <= limit).select("a", "b")
-
     def merge(found: DataFrame) -> DataFrame:
         nonlocal links
         found = stored(found, "links")
         links = found if links is None else links.unionByName(found)
         return components(links, needed.select("set_id"))
 
-    for r in range(ROUNDS):
+    def spanning() -> DataFrame:
+        """Groups that span components, with each row's component and the group's largest one."""
         g = groups.join(labels, "set_id")
-        pivot = g.groupBy("key").agg(F.min(F.struct(F.xxhash64("set_id", F.lit(r)).alias("h"), "set_id", "comp")).alias("p"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter(F.col("c0") != F.col("c1"))
-        pairs = g.join(pivot.select("key", F.col("p.set_id").alias("pivot"), F.col("p.comp").alias("pivot_comp")), "key").filter(F.col("comp") != F.col("pivot_comp"))
-        pairs = pairs.select(F.least("set_id", "pivot").alias("a"), F.greatest("set_id", "pivot").alias("b")).distinct()
-        labels = merge(_confirmed(near(pairs), sets, percent))
-    # The rest: groups of three and more that span components, in pairs of blocks that are not of one component.
-    g = groups.filter(F.col("n") > 2).join(labels, "set_id")
-    split = g.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count(F.lit(1)).alias("m")).filter(F.col("c0") != F.col("c1"))
-    split = split.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
-    rest = g.join(split, "key").withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    opposite = F.sequence(F.lit(0), F.col("blocks") - 1)
-    rest = rest.select("key", "set_id", "comp", "block", F.explode(opposite).alias("other"))
-    rest = rest.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "set_id", "comp", (F.col("block") <= F.col("other")).alias("left"), (F.col("block") >= F.col("other")).alias("right"))
-    rest = rest.join(sketches, "set_id")
-    pairs = _block_pairs(rest, limit).distinct()
-    return merge(_confirmed(pairs, sets, percent))
+        by = g.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+        most = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter(F.col("comps") > 1)
+        return g.join(most, "key")
+
+    for r in range(ROUNDS):
+        # A pivot a group, a candidate a member: of its groups' pivots the first in an order of this round, so that members
+        # of one family mostly meet the same pivot.
+        g = stored(spanning(), "spanning")
+        turn = F.xxhash64("set_id", F.lit(r))
+        pivot = g.filter(F.col("comp") == F.col("main")).groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "set_id")).alias("p"))
+        pairs = g.filter(F.col("comp") != F.col("main")).join(pivot, "key").groupBy("set_id").agg(F.min("p").alias("p"))
+        x = pairs.select(F.col("set_id").alias("a"), F.col("p.set_id").alias("b"))
+        x = x.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"), F.col("sketch").alias("sx")), "a")
+        x = x.join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"), F.col("sketch").alias("sy")), "b").filter(_far(F.col("sx"), F.col("sy")) <= limit)
+        both = F.size(F.array_intersect("x", "y")).cast("long")
+        labels = merge(x.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
+    # The rest: in each group that still spans components, the members outside its largest one against all, in blocks.
+    g = stored(spanning(), "spanning")
+    minor = F.col("comp") != F.col("main")
+    sizes = g.groupBy("key").agg(F.ceil(F.count_if(minor) / BLOCK).cast("int").alias("minors"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("alls"))
+    g = g.join(sizes, "key").select("key", "set_id", "comp", minor.alias("minor"), "minors", "alls", F.pmod(F.xxhash64("set_id"), F.col("minors")).cast("int").alias("mine"), F.pmod(F.xxhash64("set_id"), F.col("alls")).cast("int").alias("all"))
+    outer = g.filter("minor").select("key", "set_id", "comp", F.lit(True).alias("left"), F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
+    inner = g.select("key", "set_id", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.col("all").alias("j"))
+    return merge(_block_links(outer.unionByName(inner).join(sets, "set_id"), limit, percent))
 
 
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
