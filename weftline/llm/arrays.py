@@ -6,12 +6,27 @@ stretch costs two lookups; each symbol is first replaced by a mixed 64-bit value
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
+
+
+def _return_memory() -> None:
+    """Python workers live on from task to task: have large arrays go back to the system when they are freed."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD, else it grows to 32 MB
+        libc.mallopt(-1, 1 << 20)  # M_TRIM_THRESHOLD
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+_return_memory()
 #: Text bytes that a kernel handles at once; a longer document is handled alone.
 SLICE_BYTES = 2 << 20
 

@@ -76,7 +76,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iter
         h = np.empty_like(w)
         h[1:] = w[:-1]
         h[np.cumsum(n) - n] = BEGIN
-        held.append((rows.column(0), rows.column(1).to_numpy(zero_copy_only=False), w, h, np.repeat(np.arange(docs, docs + len(n), dtype=np.int64), n)))
+        held.append((rows.column(0), rows.column(1).to_numpy(zero_copy_only=False), w, h, np.repeat(np.arange(docs, docs + len(n), dtype=np.int32), n)))
         size, docs = size + len(data), docs + len(n)
         if size >= limit:
             yield flush()
@@ -191,6 +191,7 @@ def _send_bigrams(docs: DataFrame, n: int, figures: Figures) -> DataFrame:
             out = [(DOCS, block % n, block, pack(b.ids.fill_null(0).to_numpy(), null.astype(np.uint8), b.held.astype(np.uint8), tokens))]
             order = np.lexsort((b.history, b.word))
             word, history, doc = b.word[order], b.history[order], b.doc[order]
+            b.word = b.history = b.doc = order = None
             at = groups(word, history, doc)
             times = np.diff(np.append(at, len(word))).astype(np.uint32)
             word, history, doc = word[at], history[at], doc[at]
@@ -233,18 +234,17 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
         if not parts:
             return
         first = np.concatenate(([0], np.cumsum(sizes)))
-        word, history = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        lists = np.concatenate([p[2] for p in parts]).astype(np.int64)
-        doc = np.concatenate([p[3] + f0 for p, f0 in zip(parts, first)])
-        times = np.concatenate([p[4] for p in parts]).astype(np.int64)
+        doc = np.concatenate([p[3].astype(np.int32) + np.int32(f0) for p, f0 in zip(parts, first)])
         train = np.concatenate([p[5] for p in parts]) == 0
-        del parts
+        word, history, lists, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 4))
+        parts.clear()
         order = np.lexsort((history, word))
-        kind = np.empty(len(order), np.int64)  # the type (distinct bigram) of each record
+        kind = np.empty(len(order), np.int32)  # the type (distinct bigram) of each record
         at = groups(word[order], history[order])
         kind[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         word, history = word[order][at], history[order][at]
         of = np.repeat(kind, lists)
+        del order, kind, lists
         count = np.bincount(of, np.where(train[doc], times, 0), len(word)).astype(np.int64)
         w_at = groups(word)
         w_type = np.repeat(np.arange(len(w_at)), np.diff(np.append(w_at, len(word))))
@@ -257,7 +257,7 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
         with np.errstate(divide="ignore"):
             value = np.where(count > 0, np.log10(np.maximum(count, 1)), np.log10(np.maximum(f.share(own), 1e-300)))
         value -= np.where((own > 0) & (word != END), np.log10(own + RESERVE), 0)  # this word as the next token's history
-        terms = [np.bincount(doc, (x[of] * times), first[-1]) for x in (value, np.log10(own + 1.0), (own > 0).astype(float))]
+        terms = [np.bincount(doc, x[of] * times, first[-1]) for x in (value, np.log10(own + 1.0), (own > 0).astype(float))]
         small = [np.bincount(doc, np.where(count[of] == r, times, 0), first[-1]) for r in range(1, TOP + 1)]
         out = []
         for i, block in enumerate(blocks):
