@@ -24,7 +24,7 @@ from weftline.llm.common import pick
 from weftline.llm.fm_index import FMIndex
 from weftline.llm.repeats import Kind, Segment, take_out_repeats
 
-LENGTH, GRAM = 20, 4
+LENGTH = 20
 #: Windows searched at once.
 SEARCHED = 1 << 19
 
@@ -91,7 +91,7 @@ def kept_words(rows: pa.Table, sym: np.ndarray, off: np.ndarray, gone: np.ndarra
 
 def deduplicate_words(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (unique column names, doc_id and text among them) with n_words, n_removed and kept."""
-    gram = min(GRAM, length)
+    gram = max(1, length // 2)  # half a window: only passages that long share an anchor, not every common phrase
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kind = Kind(length, gram, _symbols, lambda s: s, later_windows, True, kept_words, fields + ", n_words long, n_removed long, kept binary")
     return take_out_repeats(docs, kind)

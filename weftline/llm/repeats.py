@@ -33,7 +33,7 @@ from weftline.llm.exchange import ROWS, at_keys, deal, differences, from_bytes,
 
 BLOCK_BYTES = 8 << 20
 #: Symbols of one index; a shard's anchors are divided among as many indexes as that takes.
-INDEX_SYMBOLS = 3 << 20
+INDEX_SYMBOLS = 1 << 20
 #: In answers: the whole segment is covered.
 ALL = np.uint32(0xFFFFFFFF)
 BLOCKS, PLACES, ASKED, WANTED, SENT, ANSWERS = range(6)
@@ -67,7 +67,12 @@ def find_segments(values: np.ndarray, off: np.ndarray, window: int, gram: int) -
     last = np.append(at[1:], len(start)) - 1
     begin, end, a = start[at], start[last] + window, anchor[at]
     content = mix64(stretch(sums, begin, end) ^ mix64((a - begin).astype(U64) + (end - begin).astype(U64) * U64(1 << 32)))
-    return doc[at], begin, end - begin, stretch(sums, a, a + gram) >> U64(16), content
+    return doc[at], begin, end - begin, _anchor_key(sums, a, gram), content
+
+
+def _anchor_key(sums: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
+    """48 bits of an anchor. Anchors are least hashes, so they are hashed anew to spread over the shards' ranges."""
+    return mix64(stretch(sums, at, at + gram) ^ U64(0x8EBC6AF09C88C6E3)) >> U64(16)
 
 
 @dataclass
@@ -256,7 +261,7 @@ def _again(values: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind)
     low = np.minimum.reduceat(key, np.cumsum(many) - many) if len(at) else key
     a = (U64(0xFFFFFFFF) - (low & U64(0xFFFFFFFF))).astype(np.int64)
     content = mix64(stretch(sums, start, start + size) ^ mix64((a - start).astype(U64) + size.astype(U64) * U64(1 << 32)))
-    return stretch(sums, a, a + kind.gram) >> U64(16), content
+    return _anchor_key(sums, a, kind.gram), content
 
 
 def _answer(kind: Kind, n: int):  # noqa: ANN202

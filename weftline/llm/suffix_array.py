@@ -101,7 +101,7 @@ def _double(s: np.ndarray, depth: int) -> np.ndarray:
         follow = np.zeros(n, np.int64)
         follow[: max(n - k, 0)] = rank[k:] + 1
         key = rank * (n + 1) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         held = key[order]
         new = np.concatenate(([False], held[1:] != held[:-1]))
         rank = np.empty(n, np.int64)
@@ -165,14 +165,8 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     own[1:] |= phi[1:] - 1 != phi[:-1]
     hard = np.flatnonzero(own & (phi >= 0))
     sums = running(BYTE_VALUES[s]) if s.dtype == np.uint8 else running(mix64(s.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
-    lo = np.zeros(len(hard), np.int64)
-    hi = np.minimum(limit, n - np.maximum(hard, phi[hard]))
-    while len(hard) and (lo < hi).any():
-        mid = (lo + hi + 1) // 2
-        same = stretch(sums, hard, hard + mid) == stretch(sums, phi[hard], phi[hard] + mid)
-        lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
     out = np.zeros(n, np.int64)
-    out[hard] = lo
+    out[hard] = _shared(sums, hard, phi[hard], limit)
     # Runs that step back together lose one symbol a step, unless the value had reached the limit: those are measured anew.
     soft = np.flatnonzero(~own)
     if len(soft):
@@ -180,11 +174,26 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
         cut = out[lead] >= limit
         out[soft] = np.maximum(out[lead] - (soft - lead), 0)
         again = soft[cut]
-        lo = np.maximum(out[again], 0)
-        hi = np.minimum(limit, n - np.maximum(again, phi[again]))
-        while len(again) and (lo < hi).any():
-            mid = (lo + hi + 1) // 2
-            same = stretch(sums, again, again + mid) == stretch(sums, phi[again], phi[again] + mid)
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-        out[again] = lo
+        out[again] = _shared(sums, again, phi[again], limit)
     return out
+
+
+def _shared(sums: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
+    """Symbols that the stretches from a and b share, limit at most: longer and longer steps find a bracket, bisection the value."""
+    most = np.minimum(limit, len(sums) - 1 - np.maximum(a, b))
+    lo, hi = np.zeros(len(a), np.int64), most.copy()
+    go, step = np.arange(len(a)), 8
+    while len(go) and step < limit:
+        size = np.minimum(step, most[go])
+        same = stretch(sums, a[go], a[go] + size) == stretch(sums, b[go], b[go] + size)
+        lo[go[same]] = size[same]
+        hi[go[~same]] = size[~same] - 1
+        go, step = go[same & (size == step)], step * 4
+    go = np.flatnonzero(lo < hi)
+    while len(go):
+        mid = (lo[go] + hi[go] + 1) // 2
+        same = stretch(sums, a[go], a[go] + mid) == stretch(sums, b[go], b[go] + mid)
+        lo[go] = np.where(same, mid, lo[go])
+        hi[go] = np.where(same, hi[go], mid - 1)
+        go = go[lo[go] < hi[go]]
+    return lo

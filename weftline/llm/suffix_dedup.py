@@ -24,7 +24,7 @@ from weftline.llm.common import pick
 from weftline.llm.repeats import Kind, Segment, take_out_repeats
 from weftline.llm.suffix_array import permuted_lcp, suffix_array
 
-LENGTH, GRAM = 200, 40
+LENGTH = 200
 
 
 def repeated_windows(part: Segment, window: int) -> np.ndarray:
@@ -35,7 +35,7 @@ def repeated_windows(part: Segment, window: int) -> np.ndarray:
     at = part.start + np.arange(count)  # a separator after each segment
     s[ragged(at, part.length)] = part.symbols.astype(np.int16) + 2
     sa = suffix_array(s, window)
-    shared = permuted_lcp(s, sa, window)
+    shared = permuted_lcp(s, sa, 8 * window)  # beyond a segment's length, so that runs are followed to their end
     hit = shared >= window
     before = sa[:-1][hit[sa[1:]]]
     hit[before] = True
@@ -67,7 +67,7 @@ def kept_bytes(rows: pa.Table, sym: np.ndarray, off: np.ndarray, gone: np.ndarra
 
 def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs (unique column names, doc_id and text among them) with n_bytes, n_removed, n_spans and kept."""
-    gram = min(GRAM, max(1, length // 2))
+    gram = max(1, length // 2)  # half a window: only passages that long share an anchor, not every common phrase
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     kind = Kind(length, gram, _symbols, lambda s: BYTE_VALUES[s], repeated_windows, False, kept_bytes, fields + ", n_bytes long, n_removed long, n_spans long, kept binary")
     return take_out_repeats(docs, kind)
