@@ -68,7 +68,7 @@ def between_brackets(c: Column) -> Column:
 
 def repair_quotes(c: Column) -> Column:
     """Escape quotes inside JSON strings: those that neither open after [ { , : nor close before , : ] }."""
-    return F.regexp_replace(c, r'(?<!\\)(?<![\[{,:]\s{0,20})"(?!\s*[,:}\]])', r'\\\\"')
+    return F.regexp_replace(c, r'(?<!\\)(?<![\[{,:]\s{0,20})"(?!\s*[,:}\]])', r'\\"')
 
 
 def extension(path: Column) -> Column:

@@ -16,7 +16,8 @@ from weftline.operators.batches import srt_documents
 def write_srt(chunks: DataFrame, path: str) -> None:
     """One text file an item, in a folder named after it, written by the executors."""
     docs = srt_documents(chunks).repartitionByRange("media_id")
-    docs.select("media_id", F.col("srt").alias("value")).write.mode("overwrite").partitionBy("media_id").option("lineSep", "").text(path)
+    body = F.regexp_replace("srt", r"\n\z", "")  # the writer ends the line
+    docs.select("media_id", body.alias("value")).write.mode("overwrite").partitionBy("media_id").text(path)
 
 
 def append_logs(entries: DataFrame, path: str) -> None:
