@@ -6,24 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def band_join(left: DataFrame, right: DataFrame, by: list[str], left_at: str, right_at: str, width, order: str, value: str, missing: str) -> DataFrame:  # noqa: ANN001
-    """left with `value` of the first row of right, in `order`, that lies less than width from it; `missing` if none does.
+def band_join(left: DataFrame, right: DataFrame, key: str, by: list[str], left_at: str, right_at: str, width, order: str, value: str, missing: str) -> DataFrame:  # noqa: ANN001
+    """For each row of left, by its unique key, `value` of the first row of right, in `order`, that lies less than width from
+    it; `missing` if none does. Gives (key, value).
 
     Each row of right lies in one bucket of the given width, each of left asks in its own and both beside it: an
     equi-join, so it shuffles on the key and bucket and keeps the exact condition; a dense bucket is split by adaptive
     execution. First match, not nearest.
     """
-    base = left.withColumn("_row", F.monotonically_increasing_id())
-    slot = lambda c: F.floor(F.col(c) / width).cast("long")
-    asks = base.select("_row", *by, F.col(left_at).alias("_l"), F.explode(F.array(slot(left_at) - 1, slot(left_at), slot(left_at) + 1)).alias("_slot"))
-    holds = right.select(*by, F.col(right_at).alias("_r"), slot(right_at).alias("_slot"), F.col(order).alias("_order"), F.col(value).alias("_value"))
-    near = asks.join(holds, [*by, "_slot"]).filter(F.abs(F.col("_r") - F.col("_l")) < width)
-    first = near.groupBy("_row").agg(F.min_by("_value", "_order").alias(value))
-    return base.join(first, "_row", "left").drop("_row").withColumn(value, F.coalesce(value, F.lit(missing)))
-
-
-def band_join_keyed(left: DataFrame, right: DataFrame, key: str, by: list[str], left_at: str, right_at: str, width, order: str, value: str, missing: str) -> DataFrame:  # noqa: ANN001
-    """band_join for a left side with a unique key, which needs no row numbers and gives (key, value)."""
     slot = lambda c: F.floor(F.col(c) / width).cast("long")
     asks = left.select(key, *by, F.col(left_at).alias("_l"), F.explode(F.array(slot(left_at) - 1, slot(left_at), slot(left_at) + 1)).alias("_slot"))
     holds = right.select(*by, F.col(right_at).alias("_r"), slot(right_at).alias("_slot"), F.col(order).alias("_order"), F.col(value).alias("_value"))

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.text import between_tags, bracketed, is_blank
-from weftline.operators.batches import batch_json, micro_batches, srt_documents
+from weftline.operators.batches import batch_json, micro_batches, srt_documents, with_number
 from weftline.operators.clustering import THRESHOLD, leader_clusters, speaker_labels
 from weftline.operators.intervals import to_samples, voice_segments
-from weftline.operators.joins import band_join_keyed
+from weftline.operators.joins import band_join
 from weftline.operators.json_records import explode_records
 from weftline.operators.signal import segment_features
 from weftline.plans.adapters import Recognizer, Translator, ask, detect_silence, recognize
@@ -57,7 +57,7 @@ def translate(chunks: DataFrame, speakers: DataFrame, factory: Callable[[], Tran
     answer keeps its text in brackets, and the columns n_asked, n_answered say how many there were. Without a translator all
     passes through."""
     x = chunks.withColumn("chunk_id", F.struct("media_id", "seg_idx"))
-    who = band_join_keyed(x, speakers.withColumnRenamed("speaker_id", "speaker"), "chunk_id", ["media_id"], "start_sec", "start_sec", TOLERANCE, "seg_idx", "speaker", UNKNOWN)
+    who = band_join(x, speakers.withColumnRenamed("speaker_id", "speaker"), "chunk_id", ["media_id"], "start_sec", "start_sec", TOLERANCE, "seg_idx", "speaker", UNKNOWN)
     x = micro_batches(x.join(who, "chunk_id").drop("chunk_id"), ["media_id"], ["seg_idx"], rows)
     if factory is None:
         return x.withColumns({"translated": F.lit(False), "n_asked": F.lit(0).cast("long"), "n_answered": F.lit(0).cast("long")})
@@ -65,8 +65,6 @@ def translate(chunks: DataFrame, speakers: DataFrame, factory: Callable[[], Tran
     raw = ask(asked.select("media_id", "batch_id", F.col("n").alias("n_asked"), F.col("json")), factory)
     answers = explode_records(raw.select("media_id", "batch_id", "raw")).select("media_id", "batch_id", "pos", F.col("text").alias("new_text"), F.col("speaker_id").alias("new_speaker"))
     counts = answers.groupBy("media_id", "batch_id").agg(F.count(F.lit(1)).alias("n_answered"))
-    from weftline.operators.batches import with_number
-
     x = with_number(x, ["media_id", "batch_id"], ["seg_idx"], "pos").join(answers, ["media_id", "batch_id", "pos"], "left")
     x = x.join(raw.select("media_id", "batch_id", "n_asked"), ["media_id", "batch_id"]).join(counts, ["media_id", "batch_id"], "left")
     x = x.filter(F.col("new_text").isNotNull() | ~is_blank(F.col("text")))

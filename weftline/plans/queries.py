@@ -13,7 +13,7 @@ from weftline.functions.vectors import argmax_last, argmin_first, cosine_distanc
 from weftline.operators.batches import NO_SPEAKER, last_rows, micro_batches, ordered_text, with_number
 from weftline.operators.clustering import leader_clusters, speaker_labels
 from weftline.operators.intervals import activity_islands, long_enough, or_whole, pad, speech_intervals, split_long
-from weftline.operators.joins import band_join_keyed
+from weftline.operators.joins import band_join
 from weftline.operators.json_records import objects
 from weftline.operators.signal import energies
 from weftline.plans.adapters import ask, upper_translator
@@ -79,7 +79,7 @@ def q_band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = events(spark, sf_dir)
     left = x.select("event_id", "t", (F.col("user_id") % 2).alias("side"))
     right = x.select("t", "event_id", "event_type", (1 - F.col("user_id") % 2).alias("side"))
-    return band_join_keyed(left, right, "event_id", ["side"], "t", "t", 30_000_000, "event_id", "event_type", "S?")
+    return band_join(left, right, "event_id", ["side"], "t", "t", 30_000_000, "event_id", "event_type", "S?")
 
 
 def q_microbatch(spark: SparkSession, sf_dir: str) -> DataFrame:
