@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], limit: int = BLOCK_BYTES) -> Iter
         yield flush()
 
 
+def home(block: int, n: int) -> int:
+    """The partition at which a block's sums meet."""
+    return int(mix64(np.array([block]))[0] % U64(n))
+
+
 def discounts(counts_of_counts: np.ndarray) -> np.ndarray:
     """d for counts 0 .. TOP from the numbers of types with count 0 .. TOP + 1: Katz's formula, or absolute discounting where
     the counts of counts are too irregular for it to give values in (0, 1]."""
@@ -184,11 +190,13 @@ def _send_bigrams(docs: DataFrame, n: int, figures: Figures) -> DataFrame:
     hot = figures.hot
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _blocks(batches):
-            block = uuid.uuid4().int >> 65  # rows are written once; a task run again names its blocks anew
+        # A task run again, after its executor is lost, names its blocks as before.
+        part = TaskContext.get().partitionId()
+        for i, b in enumerate(_blocks(batches)):
+            block = (part << 32) + i
             tokens = np.bincount(b.doc, minlength=len(b.ids)).astype(np.int64)
             null = b.ids.is_null().to_numpy(zero_copy_only=False)
-            out = [(DOCS, block % n, block, pack(b.ids.fill_null(0).to_numpy(), null.astype(np.uint8), b.held.astype(np.uint8), tokens))]
+            out = [(DOCS, home(block, n), block, pack(b.ids.fill_null(0).to_numpy(), null.astype(np.uint8), b.held.astype(np.uint8), tokens))]
             order = np.lexsort((b.history, b.word))
             word, history, doc = b.word[order], b.history[order], b.doc[order]
             b.word = b.history = b.doc = order = None
@@ -264,7 +272,7 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
             s = slice(first[i], first[i + 1])
             has = np.flatnonzero(terms[1][s] != 0) if len(blocks) else None
             has = np.union1d(has, np.flatnonzero(terms[0][s] != 0))
-            out.append((SUMS, block % n, block, pack(has.astype(np.uint32), *(np.rint(x[s][has] * _POINT).astype(np.int64) for x in terms[:2]), terms[2][s][has].astype(np.uint32), *(x[s][has].astype(np.uint32) for x in small))))
+            out.append((SUMS, home(block, n), block, pack(has.astype(np.uint32), *(np.rint(x[s][has] * _POINT).astype(np.int64) for x in terms[:2]), terms[2][s][has].astype(np.uint32), *(x[s][has].astype(np.uint32) for x in small))))
         yield packed_rows(out)
         # Histories: what their backoff weights need of the types met here.
         seen = np.flatnonzero(count)
@@ -338,7 +346,7 @@ def _back_off(n: int, f: Figures, hot: np.ndarray, hot_weights: np.ndarray, d: n
             doc, value = (np.concatenate([g[i] for g in got]) for i in (0, 1))
             has, at = np.unique(doc, return_inverse=True)
             nothing = np.zeros(len(has), np.int64)
-            rows.append((SUMS, block % n, block, pack(has.astype(np.uint32), np.rint(np.bincount(at, value) * _POINT).astype(np.int64), nothing, *[nothing.astype(np.uint32)] * (TOP + 1))))
+            rows.append((SUMS, home(block, n), block, pack(has.astype(np.uint32), np.rint(np.bincount(at, value) * _POINT).astype(np.int64), nothing, *[nothing.astype(np.uint32)] * (TOP + 1))))
         yield packed_rows(rows)
 
     return run
