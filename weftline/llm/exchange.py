@@ -10,7 +10,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
-_IPC = pa.ipc.IpcWriteOptions(compression="zstd")
+_IPC = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
 
 
 def to_bytes(batch: pa.RecordBatch) -> bytes:

@@ -31,7 +31,7 @@ from weftline.llm.arrays import U64, mix64, powers, ragged, running, slices, str
 from weftline.llm.common import partitions, release, shared_dir, stored
 from weftline.llm.exchange import ROWS, at_keys, deal, differences, from_bytes, groups, pack, packed_rows, range_bucket, to_bytes, unpack
 
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Symbols of one index; a shard's anchors are divided among as many indexes as that takes.
 INDEX_SYMBOLS = 1 << 20
 #: In answers: the whole segment is covered.
@@ -41,15 +41,14 @@ BLOCKS, PLACES, ASKED, WANTED, SENT, ANSWERS = range(6)
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def find_segments(values: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments of texts given as mixed symbol values: document, start, length, anchor's hash, content's hash."""
-    n, span = len(values), window - gram + 1
+def find_segments(sums: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments of texts given by their symbols' running sums: document, start, length, anchor's hash, content's hash."""
+    n, span = len(sums) - 1, window - gram + 1
     sizes = np.diff(off)
     count = np.maximum(sizes - window + 1, 0)
     if not count.sum():
         z = np.zeros(0, np.int64)
         return z, z, z, z.view(U64), z.view(U64)
-    sums = running(values)
     head = n - gram + 1
     inverse = powers(n + 1)[1]
     # The least gram of each run of span grams, the last of equals: hash above, position below.
@@ -66,13 +65,15 @@ def find_segments(values: np.ndarray, off: np.ndarray, window: int, gram: int) -
     at = groups(anchor, doc)
     last = np.append(at[1:], len(start)) - 1
     begin, end, a = start[at], start[last] + window, anchor[at]
-    content = mix64(stretch(sums, begin, end) ^ mix64((a - begin).astype(U64) + (end - begin).astype(U64) * U64(1 << 32)))
-    return doc[at], begin, end - begin, _anchor_key(sums, a, gram), content
+    return doc[at], begin, end - begin, *_segment_keys(sums, begin, end - begin, a, gram)
 
 
-def _anchor_key(sums: np.ndarray, at: np.ndarray, gram: int) -> np.ndarray:
-    """48 bits of an anchor. Anchors are least hashes, so they are hashed anew to spread over the shards' ranges."""
-    return mix64(stretch(sums, at, at + gram) ^ U64(0x8EBC6AF09C88C6E3)) >> U64(16)
+def _segment_keys(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """48 bits each of segments' anchors and contents. Anchors are least hashes, so they are hashed anew to spread over the
+    shards' ranges; contents are only compared under equal anchors."""
+    anchor = mix64(stretch(sums, at, at + gram) ^ U64(0x8EBC6AF09C88C6E3)) >> U64(16)
+    content = mix64(stretch(sums, begin, begin + size) ^ mix64((at - begin).astype(U64) + size.astype(U64) * U64(1 << 32))) >> U64(16)
+    return anchor, content
 
 
 @dataclass
@@ -108,12 +109,12 @@ class Kind:
     fields: str
 
 
-def _places(rows: pa.RecordBatch, key: str, off: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _places(rows: pa.RecordBatch, key: str, off: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """What orders documents: id (null last), then the text's hash."""
     column = rows.column(rows.schema.get_field_index(key))
     null = column.is_null().to_numpy(zero_copy_only=False)
     ids = column.fill_null(0).to_numpy()
-    tie = (stretch(running(values), off[:-1], off[1:]) >> U64(32)).astype(np.uint32)
+    tie = (stretch(sums, off[:-1], off[1:]) >> U64(32)).astype(np.uint32)
     return ids, null, tie
 
 
@@ -144,9 +145,9 @@ def _write_blocks(docs: DataFrame, kind: Kind, n: int, key: str, text: str) -> D
 
         for rows, data, off in slices(batches, text):
             sym, at = kind.symbols(data, off)
-            values = kind.values(sym)
-            doc, start, length, anchor, content = find_segments(values, at, kind.window, kind.gram)
-            held.append((rows, doc + docs_so_far, start + symbols, length, anchor, content, *_places(rows, key, at, values)))
+            sums = running(kind.values(sym))
+            doc, start, length, anchor, content = find_segments(sums, at, kind.window, kind.gram)
+            held.append((rows, doc + docs_so_far, start + symbols, length, anchor, content, *_places(rows, key, at, sums)))
             size, symbols, docs_so_far = size + len(data), symbols + int(at[-1]), docs_so_far + rows.num_rows
             if size >= BLOCK_BYTES:
                 yield flush()
@@ -231,10 +232,11 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
             place[which[one]] = one
             place = place[index]
             s, size, d = start[place], length[place].astype(np.int64), doc[place].astype(np.int64)
-            values = kind.values(sym)
+            sums = running(kind.values(sym))
             # The hashes again, of these segments only.
-            ids, null, tie = _places(rows.combine_chunks().to_batches()[0], key, off, values)
-            anchor, content = _again(values, s, size, kind)
+            ids, null, tie = _places(rows.combine_chunks().to_batches()[0], key, off, sums)
+            anchor, content = _again(sums, s, size, kind)
+            del sums
             where = range_bucket(anchor, n)
             order = np.argsort(where, kind="stable")
             cut = np.searchsorted(where[order], np.arange(n + 1))
@@ -249,9 +251,8 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
     return run
 
 
-def _again(values: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+def _again(sums: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     """Anchor and content hashes of known segments: the anchor is the least gram that all windows of a segment hold."""
-    sums = running(values)
     count = size - kind.window + 1  # windows
     lo, hi = start + count - 1, start + kind.window - kind.gram + 1  # grams that every window has
     many = hi - lo
@@ -260,8 +261,7 @@ def _again(values: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind)
     key = (key & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - at.astype(U64))
     low = np.minimum.reduceat(key, np.cumsum(many) - many) if len(at) else key
     a = (U64(0xFFFFFFFF) - (low & U64(0xFFFFFFFF))).astype(np.int64)
-    content = mix64(stretch(sums, start, start + size) ^ mix64((a - start).astype(U64) + size.astype(U64) * U64(1 << 32)))
-    return _anchor_key(sums, a, kind.gram), content
+    return _segment_keys(sums, start, size, a, kind.gram)
 
 
 def _answer(kind: Kind, n: int):  # noqa: ANN202

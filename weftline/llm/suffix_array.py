@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from weftline.llm.arrays import BYTE_VALUES, mix64, running, stretch
+from weftline.llm.arrays import BYTE_VALUES, mix64, powers, running, stretch
 
 #: Largest alphabet for scans over buckets.
 SCAN_SYMBOLS = 512
@@ -181,19 +181,26 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
 def _shared(sums: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Symbols that the stretches from a and b share, limit at most: longer and longer steps find a bracket, bisection the value."""
     most = np.minimum(limit, len(sums) - 1 - np.maximum(a, b))
+    # Stretches are compared by their raw hashes, shifted to a common origin.
+    inverse = powers(len(sums))[1]
+    sum_a, sum_b, shift_a, shift_b = sums[a], sums[b], inverse[a], inverse[b]
     lo, hi = np.zeros(len(a), np.int64), most.copy()
+
+    def same(i: np.ndarray, size: np.ndarray) -> np.ndarray:
+        return (sums[a[i] + size] - sum_a[i]) * shift_a[i] == (sums[b[i] + size] - sum_b[i]) * shift_b[i]
+
     go, step = np.arange(len(a)), 8
     while len(go) and step < limit:
         size = np.minimum(step, most[go])
-        same = stretch(sums, a[go], a[go] + size) == stretch(sums, b[go], b[go] + size)
-        lo[go[same]] = size[same]
-        hi[go[~same]] = size[~same] - 1
-        go, step = go[same & (size == step)], step * 4
+        ok = same(go, size)
+        lo[go[ok]] = size[ok]
+        hi[go[~ok]] = size[~ok] - 1
+        go, step = go[ok & (size == step)], step * 4
     go = np.flatnonzero(lo < hi)
     while len(go):
         mid = (lo[go] + hi[go] + 1) // 2
-        same = stretch(sums, a[go], a[go] + mid) == stretch(sums, b[go], b[go] + mid)
-        lo[go] = np.where(same, mid, lo[go])
-        hi[go] = np.where(same, hi[go], mid - 1)
+        ok = same(go, mid)
+        lo[go] = np.where(ok, mid, lo[go])
+        hi[go] = np.where(ok, hi[go], mid - 1)
         go = go[lo[go] < hi[go]]
     return lo
