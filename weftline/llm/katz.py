@@ -297,10 +297,11 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
         _, is_hot = at_keys(f.hot, h)
         is_hot |= h == BEGIN
         where[is_hot] = (mix64(d[is_hot].astype(U64)) % U64(n)).astype(np.int64)  # their weights are known everywhere
-        order = np.lexsort((h, block_of, where))
-        h, d, t, block_of, where = h[order], d[order], t[order], block_of[order], where[order]
-        at = np.append(groups(where, block_of), len(h)) if len(h) else np.zeros(1, np.int64)
-        yield packed_rows([(UNSEEN, int(where[i]), blocks[block_of[i]], pack(differences(h[i:j]), (d[i:j] - first[block_of[i]]).astype(np.uint32), t[i:j].astype(np.uint32))) for i, j in zip(at[:-1].tolist(), at[1:].tolist())])
+        order = np.lexsort((block_of, h, where))
+        h, d, t, block_of, where = h[order], d[order] - first[block_of[order]], t[order], block_of[order], where[order]
+        cut = np.searchsorted(where, np.arange(n + 1))
+        named = np.array(blocks, np.int64)
+        yield packed_rows([(UNSEEN, k, 0, pack(named, differences(h[i:j]), block_of[i:j].astype(np.uint32), d[i:j].astype(np.uint32), t[i:j].astype(np.uint32))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i])
         yield packed_rows([(COUNTS, 0, 0, pack(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)))])
         w, run_at = word[seen], groups(word[seen])
         yield packed_rows([(TABLE, 0, 0, pack(differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (history[seen] >> U64(32)).astype(np.uint16), history[seen].astype(np.uint32), count[seen].astype(np.uint32)))])
@@ -322,25 +323,32 @@ def _back_off(n: int, f: Figures, hot: np.ndarray, hot_weights: np.ndarray, d: n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, asked = [], []
         for b in batches:
-            for kind, block, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+            for kind, raw in zip(b.column(0).to_pylist(), b.column(3)):
                 x = unpack(raw.as_buffer())
-                (known if kind == HISTORIES else asked).append((np.cumsum(x[0], dtype=U64), block, x[1:]))
+                if kind == HISTORIES:
+                    known.append((np.cumsum(x[0], dtype=U64), x[1:]))
+                else:
+                    asked.append((x[0], np.cumsum(x[1], dtype=U64), *x[2:]))
         h, weight = np.zeros(0, U64), np.zeros(0)
         if known:
             h = np.concatenate([k[0] for k in known])
             order = np.argsort(h, kind="stable")
             h = h[order]
             at = groups(h)
-            weight = _weights([np.add.reduceat(np.concatenate([k[2][i] for k in known])[order], at) for i in range(TOP + 2)], d)
+            weight = _weights([np.add.reduceat(np.concatenate([k[1][i] for k in known])[order], at) for i in range(TOP + 2)], d)
             h = h[at]
         out: dict[int, list] = {}
-        for keys, block, (doc, times) in asked:
+        for named, keys, of, doc, times in asked:
             value = np.zeros(len(keys))
             for table, w in ((h, weight), (hot, hot_weights)):
                 at, there = at_keys(table, keys)
                 if len(table):
                     value += np.where(there, w[at], 0)
-            out.setdefault(block, []).append((doc, value * times))
+            order = np.argsort(of, kind="stable")
+            cut = np.searchsorted(of[order], np.arange(len(named) + 1))
+            for block, i, j in zip(named.tolist(), cut[:-1].tolist(), cut[1:].tolist()):
+                if j > i:
+                    out.setdefault(block, []).append((doc[order[i:j]], (value * times)[order[i:j]]))
         rows = []
         for block, got in out.items():
             doc, value = (np.concatenate([g[i] for g in got]) for i in (0, 1))
