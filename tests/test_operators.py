@@ -283,3 +283,7 @@ def test_log_stream(spark, tmp_path):
     q = follow(log_stream(spark, str(tmp_path / "log")), lambda df, epoch: seen.extend(r.seq for r in df.collect()), str(tmp_path / "state"), 5)
     q.awaitTermination()
     assert seen == [19, 18, 17, 16, 15]
+
+
+def test_levels(spark):
+    assert column(spark, ["ERROR", "INFO", "DEBUG"], T.level_at_least) == [True, True, False]

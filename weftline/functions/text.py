@@ -132,3 +132,12 @@ def translation_prompt(batch_json: Column, source: str = "English", target: str
     """What a translator is asked: a JSON array of the batch's records, to be answered by one of the same shape."""
     head = f"Translate the texts of this JSON array from {source} to {target}. Answer with a JSON array of the same records only; escape double quotes inside texts.\n\nInput: "
     return F.concat(F.lit(head), batch_json, F.lit("\n\nOutput:"))
+
+
+#: Log levels, the most severe first.
+LEVELS = ("ERROR", "WARN", "INFO", "DEBUG", "TRACE")
+
+
+def level_at_least(level: Column, least: str = "INFO") -> Column:
+    """Whether an entry is severe enough to be kept."""
+    return level.isin(*LEVELS[: LEVELS.index(least) + 1])
