@@ -61,8 +61,9 @@ def later_windows(part: Segment, window: int) -> np.ndarray:
 
 
 def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words as 48-bit hashes."""
     starts, ends, first = words(data, off)
-    return word_hashes(data, starts, ends) if len(starts) else np.zeros(0, U64), first
+    return word_hashes(data, starts, ends) >> U64(16) if len(starts) else np.zeros(0, U64), first
 
 
 def kept_words(rows: pa.Table, sym: np.ndarray, off: np.ndarray, gone: np.ndarray) -> Iterator[pa.RecordBatch]:

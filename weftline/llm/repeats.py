@@ -245,12 +245,20 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
                 mine = order[cut[k] : cut[k + 1]]
                 if len(mine):
                     give = mine[provide[mine]]
-                    out.append((SENT, k, block, pack(index[mine], anchor[mine], content[mine], np.minimum(times[index[mine]], 2).astype(np.uint8), provide[mine].astype(np.uint8), ids[d[mine]], null[d[mine]].astype(np.uint8), tie[d[mine]], s[mine] - off[d[mine]], size[give].astype(np.uint32), sym[ragged(s[give], size[give])])))
+                    out.append((SENT, k, block, pack(index[mine], anchor[mine], content[mine], np.minimum(times[index[mine]], 2).astype(np.uint8), provide[mine].astype(np.uint8), ids[d[mine]], null[d[mine]].astype(np.uint8), tie[d[mine]], s[mine] - off[d[mine]], size[give].astype(np.uint32), *_coded(sym[ragged(s[give], size[give])]))))
             yield packed_rows(out)
 
     return run
 
 
+def _coded(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Wide symbols as a dictionary (differences) and places in it; bytes as they are."""
+    if symbols.dtype == np.uint8:
+        return np.zeros(0, U64), symbols
+    kinds, at = np.unique(symbols, return_inverse=True)
+    return differences(kinds), at.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
+
+
 def _again(sums: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     """Anchor and content hashes of known segments: the anchor is the least gram that all windows of a segment hold."""
     count = size - kind.window + 1  # windows
@@ -274,7 +282,8 @@ def _answer(kind: Kind, n: int):  # noqa: ANN202
         blocks = np.array([b for b, _ in got])
         source = np.repeat(np.arange(len(got)), [len(x[0]) for _, x in got])
         index, anchor, content, times, provide, ids, null, tie, at_doc = (np.concatenate([x[i] for _, x in got]) for i in range(9))
-        sizes, symbols = (np.concatenate([x[i] for _, x in got]) for i in (9, 10))
+        sizes = np.concatenate([x[9] for _, x in got])
+        symbols = np.concatenate([np.cumsum(x[10], dtype=U64)[x[11]] if len(x[10]) else x[11] for _, x in got if len(x[11])])
         given = np.flatnonzero(provide)
         upto = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
         text_of = np.full(len(index), -1)
