@@ -28,7 +28,7 @@ def _return_memory() -> None:
 
 _return_memory()
 #: Text bytes that a kernel handles at once; a longer document is handled alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

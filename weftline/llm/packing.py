@@ -35,7 +35,7 @@ from weftline.llm.common import pick, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Entries after which a worker's table of encoded pieces starts anew: it bounds the memory.
-KNOWN_LIMIT = 1_500_000
+KNOWN_LIMIT = 1_000_000
 #: Rows that share a length are ranked in groups of about so many; groups are at most the distinct lengths plus MOST_LANES.
 LANE_ROWS, MOST_LANES = 256, 4096
 #: Steps of the local search on classes of bins.
