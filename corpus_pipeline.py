@@ -15,7 +15,7 @@ from pyspark.sql.window import Window
 from weftline.llm.common import documents, pick, stored
 from weftline.llm.language import identify, train_identifier
 from weftline.llm.mixing import mixed_rows
-from weftline.llm.near_dedup import near_duplicates
+from weftline.llm.near_dedup import survivors
 from weftline.llm.packing import pack_documents
 from weftline.llm.suffix_dedup import deduplicated_texts
 
@@ -30,14 +30,14 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of least doc_id, of each group linked by five-word shingles at similarity 0.8. Rows that repeat
-    both doc_id and text count as one document."""
-    docs = pick(docs, *COLUMNS)
-    kept = near_duplicates(docs, words_per_shingle=5, percent=80).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    """One row of each group linked by five-word shingles at similarity 0.8: that of least doc_id, nulls last, then of least
+    text hash. Rows are judged by their texts: null and repeated doc_ids link nothing and keep nothing. Texts without a word
+    are linked with nothing. Rows that repeat both doc_id and text count as one document."""
+    docs = pick(docs, *COLUMNS).withColumn("_hash", F.xxhash64("text"))
+    kept = survivors(docs, words_per_shingle=5, percent=80).select(F.col("doc_id").alias("kept_id"), "text_hash")
+    left = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_hash") == F.col("text_hash")), "left_semi")
     same = Window.partitionBy("doc_id", "_hash").orderBy("source", "lang")
-    left = left.withColumn("_hash", F.xxhash64("text")).withColumn("_n", F.row_number().over(same))
-    return left.filter(F.col("_n") == 1).select(*COLUMNS)
+    return left.withColumn("_n", F.row_number().over(same)).filter(F.col("_n") == 1).select(*COLUMNS)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

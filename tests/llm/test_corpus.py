@@ -247,3 +247,19 @@ def test_pipeline(spark):
     packed = c.pack(spark, mixed, SF)
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in mixed.collect()}
     assert c.run(spark, SF).count() > 0
+
+
+def test_near_stage_keeps_one_row_a_component(spark):
+    """Near-equal texts under null and repeated ids: one row of each component stays, whatever its id."""
+    import corpus_pipeline as c
+
+    text = lambda name, n=60, at=None: " ".join("x" if i == at else f"{name}{i}" for i in range(n))
+    row = lambda i, t: (i, t, "en", "s", 0)
+    data = [row(1, text("a")), row(None, text("a", at=3)), row(7, text("a", at=55)), row(7, text("b")), row(7, text("b", at=2))]
+    data += [row(None, text("c")), row(None, text("c", at=1)), row(None, text("d")), row(None, text("d")), row(9, text("e")), row(9, text("f")), row(8, text("f", at=4))]
+    data += [row(None, None), row(None, ""), row(1, " ")]
+    got = [tuple(r) for r in c.near_dedup(spark, spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3), SF).collect()]
+    groups = [d[:60].split("0")[0] if d else d for _, d, *_ in got]
+    assert sorted(map(repr, groups)) == sorted(map(repr, ["a", "b", "c", "d", "e", "f", None, "", " "]))
+    assert {g: r[0] for g, r in zip(groups, got) if g and g.strip()} == {"a": 1, "b": 7, "c": None, "d": None, "e": 9, "f": 8}
+    assert set(got) <= set(data)

@@ -114,9 +114,11 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
             if len(full):
                 band[full], sketch[full] = signatures(hs, np.append(at[:-1][full], len(hs)))
             lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * x.shape[1], pa.int32()), pa.array(x.reshape(-1))) for x in (band, sketch)]
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(set_ids(hs, at)), pa.array(n.astype(np.int64)), *lists], ["doc_id", "set_id", "n_shingles", "bands", "sketch"])
+            own = [rows.column(rows.schema.get_field_index(c)) for c in keys]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(set_ids(hs, at)), pa.array(n.astype(np.int64)), *lists], [*keys, "set_id", "n_shingles", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, set_id long, n_shingles long, bands array<long>, sketch array<long>")
+    keys = [c for c in docs.columns if c != "text"]
+    return docs.mapInArrow(run, ", ".join(f"{c} long" for c in keys) + ", set_id long, n_shingles long, bands array<long>, sketch array<long>")
 
 
 def _sets(docs: DataFrame, k: int) -> DataFrame:
@@ -219,14 +221,32 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     return merge(_block_links(outer.unionByName(inner).join(sets, "set_id"), limit, percent))
 
 
+def _labelled(slim: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """slim's rows (all columns but text, which are longs) with set_id and n_shingles, and the component of each linked class."""
+    signed = stored(_signed(slim, k), "signed")
+    labels = link_classes(signed, slim.select("doc_id", "text"), k, percent)
+    rows = signed.drop("bands", "sketch")
+    if labels is None:
+        labels = rows.select("set_id", F.col("set_id").alias("comp")).limit(0)
+    return rows, labels
+
+
+def survivors(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, text_hash (xxhash64) of the row that stays of each component: least doc_id, nulls last, then least text_hash.
+    Rows of an empty set all stay. A doc_id, null or not, that several rows have says nothing about which of them stays."""
+    slim = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"))
+    rows, labels = _labelled(slim, words_per_shingle, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    least = rows.filter(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min(place).alias("first"))
+    first = least.join(labels, "set_id", "left").groupBy(F.coalesce("comp", "set_id").alias("comp")).agg(F.min("first").alias("first"))
+    empty = rows.filter(F.col("n_shingles") == 0).select("doc_id", "text_hash").distinct()
+    return first.select("first.doc_id", "first.text_hash").unionByName(empty)
+
+
 def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
     slim = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), "text")
-    signed = stored(_signed(slim, words_per_shingle), "signed")
-    labels = link_classes(signed, slim, words_per_shingle, percent)
-    rows = signed.select("doc_id", "set_id", "n_shingles")
-    if labels is None:
-        labels = rows.select("set_id", F.col("set_id").alias("comp")).limit(0)
+    rows, labels = _labelled(slim, words_per_shingle, percent)
     # A class outside every group is its own component; component ids are taken from classes, not from all rows.
     reps = rows.filter(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("rep"))
     named = reps.join(labels, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
