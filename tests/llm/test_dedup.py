@@ -160,3 +160,37 @@ def test_shingles_of_texts():
     raw = [t.encode() for t in texts]
     hs, at = shingles(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))), 2)
     assert np.diff(at).tolist() == [2, 0, 1, 1] and hs[at[3]] in hs[: at[1]]
+
+
+@pytest.mark.parametrize("symbols", [1, 1200])
+def test_repeats_under_hot_anchors(spark, monkeypatch, symbols):
+    """Anchors of many distinct segments, whose windows are dealt by their own hashes: results as before."""
+    from weftline.llm import repeats
+
+    monkeypatch.setattr(repeats, "INDEX_SYMBOLS", symbols)
+    docs = brute.table(spark)
+    for length in (20, 200):
+        assert sorted_rows(deduplicate_documents(docs, length).collect()) == sorted_rows(brute.byte_repeats(brute.rows(), length))
+    for length in (3, 20):
+        assert sorted_rows(deduplicate_documents_by_words(docs, length).collect()) == sorted_rows(brute.word_repeats(brute.rows(), length))
+
+
+def test_a_common_line_fills_no_index(spark):
+    """A line of half a window and more between ever other neighbours: its segments do not all meet in one index."""
+    from weftline.llm.arrays import BYTE_VALUES
+    from weftline.llm.repeats import INDEX_SYMBOLS, Kind, take_out_repeats
+    from weftline.llm.suffix_dedup import _symbols, kept_bytes, repeated_windows
+
+    def solve(part, window):
+        if len(part.symbols) > 2 * INDEX_SYMBOLS:
+            raise ValueError(f"{len(part.symbols)} symbols in an index")
+        return repeated_windows(part, window)
+
+    rng = random.Random(8)
+    noise = lambda: "".join(rng.choices("abcdefgh ", k=150))
+    line = "".join(rng.choices("ijklmnop ", k=150))
+    data = [(i, noise() + line + noise()) for i in range(16000)]
+    data += [(16000, data[0][1][:350]), (16001, data[1][1][100:])]  # windows across the line and its neighbours that do repeat
+    kind = Kind(200, 100, _symbols, lambda s: BYTE_VALUES[s], solve, False, kept_bytes, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary")
+    got = {r.doc_id: r.n_removed for r in take_out_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4), kind).collect()}
+    assert {i: n for i, n in got.items() if n} == {0: 350, 16000: 350, 1: 350, 16001: 350}

@@ -12,6 +12,9 @@ segments with equal anchors can hold equal windows, so segments are dealt into s
      count as copies there;
   5. blocks mark what the answers cover and take it out.
 
+An anchor with so many distinct segments that they fill an index is hot: blocks cut its segments into their windows and
+deal those by their own 64-bit hashes, so that only equal windows meet and no index holds more than two times INDEX_SYMBOLS.
+
 A document that holds a third of the corpus's passages sends one record a distinct segment and block; no task sees the
 members of a hot passage but as one record a block, and rows never multiply by pairs.
 """
@@ -32,11 +35,13 @@ from weftline.llm.common import partitions, release, shared_dir, stored
 from weftline.llm.exchange import ROWS, at_keys, deal, differences, from_bytes, groups, pack, packed_rows, range_bucket, to_bytes, unpack
 
 BLOCK_BYTES = 4 << 20
-#: Symbols of one index; a shard's anchors are divided among as many indexes as that takes.
+#: Symbols of one index; a shard's anchors are divided among as many indexes as that takes. An anchor that may have more is hot.
 INDEX_SYMBOLS = 1 << 20
 #: In answers: the whole segment is covered.
 ALL = np.uint32(0xFFFFFFFF)
-BLOCKS, PLACES, ASKED, WANTED, SENT, ANSWERS = range(6)
+BLOCKS, PLACES, ASKED, WANTED, SENT, ANSWERS, ALONE = range(7)
+#: In step 2, beside 0 and 1 for contents to be provided: the segment's windows are to be sent one by one.
+HOT = 2
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -164,8 +169,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Buff
             yield kind, block, raw.as_buffer()
 
 
-def _want(n: int):  # noqa: ANN202
-    """Step 2: of a shard's anchors, those that occur more than once; the first block that has a content provides it."""
+def _want(n: int, most: int):  # noqa: ANN202
+    """Step 2: of a shard's anchors, those that occur more than once; the first block that has a content provides it. Anchors
+    of more than `most` distinct segments are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(block, unpack(raw)) for _, block, raw in _read(batches)]
@@ -181,9 +187,11 @@ def _want(n: int):  # noqa: ANN202
         source, index, anchor, content, many = source[order], index[order], anchor[order], content[order], many[order]
         at = groups(anchor)
         times = np.add.reduceat(1 + many.astype(np.int64), at)
-        keep = np.repeat(times > 1, np.diff(np.append(at, len(anchor))))
+        size = np.diff(np.append(at, len(anchor)))
+        keep = np.repeat(times > 1, size)
         provide = np.zeros(len(anchor), np.uint8)
         provide[groups(anchor, content)] = 1
+        provide[np.repeat(np.add.reduceat(provide, at, dtype=np.int64) > most, size)] = HOT
         source, index, provide = source[keep], index[keep], provide[keep]
         order = np.lexsort((index, source))
         source, index, provide = source[order], index[order], provide[order]
@@ -221,7 +229,7 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
             wanted = [unpack(raw) for raw in held[WANTED]]
             index, provide = (np.concatenate([w[i] for w in wanted]) for i in (0, 1))
             order = np.argsort(index)
-            index, provide = index[order], provide[order].astype(bool)
+            index, provide = index[order], provide[order]
             step, length, which, first, doc = unpack(held[PLACES][0])
             start = np.cumsum(step, dtype=np.int64)
             rows = from_bytes(held[BLOCKS][0])
@@ -235,12 +243,18 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
             sums = running(kind.values(sym))
             # The hashes again, of these segments only.
             ids, null, tie = _places(rows.combine_chunks().to_batches()[0], key, off, sums)
+            out = []
+            hot = np.flatnonzero(provide == HOT)
+            if len(hot):
+                out += _windows(kind, n, block, sums, index[hot], s[hot], size[hot], np.minimum(times[index[hot]], 2), ids[d[hot]], null[d[hot]], tie[d[hot]], off[d[hot]])
+                cold = provide != HOT
+                index, provide, s, size, d = index[cold], provide[cold], s[cold], size[cold], d[cold]
+            provide = provide.astype(bool)
             anchor, content = _again(sums, s, size, kind)
             del sums
             where = range_bucket(anchor, n)
             order = np.argsort(where, kind="stable")
             cut = np.searchsorted(where[order], np.arange(n + 1))
-            out = []
             for k in range(n):
                 mine = order[cut[k] : cut[k + 1]]
                 if len(mine):
@@ -251,6 +265,51 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
     return run
 
 
+def _windows(kind: Kind, n: int, block: int, sums: np.ndarray, index: np.ndarray, start: np.ndarray, size: np.ndarray, times: np.ndarray, ids: np.ndarray, null: np.ndarray, tie: np.ndarray, begin: np.ndarray) -> list[tuple]:
+    """Step 3 for segments of hot anchors: each window goes to the shard that its own hash names. The windows of a segment differ."""
+    count = size - kind.window + 1
+    of = np.repeat(np.arange(len(index)), count)
+    shift = ragged(np.zeros(len(index), np.int64), count)
+    at = start[of] + shift
+    key = mix64(stretch(sums, at, at + kind.window) ^ U64(0xD6E8FEB86659FD93))
+    where = range_bucket(key >> U64(16), n)
+    order = np.argsort(where, kind="stable")
+    cut = np.searchsorted(where[order], np.arange(n + 1))
+    out = []
+    for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if j > i:
+            w = order[i:j]
+            x = of[w]
+            place = (ids[x], null[x].astype(np.uint8), tie[x], at[w] - begin[x]) if kind.first_stays else ()
+            out.append((ALONE, k, block, pack(index[x], shift[w].astype(np.uint32), key[w], times[x].astype(np.uint8), *place)))
+    return out
+
+
+def _repeated_windows(got: list[tuple[int, list[np.ndarray]]], kind: Kind, n: int) -> list[tuple]:
+    """Step 4 for windows dealt by their hashes: all of several equal ones are covered, or all but the first by place."""
+    blocks = np.array([b for b, _ in got])
+    source = np.repeat(np.arange(len(got)), [len(x[0]) for _, x in got])
+    index, shift, key, times, *place = (np.concatenate([x[i] for _, x in got]) for i in range(len(got[0][1])))
+    if kind.first_stays:
+        ids, null, tie, at_doc = place
+        order = np.lexsort((at_doc, blocks[source], tie, ids, null, key))
+    else:
+        order = np.argsort(key, kind="stable")
+    at = groups(key[order])
+    covered = np.repeat(np.add.reduceat(times[order], at, dtype=np.int64) > 1, np.diff(np.append(at, len(order))))
+    if kind.first_stays:
+        covered[at] = False
+    tell = order[covered]
+    tell = tell[np.lexsort((shift[tell], index[tell], source[tell]))]
+    cut = np.searchsorted(source[tell], np.arange(len(got) + 1))
+    out = []
+    for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
+        if j > i:
+            s = shift[tell[i:j]]
+            out.append((ANSWERS, int(blocks[k] % n), int(blocks[k]), pack(index[tell[i:j]], np.ones(j - i, np.uint32), s, s + np.uint32(kind.window))))
+    return out
+
+
 def _coded(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Wide symbols as a dictionary (differences) and places in it; bytes as they are."""
     if symbols.dtype == np.uint8:
@@ -276,7 +335,12 @@ def _answer(kind: Kind, n: int):  # noqa: ANN202
     """Step 4: indexes over a shard's distinct segments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(block, unpack(raw)) for _, block, raw in _read(batches)]
+        got, alone = [], []
+        for what, block, raw in _read(batches):
+            (alone if what == ALONE else got).append((block, unpack(raw)))
+        if alone:
+            yield packed_rows(_repeated_windows(alone, kind, n))
+            alone.clear()
         if not got:
             return
         blocks = np.array([b for b, _ in got])
@@ -304,7 +368,7 @@ def _answer(kind: Kind, n: int):  # noqa: ANN202
         base = np.cumsum(np.concatenate(([0], ~same))) * longest if len(at) else np.zeros(0, np.int64)
         rank[by_place] = base + at_doc[leader][by_place]
         size = sizes.astype(np.int64)[text]
-        # Indexes of bounded size; an anchor's segments stay together.
+        # Indexes of bounded size; an anchor's segments stay together (hot anchors have none here).
         new_anchor = np.ones(len(at), bool)
         new_anchor[1:] = anchor[leader][1:] != anchor[leader][:-1]
         total = np.cumsum(size)
@@ -395,7 +459,7 @@ def take_out_repeats(docs: DataFrame, kind: Kind, key: str = "doc_id", text: str
     _write_blocks(docs, kind, n, key, text).write.partitionBy("kind").option("compression", "none").parquet(path)
     rows = spark.read.schema("bucket int, block long, payload binary, kind int").parquet(path).select("kind", "bucket", "block", "payload")
     of = lambda *kinds: rows.filter(F.col("kind").isin(*kinds))
-    wanted = deal(of(ASKED), n).mapInArrow(_want(n), ROWS)
+    wanted = deal(of(ASKED), n).mapInArrow(_want(n, INDEX_SYMBOLS // (2 * kind.window - kind.gram)), ROWS)
     sent = deal(of(BLOCKS, PLACES).unionByName(wanted), n).mapInArrow(_send(kind, n, key, text), ROWS)
     answers = stored(deal(sent, n).mapInArrow(_answer(kind, n), ROWS), "answers")
     release(spark)
