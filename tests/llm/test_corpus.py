@@ -263,3 +263,16 @@ def test_near_stage_keeps_one_row_a_component(spark):
     assert sorted(map(repr, groups)) == sorted(map(repr, ["a", "b", "c", "d", "e", "f", None, "", " "]))
     assert {g: r[0] for g, r in zip(groups, got) if g and g.strip()} == {"a": 1, "b": 7, "c": None, "d": None, "e": 9, "f": 8}
     assert set(got) <= set(data)
+
+
+def test_search_reads_until_no_outsider_can_qualify():
+    from weftline.llm.topk import DEPTHS, block_lists, candidates
+
+    rng = np.random.default_rng(2)
+    x = rng.integers(-9, 10, (400, 12)).astype(np.float32)
+    x[0] = 9 * np.sign(x[1])  # near to itself only: decided early
+    q, own, ids = x[[0, 5, 9]], np.array([-1, 5, 9]), np.arange(400)
+    alive, pauses = candidates(x, ids, block_lists(x), q, own, 1)
+    score = np.where(ids[None, :] == own[:, None], -np.inf, q @ x.T)
+    assert (alive == (score == score.max(axis=1, keepdims=True))).all()
+    assert pauses[0] < pauses.max() <= len(DEPTHS) and DEPTHS[-1] == 1.0

@@ -4,9 +4,10 @@ Vectors are dealt into blocks; each block holds, for each dimension, its values
 read from the end that its sign asks for, all to the same depth. An entry that has been read is exact; one that has not
 lies between the list's far end and the value at which reading stands. So every vector has a lower and an upper bound,
 and both are sums over dimensions of query component times a clipped value: for all queries and vectors of a block two
-matrix products each. Reading goes deeper until no vector outside a query's candidates has an upper bound above its k-th
-lower bound; the candidates' scores are then resolved exactly. Blocks answer on their own; the k best of a query over all
-blocks are merged.
+matrix products each. Vectors whose upper bound lies below a query's k-th lower bound are no candidates of it any more. A
+query is read deeper, pause by pause, until its candidates are k or all is read; then more than k are ties. Scores that
+are answered are those candidates' entries added up. Blocks answer on their own; the k best of a query over all blocks are
+merged.
 
 Integers are exact in float32 (float64) as long as dimensions * max|x|**2 stays below 2**24 (2**53), which is checked.
 
@@ -30,7 +31,7 @@ from weftline.llm.common import pick, stored
 from weftline.llm.exchange import deal, pack, unpack
 
 #: Rows a block, queries handled against a block at once, parts of the lists' length at which reading pauses.
-BLOCK_ROWS, QUERY_ROWS, DEPTHS = 8192, 256, (0.92,)
+BLOCK_ROWS, QUERY_ROWS, DEPTHS = 8192, 256, (0.6, 0.75, 0.85, 0.92, 0.96, 0.98, 1.0)
 
 
 def quantise(v: Column, scale: int = 256) -> Column:
@@ -46,28 +47,38 @@ def block_lists(x: np.ndarray) -> np.ndarray:
     return np.sort(x, axis=0)
 
 
-def nra(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query row: the rows of the block's k best by (score descending, id), its own id left out.
+def candidates(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are left to each query when it stops reading (queries x rows), and the pauses it has read up to.
 
     x: rows x dimensions, lists: block_lists(x), q: queries x dimensions, own: ids of the queries.
     """
     n = len(x)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    alive = np.ones((len(q), n), bool)
-    alive &= ids[None, :] != own[:, None]
+    alive = ids[None, :] != own[:, None]
+    pauses = np.zeros(len(q), int)
     for part in DEPTHS:
-        depth = min(int(n * part), n)
-        if depth < 1 or n <= 4 * k:
-            continue
+        reads = np.flatnonzero(alive.sum(axis=1) > k)  # the stop test
+        if not len(reads):
+            break
+        pauses[reads] += 1
+        depth = min(max(int(n * part), 1), n)
+        rows = np.flatnonzero(alive[reads].any(axis=0))
+        y, mine = x[rows], alive[np.ix_(reads, rows)]
         top, bottom = lists[n - depth], lists[depth - 1]  # where reading stands, from either end
-        high = up @ np.maximum(x, top).T + down @ np.minimum(x, bottom).T
-        low = up @ np.where(x >= top, x, lists[0]).T + down @ np.where(x <= bottom, x, lists[-1]).T
-        low[~alive] = -np.inf
-        kth = np.partition(low, n - k, axis=1)[:, n - k]
-        alive &= high >= kth[:, None]
+        high = up[reads] @ np.maximum(y, top).T + down[reads] @ np.minimum(y, bottom).T
+        low = up[reads] @ np.where(y >= top, y, lists[0]).T + down[reads] @ np.where(y <= bottom, y, lists[-1]).T
+        low[~mine] = -np.inf
+        kth = np.partition(low, len(rows) - k, axis=1)[:, len(rows) - k]
+        alive[np.ix_(reads, rows)] = mine & (high >= kth[:, None])
+    return alive, pauses
+
+
+def nra(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query row: the rows of the block's k best by (score descending, id), its own id left out."""
+    alive, _ = candidates(x, ids, lists, q, own, k)
     for i in range(len(q)):
         left = np.flatnonzero(alive[i])
-        score = x[left] @ q[i]  # candidates only, read to the end
+        score = x[left] @ q[i]  # k rows, or ties
         best = np.lexsort((ids[left], -score))[:k]
         yield i, np.stack((ids[left[best]], score[best].astype(np.int64)))
 
