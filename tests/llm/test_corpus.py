@@ -265,6 +265,34 @@ def test_near_stage_keeps_one_row_a_component(spark):
     assert set(got) <= set(data)
 
 
+def test_local_search_ends_where_no_pair_improves():
+    """Best fit stays above the bound here: the search goes on until no two bins can exchange, and saves sequences."""
+    import random
+
+    from weftline.llm.packing import least_bins
+
+    rng, counts = random.Random(1), {}
+    for _ in range(1000):
+        k = rng.randint(350, 1200)
+        counts[k] = counts.get(k, 0) + 1
+    before = best_fit(counts, 2048)
+    found = local_search(before, 2048)
+    assert all(sum(b) <= 2048 for b in found) and all(sum(b.count(k) * n for b, n in found.items()) == c for k, c in counts.items())
+    assert least_bins(counts, 2048) <= sum(found.values()) < sum(before.values())
+    if sum(found.values()) > least_bins(counts, 2048):
+        for give in found:
+            for take in found:
+                room = 2048 - sum(take)
+                over = [x - y for x in give for y in (0, *take) if (give != take or found[give] > 1) and 0 < x - y <= room]
+                assert all(2 * d * (sum(take) - sum(give) + d) <= 0 for d in over)
+
+
+def test_lower_bound_of_bins():
+    from weftline.llm.packing import least_bins
+
+    assert least_bins({}, 10) == 0 and least_bins({6: 3, 5: 1}, 10) == 4 and least_bins({4: 5}, 10) == 3 and least_bins({7: 2, 4: 3}, 10) == 4
+
+
 def test_search_reads_until_no_outsider_can_qualify():
     from weftline.llm.topk import DEPTHS, block_lists, candidates
 

@@ -3,7 +3,8 @@
 Documents become token ids and pieces of at most `capacity` tokens. The histogram of piece lengths (at most `capacity`
 entries, whatever the size of the corpus) is packed on the driver: bins with the same contents are one class with a
 multiplicity, best fit places the longest pieces first, and the local search moves, swaps one for one or exchanges two
-for one between underfull classes while that increases the sum of squared fills, until bins empty or none improves.
+for one between underfull classes while that increases the sum of squared fills, until the bins are as few as a lower
+bound says or no pair of classes improves: every class is tried with every other, and again with classes made since.
 Pieces are then ranked among those of their length in bounded groups and look their place up in the plan.
 
 Token ids: the text is cut where the byte-level BPE's own pattern cuts it, on whole slices in NumPy; each distinct
@@ -38,8 +39,6 @@ CAPACITY, END_ID = 2048, 0
 KNOWN_LIMIT = 1_000_000
 #: Rows that share a length are ranked in groups of about so many; groups are at most the distinct lengths plus MOST_LANES.
 LANE_ROWS, MOST_LANES = 256, 4096
-#: Steps of the local search on classes of bins.
-SEARCH_STEPS, PARTNERS = 400, 96
 
 
 # -- token ids -------------------------------------------------------------------------------------------------------
@@ -256,67 +255,116 @@ def best_fit(counts: dict[int, int], capacity: int) -> Bins:
     return dict(out)
 
 
-@lru_cache(1 << 16)
-def _exchange(give: tuple[int, ...], take: tuple[int, ...], capacity: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
-    """The best move, swap (one for one) or exchange (two for one, either way) between two bins that makes `take` fuller: gain in squared fill."""
-    a, b = sum(give), sum(take)
-    room = capacity - b
-    ones_g, ones_t = sorted(set(give)), sorted(set(take))
-    twos = lambda bin_: sorted({(x + y, x, y) for i, x in enumerate(bin_[:24]) for y in bin_[i + 1 : 24]})
-    out = [((x), (x,), ()) for x in ones_g]
-    for x in ones_g:
-        out += [(x - y, (x,), (y,)) for y in ones_t if 0 < x - y <= room]
-        out += [(x - s, (x,), (y, z)) for s, y, z in twos(take) if 0 < x - s <= room]
-    for s, x, y in twos(give):
-        out += [(s - z, (x, y), (z,)) for z in ones_t if 0 < s - z <= room]
-    best = (0, (), ())
-    for d, out_g, out_t in out:
-        if d <= room and (gain := (a - d) ** 2 + (b + d) ** 2 - a * a - b * b) > best[0]:
-            best = (gain, out_g, out_t)
+def least_bins(counts: dict[int, int], capacity: int) -> int:
+    """A lower bound: by total length, by how many pieces beyond a part of the capacity a bin can hold, and by what the
+    pieces of more than half a bin leave to smaller ones."""
+    size = np.array(sorted(counts), np.int64)
+    n = np.array([counts[k] for k in size.tolist()], np.int64)
+    total = lambda ok: int((size * n)[ok].sum())
+    best = -(-total(size > 0) // capacity)
+    for m in range(1, capacity):
+        best = max(best, -(-int(n[size * (m + 1) > capacity].sum()) // m))
+    for a in size[2 * size <= capacity].tolist():
+        large, middle, small = size > capacity - a, (2 * size > capacity) & (size <= capacity - a), (2 * size <= capacity) & (size >= a)
+        held = int(n[middle].sum())
+        best = max(best, int(n[large].sum()) + held + max(0, -(-(total(small) - held * capacity + total(middle)) // capacity)))
     return best
 
 
-def local_search(bins: Bins, capacity: int, steps: int = SEARCH_STEPS) -> Bins:
-    """Empty the least filled bins: exchange with the fullest that still have room, while the sum of squared fills grows."""
+@lru_cache(1 << 14)
+def _sums(bin_: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct lengths, distinct sums of two pieces, and the lesser piece of each sum."""
+    one, n = np.unique(bin_, return_counts=True)
+    i, j = np.triu_indices(len(one))
+    ok = (i != j) | (n[i] > 1)
+    two, at = np.unique((one[i] + one[j])[ok], return_index=True)
+    return one, two, one[i[ok][at]]
+
+
+def _exchange(give: tuple[int, ...], take: tuple[int, ...], a: int, b: int, room: int) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+    """The best move, swap (one for one) or exchange (two for one, either way) between bins of fills a and b that makes `take`
+    fuller: gain in squared fill, which grows with what goes over."""
+    g1, g2, g2a = _sums(give)
+    t1, t2, t2a = _sums(take)
+    best, move = 0, ((), ())
+    k = int(np.searchsorted(g1, room, "right")) - 1
+    if k >= 0:
+        best, move = int(g1[k]), ((int(g1[k]),), ())
+    for g, t, ga, ta in ((g1, t1, None, None), (g1, t2, None, t2a), (g2, t1, g2a, None)):
+        if best == room or not len(g) or not len(t):
+            continue
+        at = np.searchsorted(t, g - room)  # the least that must come back
+        over = g - t[np.minimum(at, len(t) - 1)]
+        over[at == len(t)] = 0
+        k = int(over.argmax())
+        if over[k] > best:
+            parts = lambda x, lesser, j: (int(x[j]),) if lesser is None else (int(lesser[j]), int(x[j] - lesser[j]))
+            best, move = int(over[k]), (parts(g, ga, k), parts(t, ta, int(at[k])))
+    gain = 2 * best * (b - a + best)
+    return (gain, *move) if gain > 0 else (0, (), ())
+
+
+def local_search(bins: Bins, capacity: int) -> Bins:
+    """Empty the least filled bins: exchange with the fuller ones that still have room, while the sum of squared fills grows."""
     bins = dict(bins)
-    total = sum(sum(b) * n for b, n in bins.items())
-    count, least = sum(bins.values()), -(-total // capacity)
+    counts: dict[int, int] = defaultdict(int)
+    for bin_, n in bins.items():
+        for length in bin_:
+            counts[length] += n
+    count, least = sum(bins.values()), least_bins(counts, capacity)
+    clock = 0  # changes so far
+    born = dict.fromkeys(bins, 0)  # when a class came up, or came to have a second bin to pair with
+    tried: dict[tuple[int, ...], int] = {}  # when a class last found no partner
+    under = sorted((sum(b), b) for b in bins if sum(b) < capacity)
 
     def add(bin_: tuple[int, ...], n: int) -> None:
-        if bin_:
-            bin_ = tuple(sorted(bin_, reverse=True))
-            bins[bin_] = bins.get(bin_, 0) + n
-            if not bins[bin_]:
-                del bins[bin_]
-
-    stuck: set[tuple[int, ...]] = set()
-    for _ in range(steps):
-        if count <= least:
-            break
-        under = sorted((b for b in bins if sum(b) < capacity), key=sum)
-        give = next((b for b in under if b not in stuck), None)
-        if give is None:
-            break
-        best, found = (0, (), ()), None
-        for take in [b for b in reversed(under) if b != give or bins[b] > 1][:PARTNERS]:
-            if (got := _exchange(give, take, capacity))[0] > best[0]:
-                best, found = got, take
-        if found is None:
-            stuck.add(give)
-            continue
-        k = min(bins[give], bins[found]) if found != give else bins[give] // 2
-        left, right = list(give), list(found)
-        for x in best[1]:
-            left.remove(x)
-            right.append(x)
-        for x in best[2]:
-            right.remove(x)
-            left.append(x)
-        add(give, -k)
-        add(found, -k)
-        add(tuple(left), k)
-        add(tuple(right), k)
-        count -= k * (not left)
+        if not bin_:
+            return
+        bin_ = tuple(sorted(bin_, reverse=True))
+        before = bins.get(bin_, 0)
+        entry = (sum(bin_), bin_)
+        if before + n:
+            bins[bin_] = before + n
+            if before < 2 <= before + n or not before:
+                born[bin_] = clock
+            if not before and entry[0] < capacity:
+                insort(under, entry)
+        else:
+            del bins[bin_], born[bin_]
+            tried.pop(bin_, None)
+            if entry[0] < capacity:
+                del under[bisect_left(under, entry)]
+
+    moved = True
+    while moved and count > least:
+        moved = False
+        for a, give in list(under):  # a sweep: each class against those that came up since it was last tried
+            while give in bins and tried.get(give, -1) < clock and count > least:
+                since, best, found = tried.get(give, -1), (0, (), ()), None
+                for b, take in under:
+                    if 2 * (capacity - b) * (capacity - a) <= best[0]:
+                        break  # nor can any fuller one gain more
+                    if born[take] <= since or (take == give and bins[take] < 2):
+                        continue
+                    if (got := _exchange(give, take, a, b, capacity - b))[0] > best[0]:
+                        best, found = got, take
+                if found is None:
+                    tried[give] = clock
+                    break
+                clock, moved = clock + 1, True
+                k = min(bins[give], bins[found]) if found != give else bins[give] // 2
+                left, right = list(give), list(found)
+                for x in best[1]:
+                    left.remove(x)
+                    right.append(x)
+                for x in best[2]:
+                    right.remove(x)
+                    left.append(x)
+                add(give, -k)
+                add(found, -k)
+                add(tuple(left), k)
+                add(tuple(right), k)
+                count -= k * (not left)
     return bins
 
 
