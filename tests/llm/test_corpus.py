@@ -304,3 +304,34 @@ def test_search_reads_until_no_outsider_can_qualify():
     score = np.where(ids[None, :] == own[:, None], -np.inf, q @ x.T)
     assert (alive == (score == score.max(axis=1, keepdims=True))).all()
     assert pauses[0] < pauses.max() <= len(DEPTHS) and DEPTHS[-1] == 1.0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Rows of near_dedup, suffix_dedup, mix and pack, each against a plain version fed with the stage's own input."""
+    import corpus_pipeline as c
+
+    from weftline.llm.common import documents
+
+    schema = documents(spark, SF).schema
+    data = [tuple(r) for r in documents(spark, SF).limit(80).collect()]
+    frame = lambda rows: spark.createDataFrame(rows, schema).repartition(3)
+    plain = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    kept = plain(c.near_dedup(spark, frame(data), SF))
+    want = {i for i, _, comp in brute.near_components(data, 5) if i == comp}
+    assert kept == sorted((r for r in data if r[0] in want), key=repr)
+    cleared = plain(c.suffix_dedup(spark, frame(kept), SF))
+    held = brute.byte_repeats(kept, 200, lambda b: b.decode("utf-8", "ignore"))
+    want = [r if not gone else (r[0], left, r[2], r[3], len(left)) for r, (_, _, gone, _, left) in zip(kept, held) if not gone or left.strip()]
+    assert cleared == sorted(want, key=repr)
+    mixed = plain(c.mix(spark, frame(cleared), SF))
+    spark.createDataFrame(cleared, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    names, taken = duck_rows(str(tmp_path), ORACLES["op4_mix_sources"])
+    copies = {r[names.index("doc_id")]: r[names.index("taken")] // max(r[names.index("size")], 1) for r in taken}
+    assert mixed == sorted((r for r in cleared for _ in range(copies[r[0]])), key=repr)
+    t, want = tokenizer(), []
+    for r in mixed:
+        ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 0]
+        over = len(ids) - (len(ids) - 1) // 2048 * 2048
+        cuts = [0, *range(over, len(ids) + 1, 2048)]
+        want += [(r[0], k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((tuple(r)[:5] for r in c.pack(spark, frame(mixed), SF).collect()), key=repr) == sorted(want, key=repr)
