@@ -87,6 +87,20 @@ def byte_repeats(data, length, digest=lambda b: hashlib.sha256(b).hexdigest()):
     return out
 
 
+def later_byte_repeats(data, length):
+    """(text without all but the first of equal strings, bytes removed) of each row, in the order of data."""
+    seen, out = set(), {}
+    for k in sorted(range(len(data)), key=lambda k: order(data[k])):
+        t = (data[k][1] or "").encode()
+        gone = [False] * len(t)
+        for i in range(len(t) - length + 1):
+            if t[i : i + length] in seen:
+                gone[i : i + length] = [True] * length
+            seen.add(t[i : i + length])
+        out[k] = (bytes(b for b, g in zip(t, gone) if not g).decode("utf-8", "ignore"), sum(gone))
+    return [out[k] for k in range(len(data))]
+
+
 def word_repeats(data, length):
     """(doc_id, words, removed, sha256) of each row."""
     seen, out = set(), []

@@ -73,8 +73,8 @@ def test_byte_repeats_without_rows(spark):
 
 def test_deduplicated_texts(spark):
     docs = spark.createDataFrame([r[:5] for r in brute.rows()], "doc_id long, text string, lang string, source string, n_chars long")
-    held = brute.byte_repeats(brute.rows(), 200, lambda b: b.decode("utf-8", "ignore"))
-    want = [(i, r[1] if not gone else left) for r, (i, _, gone, _, left) in zip(brute.rows(), held) if not gone or left.strip()]
+    held = brute.later_byte_repeats(brute.rows(), 200)
+    want = [(r[0], r[1] if not gone else left) for r, (left, gone) in zip(brute.rows(), held) if not gone or left.strip()]
     got = deduplicated_texts(docs, 200).collect()
     assert sorted_rows((r.doc_id, r.text) for r in got) == sorted_rows(want)
     assert all(r.n_chars == len(r.text) for r in got if r.n_chars)
@@ -90,16 +90,21 @@ def test_word_repeats_without_rows(spark):
     assert deduplicate_documents_by_words(brute.table(spark, [])).count() == 0
 
 
-def test_suffix_array_and_common_prefixes():
+def test_suffix_array_and_common_prefixes(monkeypatch):
+    from weftline.llm import suffix_array as module
+
     rng = random.Random(5)
-    for _ in range(150):
+    for k in range(200):
+        # Large alphabets in small: names written as digits, and doubling for short strings only.
+        monkeypatch.setattr(module, "SCAN_SYMBOLS", (512, 2, 4)[k % 3])
+        monkeypatch.setattr(module, "SHORT", (1 << 18, 4, 20)[k % 3])
         t = [rng.randint(1, rng.choice([1, 2, 3, 26])) for _ in range(rng.randint(0, 120))] * rng.choice([1, 1, 3])
         s = np.array([*t, 0])
         sa = suffix_array(s)
         want = sorted(range(len(s)), key=lambda i: list(s[i:]))
         assert sa.tolist() == want
         limit = rng.choice([3, 10, 1000])
-        lcp = permuted_lcp(s.astype(np.int16), sa, limit)
+        lcp = permuted_lcp(s.astype(rng.choice([np.uint8, np.uint16])), sa, limit)
         for a, b in zip(want, want[1:]):
             n = 0
             while n < limit and max(a, b) + n < len(s) and s[a + n] == s[b + n]:
@@ -194,3 +199,41 @@ def test_a_common_line_fills_no_index(spark):
     kind = Kind(200, 100, _symbols, lambda s: BYTE_VALUES[s], solve, False, kept_bytes, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary")
     got = {r.doc_id: r.n_removed for r in take_out_repeats(spark.createDataFrame(data, "doc_id long, text string").repartition(4), kind).collect()}
     assert {i: n for i, n in got.items() if n} == {0: 350, 16000: 350, 1: 350, 16001: 350}
+
+
+def unlike_twins(size=4096):
+    """Two Thue-Morse words, unlike at every letter: polynomial hashes modulo powers of two take them for equal."""
+    bits = [bin(i).count("1") & 1 for i in range(size)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_tell_unlike_words_apart():
+    from weftline.llm.arrays import BYTE_VALUES, Lanes, running, stretch, word_hashes
+
+    a, b = (t.encode() for t in unlike_twins())
+    data, starts = np.frombuffer(a + b + a, np.uint8), np.array([0, len(a), 2 * len(a)])
+    choice = stretch(running(BYTE_VALUES[data]), starts, starts + len(a))
+    assert choice[0] == choice[1]  # the case is real
+    for x in (word_hashes(data, starts, starts + len(a)), Lanes(data).of(starts, starts + len(a)), Lanes(data.astype(np.uint64)).of(starts, starts + len(a))):
+        assert x[0] == x[2] != x[1]
+
+
+def test_lanes_are_polynomials():
+    from weftline.llm.arrays import _LANE_BASES, Lanes
+
+    data = np.random.default_rng(1).integers(0, 256, 3000).astype(np.uint8)
+    for base, sums in zip(_LANE_BASES, Lanes(data).sums):
+        assert int(sums[2500]) % (2**31 - 1) == sum((int(v) + 1) * pow(base, i, 2**31 - 1) for i, v in enumerate(data[:2500])) % (2**31 - 1)
+
+
+def test_unlike_texts_of_one_polynomial_hash(spark):
+    """Near duplicates, byte and word repeats and fingerprints tell the twins apart."""
+    a, b = unlike_twins()
+    data = [(1, a, None, None, 0, "", "", 0), (2, b, None, None, 0, "", "", 0), (3, f"{a} x {b}", None, None, 0, "", "", 0), (4, f"{b} x {a}", None, None, 0, "", "", 0)]
+    docs = brute.table(spark, data)
+    assert sorted_rows(r[:3] for r in near_duplicates(docs, 2, 80).collect()) == sorted_rows(brute.near_components(data, 2))
+    for length in (200, 5000):
+        assert sorted_rows(deduplicate_documents(docs, length).collect()) == sorted_rows(brute.byte_repeats(data, length))
+    assert sorted_rows(deduplicate_documents_by_words(docs, 2).collect()) == sorted_rows(brute.word_repeats(data, 2))
+    got = {r.doc_id: r for r in fingerprint_documents(docs).collect()}
+    assert len({r.fingerprint for r in got.values()}) == 4 and got[2].near_next < 1

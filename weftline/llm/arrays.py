@@ -1,7 +1,11 @@
 """NumPy kernels on whole Arrow batches: texts as one byte buffer with offsets, words and hashes without Python objects.
 
-Hashes are 64-bit polynomials over the bytes (or code points) modulo 2**64, taken from running sums, so the hash of any
-stretch costs two lookups; each symbol is first replaced by a mixed 64-bit value, and results are mixed again.
+Two kinds of hashes:
+
+  - of content: word_hashes() adds up one pseudo-random 64-bit value for each (place, byte), so that any two words collide
+    with chance 2**-64; Lanes hashes any stretch by polynomials modulo the prime 2**31 - 1 with two bases, 62 bits;
+  - of choice only: running() and stretch() are polynomials modulo 2**64, which take the fewest steps but hold some unlike
+    strings (Thue-Morse words) for equal. They choose anchors and break ties, and nothing rests on their being different.
 """
 
 from __future__ import annotations
@@ -125,8 +129,79 @@ def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, off)
 
 
+#: Places of a word whose values come from a table; those beyond are mixed one by one.
+_TABLED = 32
+_PLACE = U64(0x9E3779B97F4A7C15)
+_TABLE = mix64((np.arange(_TABLED, dtype=U64) * _PLACE)[:, None] + BYTE_VALUES[None, :]).reshape(-1)
+
+
+def place_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Content hashes of the stretches [start, end), which do not overlap and are not empty: the sum of a pseudo-random value
+    for each place and symbol (a byte, or a number below 2**32)."""
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    if int(size.sum()) != len(symbols):
+        symbols = symbols[ragged(starts, size)]
+    place = np.arange(len(symbols)) - np.repeat(begin, size)
+    if symbols.dtype == np.uint8:
+        values = _TABLE[(np.minimum(place, _TABLED - 1) << 8) | symbols]
+        far = np.flatnonzero(place >= _TABLED)
+        values[far] = mix64(place[far].astype(U64) * _PLACE + BYTE_VALUES[symbols[far]])
+    else:
+        values = mix64(mix64(place.astype(U64) * _PLACE + U64(0x5851F42D4C957F2D)) + symbols.astype(U64) * U64(0xD6E8FEB86659FD93))
+    return mix64(np.add.reduceat(values, begin) + size.astype(U64)) if len(size) else np.zeros(0, U64)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return stretch(running(BYTE_VALUES[data]), starts, ends)
+    """Content hashes of words: stretches of bytes that do not overlap."""
+    return place_hashes(data, starts, ends)
+
+
+_PRIME = U64((1 << 31) - 1)
+_LANE_BASES = (0x2F6B3A91, 0x5D1E27C7)
+_lane_powers = [[np.ones(1, U64), np.ones(1, U64)] for _ in _LANE_BASES]
+
+
+def _modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1 for any 64-bit x."""
+    x = (x & _PRIME) + (x >> U64(31))
+    x = (x & _PRIME) + (x >> U64(31))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _lane_tables(lane: int, n: int) -> list[np.ndarray]:
+    """base**i and base**-i modulo 2**31 - 1 for i below n."""
+    held = _lane_powers[lane]
+    if len(held[0]) < n:
+        for k, base in enumerate((_LANE_BASES[lane], pow(_LANE_BASES[lane], -1, int(_PRIME)))):
+            x = np.ones(1, U64)
+            while len(x) < max(n, 1 << 16):  # doubling: x, then x times base**len(x)
+                x = np.concatenate((x, _modulo(x * U64(pow(base, len(x), int(_PRIME))))))
+            held[k] = x
+    return held
+
+
+class Lanes:
+    """Content hashes of any stretches of a sequence: bytes, or 64-bit symbols that are hashes themselves."""
+
+    def __init__(self, symbols: np.ndarray) -> None:
+        self.sums = []
+        for lane in range(len(_LANE_BASES)):
+            if symbols.dtype == np.uint8:
+                x = symbols.astype(U64) + U64(1)
+            else:
+                x = _modulo(mix64(symbols.astype(U64) + U64(lane)))
+            x *= _lane_tables(lane, len(symbols) + 1)[0][: len(symbols)]
+            if symbols.dtype != np.uint8 or len(symbols) > 1 << 23:  # else the sum stays below 2**64 as it is
+                x = (x & _PRIME) + (x >> U64(31))
+            sums = np.zeros(len(symbols) + 1, U64)
+            np.cumsum(x, out=sums[1:])
+            self.sums.append(sums)
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of the stretches [start, end)."""
+        one, two = (_modulo(_modulo(s[ends] - s[starts]) * _lane_tables(lane, len(s))[1][starts]) for lane, s in enumerate(self.sums))
+        return mix64(((one << U64(31)) | two) + mix64((ends - starts).astype(U64)))
 
 
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

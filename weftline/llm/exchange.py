@@ -80,6 +80,12 @@ def groups(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def runs(bucket: np.ndarray) -> list[tuple[int, int, int]]:
+    """(bucket, start, end) of each run of a sorted column: only buckets that are met."""
+    at = groups(bucket)
+    return list(zip(bucket[at].tolist(), at.tolist(), np.append(at[1:], len(bucket)).tolist()))
+
+
 def range_bucket(keys: np.ndarray, n: int) -> np.ndarray:
     """Bucket of 48-bit keys by range, so that sorted keys are sorted by bucket too."""
     return ((keys * np.uint64(n)) >> np.uint64(48)).astype(np.int64)

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 
 from weftline.llm.arrays import U64
-from weftline.llm.suffix_array import _double
+from weftline.llm.suffix_array import double_ranks
 
 
 class BitVector:
@@ -60,7 +60,7 @@ class FMIndex:
     """
 
     def __init__(self, symbols: np.ndarray, kinds: int, longest: int) -> None:
-        self.suffixes = _double(symbols, longest + 1)
+        self.suffixes = double_ranks(symbols, longest + 1)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=kinds))))
         self.tree = WaveletMatrix(symbols[self.suffixes - 1], kinds)
         self.n = len(symbols)

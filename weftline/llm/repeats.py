@@ -30,9 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrays import U64, mix64, powers, ragged, running, slices, stretch
+from weftline.llm.arrays import U64, Lanes, mix64, powers, ragged, running, slices, stretch
 from weftline.llm.common import partitions, release, shared_dir, stored
-from weftline.llm.exchange import ROWS, at_keys, deal, differences, from_bytes, groups, pack, packed_rows, range_bucket, to_bytes, unpack
+from weftline.llm.exchange import ROWS, deal, differences, from_bytes, groups, pack, packed_rows, range_bucket, runs, to_bytes, unpack
 
 BLOCK_BYTES = 4 << 20
 #: Symbols of one index; a shard's anchors are divided among as many indexes as that takes. An anchor that may have more is hot.
@@ -46,8 +46,8 @@ HOT = 2
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
-def find_segments(sums: np.ndarray, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Segments of texts given by their symbols' running sums: document, start, length, anchor's hash, content's hash."""
+def find_segments(sums: np.ndarray, lanes: Lanes, off: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Segments of texts given by their symbols' running sums and lanes: document, start, length, anchor's hash, content's hash."""
     n, span = len(sums) - 1, window - gram + 1
     sizes = np.diff(off)
     count = np.maximum(sizes - window + 1, 0)
@@ -70,14 +70,14 @@ def find_segments(sums: np.ndarray, off: np.ndarray, window: int, gram: int) ->
     at = groups(anchor, doc)
     last = np.append(at[1:], len(start)) - 1
     begin, end, a = start[at], start[last] + window, anchor[at]
-    return doc[at], begin, end - begin, *_segment_keys(sums, begin, end - begin, a, gram)
+    return doc[at], begin, end - begin, *_segment_keys(sums, lanes, begin, end - begin, a, gram)
 
 
-def _segment_keys(sums: np.ndarray, begin: np.ndarray, size: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
+def _segment_keys(sums: np.ndarray, lanes: Lanes, begin: np.ndarray, size: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
     """48 bits each of segments' anchors and contents. Anchors are least hashes, so they are hashed anew to spread over the
-    shards' ranges; contents are only compared under equal anchors."""
+    shards' ranges, and unlike ones of one hash only meet; contents are content hashes, compared under equal anchors."""
     anchor = mix64(stretch(sums, at, at + gram) ^ U64(0x8EBC6AF09C88C6E3)) >> U64(16)
-    content = mix64(stretch(sums, begin, begin + size) ^ mix64((at - begin).astype(U64) + size.astype(U64) * U64(1 << 32))) >> U64(16)
+    content = mix64(lanes.of(begin, begin + size) ^ mix64((at - begin).astype(U64) + size.astype(U64) * U64(1 << 32))) >> U64(16)
     return anchor, content
 
 
@@ -144,14 +144,13 @@ def _write_blocks(docs: DataFrame, kind: Kind, n: int, key: str, text: str) -> D
                 first[order[at]] = 1
                 out.append((PLACES, block % n, block, pack(np.diff(start, prepend=0).astype(np.int32), length.astype(np.uint32), which.astype(np.uint32), first, doc.astype(np.uint32))))
                 a, c = a[at], c[at]
-                cut = np.searchsorted(range_bucket(a, n), np.arange(n + 1))
-                out += [(ASKED, k, block, pack(np.array([i]), differences(a[i:j]), c[i:j], (times[i:j] > 1).astype(np.uint8))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
+                out += [(ASKED, k, block, pack(np.array([i]), differences(a[i:j]), c[i:j], (times[i:j] > 1).astype(np.uint8))) for k, i, j in runs(range_bucket(a, n))]
             return packed_rows(out)
 
         for rows, data, off in slices(batches, text):
             sym, at = kind.symbols(data, off)
             sums = running(kind.values(sym))
-            doc, start, length, anchor, content = find_segments(sums, at, kind.window, kind.gram)
+            doc, start, length, anchor, content = find_segments(sums, Lanes(sym), at, kind.window, kind.gram)
             held.append((rows, doc + docs_so_far, start + symbols, length, anchor, content, *_places(rows, key, at, sums)))
             size, symbols, docs_so_far = size + len(data), symbols + int(at[-1]), docs_so_far + rows.num_rows
             if size >= BLOCK_BYTES:
@@ -240,48 +239,44 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
             place[which[one]] = one
             place = place[index]
             s, size, d = start[place], length[place].astype(np.int64), doc[place].astype(np.int64)
-            sums = running(kind.values(sym))
+            sums, lanes = running(kind.values(sym)), Lanes(sym)
             # The hashes again, of these segments only.
             ids, null, tie = _places(rows.combine_chunks().to_batches()[0], key, off, sums)
             out = []
             hot = np.flatnonzero(provide == HOT)
             if len(hot):
-                out += _windows(kind, n, block, sums, index[hot], s[hot], size[hot], np.minimum(times[index[hot]], 2), ids[d[hot]], null[d[hot]], tie[d[hot]], off[d[hot]])
+                out += _windows(kind, n, block, lanes, index[hot], s[hot], size[hot], np.minimum(times[index[hot]], 2), ids[d[hot]], null[d[hot]], tie[d[hot]], off[d[hot]])
                 cold = provide != HOT
                 index, provide, s, size, d = index[cold], provide[cold], s[cold], size[cold], d[cold]
             provide = provide.astype(bool)
-            anchor, content = _again(sums, s, size, kind)
-            del sums
+            anchor, content = _again(sums, lanes, s, size, kind)
+            del sums, lanes
             where = range_bucket(anchor, n)
             order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(n + 1))
-            for k in range(n):
-                mine = order[cut[k] : cut[k + 1]]
-                if len(mine):
-                    give = mine[provide[mine]]
-                    out.append((SENT, k, block, pack(index[mine], anchor[mine], content[mine], np.minimum(times[index[mine]], 2).astype(np.uint8), provide[mine].astype(np.uint8), ids[d[mine]], null[d[mine]].astype(np.uint8), tie[d[mine]], s[mine] - off[d[mine]], size[give].astype(np.uint32), *_coded(sym[ragged(s[give], size[give])]))))
+            for k, i, j in runs(where[order]):
+                mine = order[i:j]
+                give = mine[provide[mine]]
+                out.append((SENT, k, block, pack(index[mine], anchor[mine], content[mine], np.minimum(times[index[mine]], 2).astype(np.uint8), provide[mine].astype(np.uint8), ids[d[mine]], null[d[mine]].astype(np.uint8), tie[d[mine]], s[mine] - off[d[mine]], size[give].astype(np.uint32), *_coded(sym[ragged(s[give], size[give])]))))
             yield packed_rows(out)
 
     return run
 
 
-def _windows(kind: Kind, n: int, block: int, sums: np.ndarray, index: np.ndarray, start: np.ndarray, size: np.ndarray, times: np.ndarray, ids: np.ndarray, null: np.ndarray, tie: np.ndarray, begin: np.ndarray) -> list[tuple]:
+def _windows(kind: Kind, n: int, block: int, lanes: Lanes, index: np.ndarray, start: np.ndarray, size: np.ndarray, times: np.ndarray, ids: np.ndarray, null: np.ndarray, tie: np.ndarray, begin: np.ndarray) -> list[tuple]:
     """Step 3 for segments of hot anchors: each window goes to the shard that its own hash names. The windows of a segment differ."""
     count = size - kind.window + 1
     of = np.repeat(np.arange(len(index)), count)
     shift = ragged(np.zeros(len(index), np.int64), count)
     at = start[of] + shift
-    key = mix64(stretch(sums, at, at + kind.window) ^ U64(0xD6E8FEB86659FD93))
+    key = mix64(lanes.of(at, at + kind.window) ^ U64(0xD6E8FEB86659FD93))
     where = range_bucket(key >> U64(16), n)
     order = np.argsort(where, kind="stable")
-    cut = np.searchsorted(where[order], np.arange(n + 1))
     out = []
-    for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())):
-        if j > i:
-            w = order[i:j]
-            x = of[w]
-            place = (ids[x], null[x].astype(np.uint8), tie[x], at[w] - begin[x]) if kind.first_stays else ()
-            out.append((ALONE, k, block, pack(index[x], shift[w].astype(np.uint32), key[w], times[x].astype(np.uint8), *place)))
+    for k, i, j in runs(where[order]):
+        w = order[i:j]
+        x = of[w]
+        place = (ids[x], null[x].astype(np.uint8), tie[x], at[w] - begin[x]) if kind.first_stays else ()
+        out.append((ALONE, k, block, pack(index[x], shift[w].astype(np.uint32), key[w], times[x].astype(np.uint8), *place)))
     return out
 
 
@@ -318,7 +313,7 @@ def _coded(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return differences(kinds), at.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32)
 
 
-def _again(sums: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
+def _again(sums: np.ndarray, lanes: Lanes, start: np.ndarray, size: np.ndarray, kind: Kind) -> tuple[np.ndarray, np.ndarray]:
     """Anchor and content hashes of known segments: the anchor is the least gram that all windows of a segment hold."""
     count = size - kind.window + 1  # windows
     lo, hi = start + count - 1, start + kind.window - kind.gram + 1  # grams that every window has
@@ -328,7 +323,7 @@ def _again(sums: np.ndarray, start: np.ndarray, size: np.ndarray, kind: Kind) ->
     key = (key & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - at.astype(U64))
     low = np.minimum.reduceat(key, np.cumsum(many) - many) if len(at) else key
     a = (U64(0xFFFFFFFF) - (low & U64(0xFFFFFFFF))).astype(np.int64)
-    return _segment_keys(sums, start, size, a, kind.gram)
+    return _segment_keys(sums, lanes, start, size, a, kind.gram)
 
 
 def _answer(kind: Kind, n: int):  # noqa: ANN202

@@ -4,18 +4,22 @@ Suffixes are classified as smaller (S) or larger (L) than their successor. The l
 them the L suffixes are induced in one scan over the buckets upwards, and the S suffixes in one downwards. A scan
 handles a bucket's suffixes at once: what they induce goes to other buckets by a stable counting sort, and what falls into
 the bucket itself (runs of one symbol) in further waves. To sort the LMS suffixes, LMS substrings are sorted by the same
-two scans, named, and the string of names is sorted: by induced sorting again while its alphabet is small, else by
-doubling of ranks, since scans over as many buckets as symbols gain nothing from arrays.
+two scans and named, and the string of names is sorted in the same way, level after level, until all names differ or the
+string is short. Names beyond SCAN_SYMBOLS are written as two digits, which keeps their order and the scans' buckets few.
+Short strings of many names are sorted by doubling of ranks: scans over thousands of near-empty buckets gain nothing there.
+
+Substrings and prefixes are compared by their symbols, eight bytes at a time, never by hashes.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from weftline.llm.arrays import BYTE_VALUES, mix64, powers, running, stretch
+from weftline.llm.arrays import U64
 
-#: Largest alphabet for scans over buckets.
-SCAN_SYMBOLS = 512
+#: Largest alphabet for scans over buckets; the longest string that is sorted by doubling if its alphabet is larger, and the
+#: level from which any such string is.
+SCAN_SYMBOLS, SHORT, LEVELS = 512, 1 << 18, 8
 
 
 def _smaller(s: np.ndarray) -> np.ndarray:
@@ -31,15 +35,15 @@ def _smaller(s: np.ndarray) -> np.ndarray:
 
 def _place(sa: np.ndarray, pointer: np.ndarray, symbol: np.ndarray, suffix: np.ndarray, up: bool) -> None:
     """Append suffixes (in order) to their symbols' buckets, at the front going up or at the back going down."""
-    order = np.argsort(symbol, kind="stable")
-    symbol, suffix = symbol[order], suffix[order]
-    new = np.ones(len(symbol), bool)
-    new[1:] = symbol[1:] != symbol[:-1]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(symbol)))
-    within = np.arange(len(symbol)) - np.repeat(first, size)
-    sa[pointer[symbol] + within if up else pointer[symbol] - within] = suffix
-    pointer[symbol[first]] += size if up else -size
+    size = np.bincount(symbol, minlength=len(pointer))
+    before = np.cumsum(size) - size
+    within = np.arange(len(symbol))
+    if up:
+        sa[within + np.repeat(pointer - before, size)] = suffix[symbol.argsort(kind="stable")]
+        pointer += size
+    else:
+        sa[np.repeat(pointer + before, size) - within] = suffix[symbol.argsort(kind="stable")]
+        pointer -= size
 
 
 def _induce(s: np.ndarray, small: np.ndarray, heads: np.ndarray, lms: np.ndarray) -> np.ndarray:
@@ -91,12 +95,12 @@ def _induce(s: np.ndarray, small: np.ndarray, heads: np.ndarray, lms: np.ndarray
     return sa
 
 
-def _double(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes sorted by their first symbols, depth of them at least, by doubling of ranks."""
+def double_ranks(s: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Suffixes sorted by their first symbols, depth of them at least, by doubling of ranks; all of them without depth."""
     n = len(s)
     rank = (np.cumsum(np.bincount(s) > 0) - 1)[s]
     order = np.argsort(rank, kind="stable")
-    k = 1
+    k, depth = 1, n if depth is None else depth
     while k < depth:
         follow = np.zeros(n, np.int64)
         follow[: max(n - k, 0)] = rank[k:] + 1
@@ -112,17 +116,29 @@ def _double(s: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffixes of s in ascending order; s holds small non-negative integers, its last a unique least one. With depth, suffixes
-    that share their first depth symbols may stand in any order among themselves (they still stand together)."""
+def _digits(s: np.ndarray, kinds: int) -> tuple[np.ndarray, int]:
+    """Symbols as two digits each, the more significant first, and the closing 0: suffixes that begin at symbols keep their order."""
+    base = int(np.ceil(np.sqrt(kinds)))
+    out = np.zeros(2 * len(s) + 1, np.uint16)
+    out[0:-1:2], out[1:-1:2] = s // base + 1, s % base + 1
+    return out, 2
+
+
+def suffix_array(s: np.ndarray, level: int = 0) -> np.ndarray:
+    """Suffixes of s in ascending order; s holds small non-negative integers, its last a unique least one."""
     n = len(s)
-    depth = n if depth is None else min(depth, n)
     if n < 3:
         return np.arange(n)[::-1].astype(np.int32)
     used = np.bincount(s) > 0
-    if used.sum() > SCAN_SYMBOLS:
-        return _double(s, depth).astype(np.int32)
-    s = (np.cumsum(used) - 1).astype(np.uint16)[s]  # sixteen bits: stable sorts by symbol are radix sorts
+    kinds = int(used.sum())
+    s = (np.cumsum(used) - 1)[s]
+    if kinds > SCAN_SYMBOLS and (n <= SHORT or level >= LEVELS):
+        return double_ranks(s).astype(np.int32)
+    if kinds > SCAN_SYMBOLS:
+        digits, width = _digits(s, kinds)
+        sa = suffix_array(digits, level + 1)
+        return sa[(sa % width == 0) & (sa < n * width)] // width
+    s = s.astype(np.uint8 if kinds <= 256 else np.uint16)  # stable sorts by such symbols are radix sorts
     small = _smaller(s)
     heads = np.concatenate(([0], np.cumsum(np.bincount(s))))
     is_lms = small.copy()
@@ -132,28 +148,51 @@ def suffix_array(s: np.ndarray, depth: int | None = None) -> np.ndarray:
     sa = _induce(s, small, heads, lms.astype(np.int32))
     ordered = sa[is_lms[sa]]
     # Names of the LMS substrings: equal ones are neighbours now.
-    end = np.append(lms[1:], n - 1) + 1
-    size = end - lms
-    sums = running(mix64(s.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
-    digest = np.zeros(n, np.uint64)
-    digest[lms] = mix64(stretch(sums, lms, end) ^ size.astype(np.uint64))
-    new = np.concatenate(([False], digest[ordered[1:]] != digest[ordered[:-1]]))
-    name = np.empty(n, np.int64)
-    name[ordered] = np.cumsum(new)
-    names = name[lms]
-    if new[1:].all():
+    size = np.zeros(n, np.int32)
+    size[lms] = np.append(lms[1:], n - 1) + 1 - lms
+    a, b = ordered[:-1], ordered[1:]
+    new = size[a] != size[b]
+    like = np.flatnonzero(~new)
+    new[like[Prefixes(s).shared(a[like], b[like], size[a[like]]) < size[a[like]]]] = True
+    if new.all():
         return _induce(s, small, heads, ordered)
-    # The last LMS suffix is the closing symbol, unique and least. An LMS substring spans two symbols beyond its start at least.
-    inner = suffix_array(names, None if depth >= n else depth // 2 + 2)
-    return _induce(s, small, heads, lms[inner].astype(np.int32))
+    name = np.empty(n, np.int64)
+    name[ordered] = np.concatenate(([0], np.cumsum(new)))
+    # The last LMS suffix is the closing symbol, unique and least.
+    return _induce(s, small, heads, lms[suffix_array(name[lms], level + 1)].astype(np.int32))
+
+
+class Prefixes:
+    """Common prefixes of suffixes of s, which holds 8- or 16-bit symbols."""
+
+    def __init__(self, s: np.ndarray) -> None:
+        self.step = 8 // s.dtype.itemsize
+        raw = np.concatenate((s, np.zeros(self.step, s.dtype)))
+        self.words = np.ascontiguousarray(np.ndarray(len(s) + 1, "<u8", raw, strides=(s.dtype.itemsize,)))
+        self.shift = U64(3 if self.step == 8 else 4)
+
+    def shared(self, a: np.ndarray, b: np.ndarray, limit: int | np.ndarray) -> np.ndarray:
+        """Symbols that the suffixes at a and b share, limit at most."""
+        most = np.broadcast_to(np.asarray(limit, np.int64), len(a))
+        end = len(self.words) - 1
+        out = np.zeros(len(a), np.int64)
+        go, done = np.arange(len(a)), 0
+        while len(go):
+            differ = self.words[np.minimum(a[go] + done, end)] ^ self.words[np.minimum(b[go] + done, end)]
+            same = differ == 0
+            stop = ~same
+            low = differ[stop]
+            out[go[stop]] = done + (np.bitwise_count((low & (~low + U64(1))) - U64(1)).astype(np.uint64) >> self.shift).astype(np.int64)
+            go, done = go[same], done + self.step
+            over = most[go] <= done
+            out[go[over]] = done
+            go = go[~over]
+        return np.minimum(out, np.minimum(most, end - np.maximum(a, b)))
 
 
 def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
-    """For each suffix, by position: the symbols it shares with its predecessor in sa, limit at most.
-
-    Where the symbols before both are equal too, the value is the previous position's less one; the others are found by
-    bisection on hashes of stretches.
-    """
+    """For each suffix, by position: the symbols it shares with its predecessor in sa, limit at most. s holds 8- or 16-bit
+    symbols. Where the symbols before both are equal too, the value is the previous position's less one."""
     n = len(s)
     phi = np.empty(n, np.int64)
     phi[sa[1:]] = sa[:-1]
@@ -164,9 +203,9 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
     # A predecessor's predecessor need not be the pair's own; the shortcut holds where both step back together.
     own[1:] |= phi[1:] - 1 != phi[:-1]
     hard = np.flatnonzero(own & (phi >= 0))
-    sums = running(BYTE_VALUES[s]) if s.dtype == np.uint8 else running(mix64(s.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+    prefixes = Prefixes(s)
     out = np.zeros(n, np.int64)
-    out[hard] = _shared(sums, hard, phi[hard], limit)
+    out[hard] = prefixes.shared(hard, phi[hard], limit)
     # Runs that step back together lose one symbol a step, unless the value had reached the limit: those are measured anew.
     soft = np.flatnonzero(~own)
     if len(soft):
@@ -174,33 +213,5 @@ def permuted_lcp(s: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:
         cut = out[lead] >= limit
         out[soft] = np.maximum(out[lead] - (soft - lead), 0)
         again = soft[cut]
-        out[again] = _shared(sums, again, phi[again], limit)
+        out[again] = prefixes.shared(again, phi[again], limit)
     return out
-
-
-def _shared(sums: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
-    """Symbols that the stretches from a and b share, limit at most: longer and longer steps find a bracket, bisection the value."""
-    most = np.minimum(limit, len(sums) - 1 - np.maximum(a, b))
-    # Stretches are compared by their raw hashes, shifted to a common origin.
-    inverse = powers(len(sums))[1]
-    sum_a, sum_b, shift_a, shift_b = sums[a], sums[b], inverse[a], inverse[b]
-    lo, hi = np.zeros(len(a), np.int64), most.copy()
-
-    def same(i: np.ndarray, size: np.ndarray) -> np.ndarray:
-        return (sums[a[i] + size] - sum_a[i]) * shift_a[i] == (sums[b[i] + size] - sum_b[i]) * shift_b[i]
-
-    go, step = np.arange(len(a)), 8
-    while len(go) and step < limit:
-        size = np.minimum(step, most[go])
-        ok = same(go, size)
-        lo[go[ok]] = size[ok]
-        hi[go[~ok]] = size[~ok] - 1
-        go, step = go[ok & (size == step)], step * 4
-    go = np.flatnonzero(lo < hi)
-    while len(go):
-        mid = (lo[go] + hi[go] + 1) // 2
-        ok = same(go, mid)
-        lo[go] = np.where(ok, mid, lo[go])
-        hi[go] = np.where(ok, hi[go], mid - 1)
-        go = go[lo[go] < hi[go]]
-    return lo

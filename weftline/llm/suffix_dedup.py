@@ -27,24 +27,39 @@ from weftline.llm.suffix_array import permuted_lcp, suffix_array
 LENGTH = 200
 
 
-def repeated_windows(part: Segment, window: int) -> np.ndarray:
-    """Starts of windows that occur at another place of the index, or in a segment with copies."""
+def _sorted_suffixes(part: Segment, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Suffix array of the segments with a separator after each, which positions share `window` symbols with their predecessor
+    in it, starts of segments, starts of windows and the segment of each."""
     count = len(part.start)
-    s = np.ones(len(part.symbols) + count + 1, np.int16)
+    # Bytes of UTF-8 end at 0xF4: two more symbols fit into eight bits.
+    s = np.ones(len(part.symbols) + count + 1, np.uint8 if not len(part.symbols) or part.symbols.max() < 254 else np.uint16)
     s[-1] = 0
-    at = part.start + np.arange(count)  # a separator after each segment
-    s[ragged(at, part.length)] = part.symbols.astype(np.int16) + 2
-    sa = suffix_array(s, window)
-    shared = permuted_lcp(s, sa, 8 * window)  # beyond a segment's length, so that runs are followed to their end
-    hit = shared >= window
-    before = sa[:-1][hit[sa[1:]]]
-    hit[before] = True
-    begins = ragged(at, part.length - window + 1)
-    segment = np.repeat(np.arange(count), part.length - window + 1)
+    at = part.start + np.arange(count)
+    s[ragged(at, part.length)] = part.symbols.astype(s.dtype) + 2
+    sa = suffix_array(s)
+    shared = permuted_lcp(s, sa, 2 * window)  # beyond a segment's length, so that runs are followed to their end
+    return sa, shared >= window, at, ragged(at, part.length - window + 1), np.repeat(np.arange(count), part.length - window + 1)
+
+
+def repeated_windows(part: Segment, window: int) -> np.ndarray:
+    """Starts of windows that occur at another place of the index, or in a segment with copies."""
+    sa, hit, _, begins, segment = _sorted_suffixes(part, window)
+    hit[sa[:-1][hit[sa[1:]]]] = True
     keep = hit[begins] | (part.copies[segment] > 1)
     return (begins - segment)[keep]
 
 
+def later_windows(part: Segment, window: int) -> np.ndarray:
+    """Starts of windows of which an equal one stands at an earlier place of the index."""
+    sa, hit, at, begins, segment = _sorted_suffixes(part, window)
+    place = np.full(len(sa), np.iinfo(np.int64).max)
+    place[begins] = part.place[segment] + begins - at[segment]
+    first = np.flatnonzero(~hit[sa])  # equal windows are neighbours
+    least = np.empty(len(sa), np.int64)
+    least[sa] = np.repeat(np.minimum.reduceat(place[sa], first), np.diff(np.append(first, len(sa))))
+    return (begins - segment)[place[begins] > least[begins]]
+
+
 def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return data, off
 
@@ -65,11 +80,12 @@ def kept_bytes(rows: pa.Table, sym: np.ndarray, off: np.ndarray, gone: np.ndarra
         yield pa.RecordBatch.from_arrays([*batch[0].columns, *columns, kept.cast(pa.binary())], [*rows.schema.names, "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def deduplicate(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs (unique column names, doc_id and text among them) with n_bytes, n_removed, n_spans and kept."""
+def deduplicate(docs: DataFrame, length: int = LENGTH, first_stays: bool = False) -> DataFrame:
+    """docs (unique column names, doc_id and text among them) with n_bytes, n_removed, n_spans and kept. first_stays: of equal
+    strings, the first by doc_id (nulls last, then by text) and place is not counted as repeated."""
     gram = max(1, length // 2)  # half a window: only passages that long share an anchor, not every common phrase
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    kind = Kind(length, gram, _symbols, lambda s: BYTE_VALUES[s], repeated_windows, False, kept_bytes, fields + ", n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = Kind(length, gram, _symbols, lambda s: BYTE_VALUES[s], later_windows if first_stays else repeated_windows, first_stays, kept_bytes, fields + ", n_bytes long, n_removed long, n_spans long, kept binary")
     return take_out_repeats(docs, kind)
 
 
@@ -80,12 +96,10 @@ def deduplicate_documents(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
 
 def deduplicated_texts(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """docs with repeats taken out of text (n_chars, if there, follows); a text that nothing is left of goes with its row.
-
-    Removal is by bytes; a character that it cuts in two goes whole.
-    """
+    """docs with repeats taken out of text, all but the first of each (n_chars, if there, follows); a text that nothing is left of
+    goes with its row. Removal is by bytes; a character that it cuts in two goes whole."""
     fields = docs.schema.fields
-    found = deduplicate(docs, length)
+    found = deduplicate(docs, length, True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
