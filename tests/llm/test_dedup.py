@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from weftline.llm.components import components
-from weftline.llm.fingerprints import fingerprint_documents, fingerprints, likeness, locate_edits, merkle_nodes, merkle_tree
+from weftline.llm.fingerprints import Fingerprint, fingerprint_documents, fingerprints, likeness, locate_edits, merkle_nodes, merkle_trees, paragraphs
 from weftline.llm.fm_dedup import deduplicate_documents_by_words
 from weftline.llm.fm_index import FMIndex
 from weftline.llm.near_dedup import near_duplicates, shingles, signatures, sketch_limit
@@ -123,6 +123,50 @@ def test_fm_index_counts():
     assert [int(h - a) for a, h in zip(lo, hi)] == [windows.count(windows[i]) for i in who]
 
 
+def plain_tree(text, ends):
+    """{level: [(digest, start, end)]} of the Merkle tree over paragraphs, the root's children highest, and the root."""
+    sha = lambda b: hashlib.sha256(b).digest()[:16]
+    level = [(sha(text[a:b]), a, b) for a, b in zip([0, *ends], ends)]
+    levels = {0: level} if level else {}
+    for k in range(1000):
+        if len(level) < 2:
+            break
+        levels[k] = level
+        above, held = [], []
+        for j, node in enumerate(level):
+            held.append(node)
+            if node[0][0] % 4 == 0 or j + 1 == len(level):
+                above.append((sha(b"section" + b"".join(h[0] for h in held)), held[0][1], held[-1][2]))
+                held = []
+        level = above
+    return levels, sha(b"root" + b"".join(h[0] for h in level)).hex()
+
+
+def plain_likeness(a, b):
+    """From whole trees: bytes of a's nodes that b has on the same level, parents before children, each of b's used once."""
+    (x, root_x), (y, root_y) = (plain_tree(t, paragraphs([t])[0]) for t in (a, b))
+    if root_x == root_y:
+        return 1.0
+    if not a and not b:
+        return 0.0
+    finest = max([next((k for k in sorted(t) if len(t[k]) <= 64), 0) for t in (x, y)])
+    done_x, done_y, total = [], [], 0
+    inside = lambda n, spans: any(s <= n[1] and n[2] <= e for s, e in spans)
+    for k in range(max([*x, *y], default=-1), finest - 1, -1):
+        left = {}
+        for n in y.get(k, ()):
+            if not inside(n, done_y):
+                left.setdefault(n[0][:4], []).append(n)
+        taken_x, taken_y = [], []
+        for n in x.get(k, ()):
+            if not inside(n, done_x) and left.get(n[0][:4]):
+                m = left[n[0][:4]].pop(0)
+                taken_x.append(n[1:]), taken_y.append(m[1:])
+                total += n[2] - n[1]
+        done_x, done_y = done_x + taken_x, done_y + taken_y
+    return min(2 * total / (len(a) + len(b)), 1 - 2**-20)
+
+
 def test_fingerprints(spark):
     data = sorted({r[:2] for r in brute.rows() if r[0] is not None}, key=lambda r: -r[0])
     got = {r.doc_id: r for r in fingerprint_documents(brute.table(spark, [(*r, None, None, 0, "", "", 0) for r in data])).collect()}
@@ -132,12 +176,42 @@ def test_fingerprints(spark):
         edited = text[: len(text) - len(text) // 2] + nxt[: len(text) // 2]
         r = got[doc_id]
         assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == fingerprints([text.encode()])[0][0] and r.edited_fingerprint == fingerprints([edited.encode()])[0][0]
-        assert abs(r.near_edited - likeness(r.fingerprint, r.edited_fingerprint)) < 1e-12 and 0 <= r.near_next <= 1
+        for name, t in ((r.fingerprint, text), (r.edited_fingerprint, edited)):
+            assert name.split(":")[0] == plain_tree(t.encode(), paragraphs([t.encode()])[0])[1] and name == str(Fingerprint.parse(name))
+        assert abs(r.near_edited - plain_likeness(text.encode(), edited.encode())) < 1e-12
+        assert abs(r.near_next - plain_likeness(text.encode(), nxt.encode())) < 1e-12
+        assert likeness(r.fingerprint, r.edited_fingerprint) == r.near_edited and 0 <= r.near_next <= 1
         assert prints.setdefault(text, r.fingerprint) == r.fingerprint
     assert len(set(prints.values())) == len(prints)
     long = [r for r in got.values() if r.n_chars > 300]
     assert sum(r.near_edited > r.near_next for r in long) > 0.6 * len(long)  # the table has copies and few words
+    assert sum(abs(r.near_edited - 0.5) < 0.2 for r in long) > 0.6 * len(long)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fingerprints_of_rows_without_order(spark, monkeypatch, parts):
+    """Null ids, repeated ids and equal rows over several ranges: each row once, next by the text's hash under one id."""
+    from weftline.llm import fingerprints as module
+
+    monkeypatch.setattr(module, "partitions", lambda df: parts)
+    rows = brute.rows() + [(None, f"nameless {i % 5}", None, None, 0, "", "", 0) for i in range(40)] + [(7, f"x {i}", None, None, 0, "", "", 0) for i in range(9)]
+    docs = brute.table(spark, rows)
+    hashes = {r.text: r.h for r in docs.toDF(*"abcdefgh").selectExpr("b AS text", "xxhash64(b) AS h").collect()}
+    data = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashes[r[1]]))
+    want = []
+    for i, r in enumerate(data):
+        text, nxt = r[1] or "", data[(i + 1) % len(data)][1] or ""
+        want.append((r[0], hashlib.sha256((text[: len(text) - len(text) // 2] + nxt[: len(text) // 2]).encode()).hexdigest(), plain_likeness(text.encode(), nxt.encode())))
+    assert sorted_rows((r.doc_id, r.edited_sha256, r.near_next) for r in fingerprint_documents(docs).collect()) == sorted_rows(want)
+
+
+def test_fingerprints_are_bounded():
+    rng = random.Random(2)
+    text = " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(20000))
+    other = text[:60000] + " something else " + text[60000:]
+    a, b = fingerprints([text.encode(), other.encode()])
+    assert len(str(a)) < 1600 and 0.9 < likeness(a, b) < 1
+    assert str(Fingerprint.parse(str(a))) == str(a) and [str(f)[32:] for f in fingerprints([b"", b" "])][0] == ":0:"
 
 
 def test_fingerprints_of_awkward_tables(spark):
@@ -149,15 +223,22 @@ def test_fingerprints_of_awkward_tables(spark):
 
 
 def test_trees_locate_edits(spark):
-    lines = [f"paragraph number {i} of this text" for i in range(60)]
+    lines = [f"paragraph {i} has the number {i}" for i in range(60)]
     a = "\n".join(lines).encode()
-    lines[17] += " edited"
+    lines[17] = lines[17].replace("17", "18 less 1")
     b = "\n".join(lines).encode()
-    (at, to), = locate_edits(a, b)
-    assert a[at:to] == b"paragraph number 17 of this text" and locate_edits(a, a) == []
+    found = locate_edits(a, b)
+    edited = a.index(b"paragraph 17"), a.index(b"paragraph 18")
+    assert found and all(edited[0] <= at < to <= edited[1] for at, to in found) and locate_edits(a, a) == []
     nodes = merkle_nodes(spark.createDataFrame([(1, a.decode()), (2, None)], "doc_id long, text string")).collect()
-    assert next(r.digest for r in nodes if r.doc_id == 1 and r.level == "root") == merkle_tree(a)["root"]
-    assert sum(r.level == "paragraph" and r.doc_id == 1 for r in nodes) == 60
+    tree, = merkle_trees([a])
+    root = next(r for r in nodes if r.doc_id == 1 and r.parent is None)
+    assert (root.digest, root.start, root.end, root.level) == (tree.root.hex(), 0, len(a), len(tree.levels))
+    leaves = [(r.start, r.end) for r in sorted(nodes, key=lambda r: r.index) if r.level == 0 and r.doc_id == 1]
+    assert [e for _, e in leaves] == paragraphs([a])[0] and leaves[0][0] == 0
+    for r in nodes:
+        if r.parent is not None:
+            assert any(p.doc_id == r.doc_id and p.level == r.level + 1 and p.index == r.parent and p.start <= r.start and r.end <= p.end for p in nodes)
 
 
 def test_shingles_of_texts():

@@ -159,7 +159,9 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 _PRIME = U64((1 << 31) - 1)
 _LANE_BASES = (0x2F6B3A91, 0x5D1E27C7)
-_lane_powers = [[np.ones(1, U64), np.ones(1, U64)] for _ in _LANE_BASES]
+_lane_powers = [np.ones(1, np.uint32) for _ in _LANE_BASES]
+#: Inverse powers are products of two: of what is below this, and of its multiples.
+_STRIDE = 4096
 
 
 def _modulo(x: np.ndarray) -> np.ndarray:
@@ -169,16 +171,27 @@ def _modulo(x: np.ndarray) -> np.ndarray:
     return np.where(x >= _PRIME, x - _PRIME, x)
 
 
-def _lane_tables(lane: int, n: int) -> list[np.ndarray]:
-    """base**i and base**-i modulo 2**31 - 1 for i below n."""
-    held = _lane_powers[lane]
-    if len(held[0]) < n:
-        for k, base in enumerate((_LANE_BASES[lane], pow(_LANE_BASES[lane], -1, int(_PRIME)))):
-            x = np.ones(1, U64)
-            while len(x) < max(n, 1 << 16):  # doubling: x, then x times base**len(x)
-                x = np.concatenate((x, _modulo(x * U64(pow(base, len(x), int(_PRIME))))))
-            held[k] = x
-    return held
+def _some_powers(base: int, n: int) -> np.ndarray:
+    """base**i modulo 2**31 - 1 for i below n, by doubling: x, then x times base**len(x)."""
+    x = np.ones(1, np.uint32)
+    while len(x) < n:
+        more = _modulo(x[: n - len(x)] * U64(pow(base, len(x), int(_PRIME))))
+        x = np.concatenate((x, more.astype(np.uint32)))
+    return x
+
+
+def _lane_table(lane: int, n: int) -> np.ndarray:
+    if len(_lane_powers[lane]) < n:
+        _lane_powers[lane] = _some_powers(_LANE_BASES[lane], max(n, 1 << 16))
+    return _lane_powers[lane][:n]
+
+
+def _inverse_powers(lane: int, at: np.ndarray) -> np.ndarray:
+    """base**-at modulo 2**31 - 1."""
+    base = pow(_LANE_BASES[lane], -1, int(_PRIME))
+    most = int(at.max()) if len(at) else 0
+    far = _some_powers(pow(base, _STRIDE, int(_PRIME)), most // _STRIDE + 1)
+    return _modulo(_some_powers(base, _STRIDE)[at % _STRIDE].astype(U64) * far[at // _STRIDE])
 
 
 class Lanes:
@@ -191,7 +204,7 @@ class Lanes:
                 x = symbols.astype(U64) + U64(1)
             else:
                 x = _modulo(mix64(symbols.astype(U64) + U64(lane)))
-            x *= _lane_tables(lane, len(symbols) + 1)[0][: len(symbols)]
+            x *= _lane_table(lane, len(symbols))
             if symbols.dtype != np.uint8 or len(symbols) > 1 << 23:  # else the sum stays below 2**64 as it is
                 x = (x & _PRIME) + (x >> U64(31))
             sums = np.zeros(len(symbols) + 1, U64)
@@ -200,7 +213,7 @@ class Lanes:
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hashes of the stretches [start, end)."""
-        one, two = (_modulo(_modulo(s[ends] - s[starts]) * _lane_tables(lane, len(s))[1][starts]) for lane, s in enumerate(self.sums))
+        one, two = (_modulo(_modulo(s[ends] - s[starts]) * _inverse_powers(lane, starts)) for lane, s in enumerate(self.sums))
         return mix64(((one << U64(31)) | two) + mix64((ends - starts).astype(U64)))
 
 

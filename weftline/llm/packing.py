@@ -4,11 +4,13 @@ Documents become token ids and pieces of at most `capacity` tokens. The histogra
 entries, whatever the size of the corpus) is packed on the driver: bins with the same contents are one class with a
 multiplicity, best fit places the longest pieces first, and the local search moves, swaps one for one or exchanges two
 for one between underfull classes while that increases the sum of squared fills, until the bins are as few as a lower
-bound says or no pair of classes improves: every class is tried with every other, and again with classes made since.
+bound says or no pair of classes improves: every class is tried with every other, and again with classes made since. It
+also ends after EFFORT pairs of classes, which bounds the driver's time; every piece has its place whenever it ends.
 Pieces are then ranked among those of their length in bounded groups and look their place up in the plan.
 
-Token ids: the text is cut where the byte-level BPE's own pattern cuts it, on whole slices in NumPy; each distinct
-piece of a worker's slices is encoded once, and the ids are gathered.
+Token ids are those of the tokenizer file, its special tokens included: a text that holds one's string gets its id there.
+Between them the text is cut where the byte-level BPE's own pattern cuts it, on whole slices in NumPy; each distinct
+piece of a worker's slices is encoded once, found again by its hash, compared by its bytes, and its ids are gathered.
 
 Defined cases: null or empty text is the end token alone; repeated rows are packed each; rows with a null doc_id are
 packed and keep it; texts of any length are cut, none is dropped; an empty table gives no rows.
@@ -16,7 +18,7 @@ packed and keep it; texts of any length are cut, none is dropped; an empty table
 
 from __future__ import annotations
 
-import base64
+import json
 import sys
 import unicodedata
 import zlib
@@ -31,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftline.llm.arrays import U64, mix64, ragged, running, slices, stretch
+from weftline.llm.arrays import U64, place_hashes, ragged, slices
 from weftline.llm.common import pick, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Entries after which a worker's table of encoded pieces starts anew: it bounds the memory.
 KNOWN_LIMIT = 1_000_000
+#: Pairs of classes of bins that the local search looks at before it ends, about a minute of work.
+EFFORT = 3_000_000
 #: Rows that share a length are ranked in groups of about so many; groups are at most the distinct lengths plus MOST_LANES.
 LANE_ROWS, MOST_LANES = 256, 4096
 
@@ -61,11 +65,6 @@ def _classes() -> np.ndarray:
     return kinds
 
 
-@lru_cache(1)
-def _symbols() -> np.ndarray:
-    return mix64(np.arange(1 << 16, dtype=U64) + U64(0x2545F4914F6CDD1D))
-
-
 def cut_points(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Starts of the pieces that the pattern
     's|'t|'re|'ve|'m|'ll|'d| ?letters| ?numbers| ?others|spaces not before a non-space|spaces
@@ -99,26 +98,51 @@ def cut_points(cps: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+@lru_cache(1)
+def _byte_of() -> dict[str, int]:
+    """Bytes by the characters that stand for them in byte-level vocabularies: printable ones for themselves, the others from
+    U+0100 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(own)]
+    return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(others)}
+
+
+#: Fixed value: how byte-level vocabularies cut text before merging.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 class Encoder:
-    """Token ids of texts under the ranks of a byte-level BPE; equal to the tokenizer's own ids."""
+    """Token ids of texts under a byte-level BPE given as a tokenizers file; equal to that tokenizer's own ids without further
+    special tokens added."""
 
-    def __init__(self, ranks_path: str, pattern: str) -> None:
+    def __init__(self, path: str) -> None:
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.core = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})._core_bpe
+        with open(path, encoding="utf-8") as f:
+            held = json.load(f)
+        vocabulary, byte_of = held["model"]["vocab"], _byte_of()
+        merged = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in held["model"]["merges"]]
+        before = held["pre_tokenizer"]
+        if held["normalizer"] or before["type"] != "ByteLevel" or before["add_prefix_space"] or merged != sorted(merged):
+            raise ValueError(f"{path} is not a plain byte-level BPE with ids in the order of merges")
+        self.special = {t["content"]: t["id"] for t in held["added_tokens"]}
+        if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in held["added_tokens"]):
+            raise ValueError("special tokens that take their surroundings are not supported")
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocabulary.items() if t not in self.special}
+        self.core = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.forget()
 
     def forget(self) -> None:
-        self.hashes, self.starts, self.sizes = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Of each known piece, by hash: where its bytes and its ids begin, and how many there are."""
+        self.hashes, self.known = np.zeros(0, U64), np.zeros((4, 0), np.int64)
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
-    def learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces; hashes are sorted and new."""
-        if len(self.hashes) > KNOWN_LIMIT:
-            raise MemoryError("the table is emptied between slices")
-        found = [self.core.encode_single_piece(p.encode()) for p in pieces]
+    def _ids(self, piece: bytes) -> list[int]:
+        name = self.special.get(piece.decode("utf-8", "replace"))
+        return self.core.encode_single_piece(piece) if name is None else [name]
+
+    def _keep_ids(self, found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.uint32, int(sizes.sum()))
         if self.used + len(flat) > len(self.ids):
@@ -126,8 +150,41 @@ class Encoder:
         self.ids[self.used : self.used + len(flat)] = flat
         starts = self.used + np.cumsum(sizes) - sizes
         self.used += len(flat)
+        return starts, sizes
+
+    def learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """Add pieces; hashes are sorted and new."""
+        starts, sizes = self._keep_ids([self._ids(p) for p in pieces])
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        if self.raw_used + len(raw) > len(self.raw):
+            self.raw = np.concatenate([self.raw, np.zeros(max(len(self.raw), len(raw)), np.uint8)])
+        self.raw[self.raw_used : self.raw_used + len(raw)] = raw
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        begin = self.raw_used + np.cumsum(length) - length
+        self.raw_used += len(raw)
         at = np.searchsorted(self.hashes, hashes)
-        self.hashes, self.starts, self.sizes = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.sizes, at, sizes)
+        self.hashes = np.insert(self.hashes, at, hashes)
+        self.known = np.insert(self.known, at, np.stack((begin, length, starts, sizes)), axis=1)
+
+    def special_spans(self, whole: str, begin: np.ndarray) -> list[tuple[int, int]]:
+        """Where special tokens' strings stand in the texts that begin at begin: the leftmost first, the longest of equal ones."""
+        spans = []
+        texts = set()
+        for s in self.special:
+            at = whole.find(s)
+            while at >= 0:
+                texts.add(int(np.searchsorted(begin, at, "right")) - 1)
+                at = whole.find(s, at + 1)
+        for t in sorted(texts):
+            at, end = int(begin[t]), int(begin[t + 1])
+            while True:
+                found = [(k, -len(s)) for s in self.special if (k := whole.find(s, at, end)) >= 0]
+                if not found:
+                    break
+                k, size = min(found)
+                spans.append((k, k - size))
+                at = k - size
+        return spans
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, laid end to end, and n + 1 offsets."""
@@ -135,53 +192,66 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         if len(self.hashes) > KNOWN_LIMIT:
             self.forget()
-        whole = data.tobytes().decode("utf-8", "replace")
+        raw = data.tobytes()
+        whole = raw.decode("utf-8", "replace")
         cps = np.frombuffer(whole.encode("utf-32-le"), "<u4")
         chars = np.zeros(len(data) + 1, np.int64)
         np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
         begin = chars[off]
         first = np.zeros(len(cps), bool)
         first[begin[:-1][begin[:-1] < len(cps)]] = True
+        spans = self.special_spans(whole, begin)
+        for a, b in spans:
+            first[a] = True
+            if b < len(cps):
+                first[b] = True
         starts = cut_points(cps, first)
-        ends = np.append(starts[1:], len(cps))
-        values = _symbols()[cps & 0xFFFF]
-        high = np.flatnonzero(cps >> 16)
-        values[high] = mix64(cps[high].astype(U64) + U64(0x2545F4914F6CDD1D))
-        hashes = stretch(running(values), starts, ends)
+        for a, b in spans:  # a special token is one piece
+            starts = np.concatenate((starts[: np.searchsorted(starts, a, "right")], starts[np.searchsorted(starts, b) :]))
+        place = np.flatnonzero((data & 0xC0) != 0x80)[starts]
+        ends = np.append(place[1:], len(data))
+        hashes = place_hashes(data, place, ends)
         distinct, where, back = np.unique(hashes, return_index=True, return_inverse=True)
         new = np.ones(len(distinct), bool)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, distinct), len(self.hashes) - 1)
             new = self.hashes[at] != distinct
         if new.any():
-            self.learn(distinct[new], [whole[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist())])
-        at = np.searchsorted(self.hashes, distinct)
-        sizes = self.sizes[at][back]
+            self.learn(distinct[new], [raw[a:b] for a, b in zip(place[where[new]].tolist(), ends[where[new]].tolist())])
+        text, length, ids_at, sizes = self.known[:, np.searchsorted(self.hashes, distinct)][:, back]
+        differ = length != ends - place
+        if not differ.any():
+            unequal = np.flatnonzero(self.raw[ragged(text, length)] != data)
+            differ[np.searchsorted(place, unequal, "right") - 1] = True
+        else:
+            differ[:] = [self.raw[t : t + n].tobytes() != raw[a:b] for t, n, a, b in zip(text, length, place, ends)]
+        if differ.any():  # other bytes under a known hash
+            ids_at[differ], sizes[differ] = self._keep_ids([self._ids(raw[a:b]) for a, b in zip(place[differ], ends[differ])])
         upto = np.concatenate(([0], np.cumsum(sizes)))
-        return self.ids[ragged(self.starts[at][back], sizes)], upto[np.searchsorted(starts, begin)]
+        return self.ids[ragged(ids_at, sizes)], upto[np.searchsorted(starts, begin)]
 
 
 @lru_cache(2)
-def encoder(ranks_path: str, pattern: str) -> Encoder:
-    return Encoder(ranks_path, pattern)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
-def default_vocabulary() -> tuple[str, str]:
-    """Rank file and pattern of the installed byte-level vocabulary."""
+def default_vocabulary() -> str:
+    """The installed byte-level tokenizer's file."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json")
 
 
 PIECE_SCHEMA = "doc_id long, piece int, start long, length int, ids_crc32 long"
 
 
-def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None, with_ids: bool = False) -> DataFrame:
+def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, with_ids: bool = False) -> DataFrame:
     """One row a piece. A document longer than capacity is cut into full pieces; its first piece holds what is over."""
     held = vocabulary
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(*(held or default_vocabulary()))
+        coder = encoder(held or default_vocabulary())
         for rows, data, off in slices(batches):
             ids, upto = coder.encode(data, off)
             n = np.diff(upto) + 1
@@ -304,9 +374,9 @@ def _exchange(give: tuple[int, ...], take: tuple[int, ...], a: int, b: int, room
     return (gain, *move) if gain > 0 else (0, (), ())
 
 
-def local_search(bins: Bins, capacity: int) -> Bins:
+def local_search(bins: Bins, capacity: int, effort: int = EFFORT) -> Bins:
     """Empty the least filled bins: exchange with the fuller ones that still have room, while the sum of squared fills grows."""
-    bins = dict(bins)
+    bins, looked = dict(bins), 0
     counts: dict[int, int] = defaultdict(int)
     for bin_, n in bins.items():
         for length in bin_:
@@ -336,16 +406,17 @@ def local_search(bins: Bins, capacity: int) -> Bins:
                 del under[bisect_left(under, entry)]
 
     moved = True
-    while moved and count > least:
+    while moved and count > least and looked < effort:
         moved = False
         for a, give in list(under):  # a sweep: each class against those that came up since it was last tried
-            while give in bins and tried.get(give, -1) < clock and count > least:
+            while give in bins and tried.get(give, -1) < clock and count > least and looked < effort:
                 since, best, found = tried.get(give, -1), (0, (), ()), None
                 for b, take in under:
                     if 2 * (capacity - b) * (capacity - a) <= best[0]:
                         break  # nor can any fuller one gain more
                     if born[take] <= since or (take == give and bins[take] < 2):
                         continue
+                    looked += 1
                     if (got := _exchange(give, take, a, b, capacity - b))[0] > best[0]:
                         best, found = got, take
                 if found is None:
@@ -424,13 +495,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return ranked.mapInArrow(place, schema + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
     pieces = stored(token_pieces(docs, capacity, vocabulary), "pieces")
     return pack_pieces(pieces, capacity).select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
-def sequences(docs: DataFrame, capacity: int = CAPACITY, vocabulary: tuple[str, str] | None = None) -> DataFrame:
+def sequences(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """The packed token ids themselves: sequence_id, ids. A sequence has at most capacity ids, so its group is bounded."""
     packed = pack_pieces(stored(token_pieces(docs, capacity, vocabulary, with_ids=True), "pieces"), capacity)
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
