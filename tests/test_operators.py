@@ -33,18 +33,18 @@ def test_between_tags(spark):
 
 
 def test_repair_quotes(spark):
-    flat = '{"text":"hello world"}'
-    inner = '{"text":"say "hello" world","speaker_id":"S?"}'
-    done = '{"text":"say \\"hello\\" world"}'
-    path = '{"text":"path\\\\to\\\\file"}'
+    flat = '{"text":"a quiet lake"}'
+    inner = '{"text":"the "old" mill","speaker_id":"S2"}'
+    done = '{"text":"the \\"old\\" mill"}'
+    path = '{"text":"C:\\\\mill\\\\wheel"}'
     got = column(spark, [flat, inner, done, path], T.repair_quotes)
-    assert got == [flat, '{"text":"say \\"hello\\" world","speaker_id":"S?"}', done, path]
+    assert got == [flat, '{"text":"the \\"old\\" mill","speaker_id":"S2"}', done, path]
 
 
 PARSED = [
-    ('[{"start_sec":0.0,"end_sec":8.0,"text":"Привет","speaker_id":"S?"}]', [(0.0, 8.0, "Привет", "S?")]),
-    ('Sure: [{"start_sec":0,"end_sec":1,"text":"a"}] done', [(0.0, 1.0, "a", None)]),
-    ('Sure: [{"start_sec":0,"end_sec":1,"text":"say "hello" world","speaker_id":"S1"}]', [(0.0, 1.0, 'say "hello" world', "S1")]),
+    ('[{"start_sec":2.5,"end_sec":4.0,"text":"Øre","speaker_id":"S2"}]', [(2.5, 4.0, "Øre", "S2")]),
+    ('Well: [{"start_sec":0,"end_sec":1,"text":"a"}] that is it', [(0.0, 1.0, "a", None)]),
+    ('Well: [{"start_sec":0,"end_sec":1,"text":"the "old" mill","speaker_id":"S1"}]', [(0.0, 1.0, 'the "old" mill', "S1")]),
     ("", None),
     ("no brackets", None),
     ("[]", []),
@@ -113,7 +113,7 @@ def test_micro_batches(spark):
     b = micro_batches(x, ["media_id"], ["seg_idx"])
     assert [r["count"] for r in b.groupBy("batch_id").count().orderBy("batch_id").collect()] == [10, 10, 3]
     docs = batch_json(b, ["media_id"], "seg_idx", "who").orderBy("batch_id").collect()
-    assert docs[0].json.startswith('[\n  {"start_sec":0,"end_sec":0.5,"text":"t\\"0\\n"')
+    assert docs[0].json.startswith('[\n  {"id":0,"start_sec":0,"end_sec":0.5,"text":"t\\"0\\n"')
     assert [r["text"] for d in docs for r in json.loads(d.json)] == [f't"{i}\n' for i in range(23)]
 
 
@@ -255,7 +255,7 @@ def test_translation_falls_back_to_brackets(spark):
 
         return fail
 
-    assert sorted((r.text, r.speaker, r.n_asked, r.n_answered) for r in translate(chunks, speakers, broken).collect()) == [("[a]", "Speaker_1", 3, 0), ("[c]", "S?", 3, 0)]
+    assert sorted((r.text, r.speaker, r.n_asked, r.n_answered, r.n_matched) for r in translate(chunks, speakers, broken).collect()) == [("[a]", "Speaker_1", 3, 0, 0), ("[c]", "S?", 3, 0, 0)]
     assert [r.text for r in translate(chunks, speakers, None).orderBy("seg_idx").collect()] == ["a", " ", "c"]
 
 
@@ -287,3 +287,199 @@ def test_log_stream(spark, tmp_path):
 
 def test_levels(spark):
     assert column(spark, ["ERROR", "INFO", "DEBUG"], T.level_at_least) == [True, True, False]
+
+
+CHUNKS = "media_id string, seg_idx int, start_sec double, end_sec double, text string, speaker_id string"
+
+
+def chunks_of(spark, texts):
+    x = spark.createDataFrame([("m", i, i * 2.0, i * 2.0 + 1, t, None) for i, t in enumerate(texts)], CHUNKS)
+    return x, spark.createDataFrame([("m", 0, 0.0, 1.0, "Speaker_1")], "media_id string, seg_idx int, start_sec double, end_sec double, speaker_id string")
+
+
+def test_answers_find_their_rows(spark, tmp_path):
+    """A translator that drops, adds, repeats and turns records round; and one call a batch."""
+    calls = str(tmp_path)
+
+    def careless():
+        def run(prompt):
+            import uuid
+
+            open(f"{calls}/{uuid.uuid4().hex}", "w").close()
+            assert prompt.startswith("Translate") and prompt.endswith("Output:")
+            got = json.loads(prompt[prompt.index("Input: ") + 7 : prompt.rindex("\n\nOutput:")])
+            out = [r | {"text": f"new {r['text']}"} for r in got if r["id"] not in (0, 13)]
+            del out[1]["id"]  # found by its start
+            return json.dumps([*out[::-1], {"id": 99, "start_sec": 1, "end_sec": 2, "text": "stray"}, out[0] | {"text": "again"}])
+
+        return run
+
+    chunks, speakers = chunks_of(spark, [f"t{i}" for i in range(23)])
+    got = sorted(translate(chunks, speakers, careless).collect(), key=lambda r: r.seg_idx)  # a sort by Spark would run it twice, to sample
+    assert [r.text for r in got] == [f"[t{i}]" if i in (0, 13) else f"new t{i}" for i in range(23)]
+    assert [r.translated for r in got] == [i not in (0, 13) for i in range(23)]
+    assert {(r.batch_id, r.n_asked, r.n_answered, r.n_matched) for r in got} == {(0, 10, 11, 9), (1, 10, 11, 9), (2, 3, 5, 3)}
+    assert len(list(tmp_path.iterdir())) == 3
+
+
+def test_limits_of_prompts_and_answers(spark):
+    from weftline.plans.adapters import Limits, count_tokens, cut_tokens
+
+    assert [cut_tokens("one, two  three", n) for n in (0, 1, 2, 3, 4, 9)] == ["", "one", "one,", "one, two", "one, two  three", "one, two  three"]
+    assert count_tokens("one, two  three") == 4
+    chunks, speakers = chunks_of(spark, ["short", " ", "word " * 400, *(f"t{i}" for i in range(8))])
+    got = {r.seg_idx: r.text for r in translate(chunks, speakers, upper_translator, limits=Limits(prompt=300)).collect()}
+    assert got[0] == "[short]" and 1 not in got and got[10] == "T7"  # the first prompt is too long, blank rows go
+    cut = {r.seg_idx: r.text for r in translate(*chunks_of(spark, [f"t{i}" for i in range(5)]), upper_translator, limits=Limits(answer=70)).collect()}
+    assert cut == {i: f"[t{i}]" for i in range(5)}  # an answer without its end is none
+
+
+def test_recognised_text_is_cut(spark):
+    from weftline.plans.adapters import recognize
+
+    x = spark.createDataFrame([("m", 0, 0.0, 1.0, [0.0] * 4)], "media_id string, seg_idx int, start_sec double, end_sec double, slice array<float>")
+    assert recognize(x, lambda: lambda slices, rate: ["a b c d e"] * len(slices), most_tokens=3).first().text == "a b c"
+
+
+def test_models_are_made_once_and_errors_remembered(tmp_path):
+    from weftline.plans import adapters
+
+    made = []
+
+    def factory():
+        made.append(1)
+        return "model"
+
+    def broken():
+        made.append(2)
+        raise OSError("no such model")
+
+    key = "a key of this test"
+    assert [adapters._made(key, factory) for _ in range(3)] == ["model"] * 3 and made == [1]
+    for _ in range(2):
+        with pytest.raises(OSError):
+            adapters._made(key + "2", broken)
+    assert made == [1, 2]
+
+
+def test_decode_tokens(spark):
+    vocabulary = ["д".encode()[:1], "д".encode()[1:], b" ok", b"</s>"]
+    assert column(spark, [[0, 1, 2, 3, 7, -1], [0, 2], [], None], lambda c: T.decode_tokens(c, vocabulary, [3]), "array<int>") == ["д ok", "\ufffd ok", "", None]
+
+
+def test_text_lines(spark):
+    x = spark.createDataFrame([("m", "a\r\nb\n\nc"), ("n", "")], "media_id string, text string")
+    assert [tuple(r) for r in T.text_lines(x, "text").orderBy("media_id", "line_no").collect()] == [("m", 0, "a"), ("m", 1, "b"), ("m", 2, ""), ("m", 3, "c"), ("n", 0, "")]
+
+
+def test_trim_and_blank_know_all_white_space(spark):
+    assert set(T.SPACES) == {chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isspace() and not 0x1C <= c <= 0x1F}
+    texts = [f"{T.SPACES}a b{T.SPACES}", T.SPACES, "", "\u200b", "x", *T.SPACES, None]
+    assert column(spark, texts, T.trim_space) == [None if t is None else t.strip(T.SPACES) for t in texts]
+    assert column(spark, texts, T.is_blank) == [None if t is None else not t.strip(T.SPACES) for t in texts]
+
+
+def test_band_join_against_all_pairs(spark):
+    import random
+
+    rng = random.Random(4)
+    a = [(i, rng.choice("xy"), rng.randint(-300, 300)) for i in range(300)]
+    b = [(rng.randint(0, 40), rng.choice("xyz"), rng.choice([5, 5, 5, rng.randint(-300, 300)]), f"v{i}") for i in range(300)]
+    left, right = spark.createDataFrame(a, "id long, k string, t long"), spark.createDataFrame(b, "o long, k string, t long, v string")
+    for width in (1, 7, 100):
+        got = {r.id: r.v for r in band_join(left, right, "id", ["k"], "t", "t", width, "o", "v", "?").collect()}
+        assert got == {i: min(((o, v) for o, kk, tt, v in b if kk == k and abs(tt - t) < width), default=(0, "?"))[1] for i, k, t in a}
+    none = band_join(left, right.limit(0), "id", ["k"], "t", "t", 5, "o", "v", "?")
+    assert {r.v for r in none.collect()} == {"?"}
+
+
+def test_stored_stages_run_once(spark, tmp_path):
+    from weftline.plans.pipeline import stored_under
+
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def counting():
+        model = tone_recognizer()
+
+        def run_(slices, rate):
+            import uuid
+
+            (calls / uuid.uuid4().hex).touch()
+            return model(slices, rate)
+
+        return run_
+
+    files = spark.createDataFrame([("one", to_wav(np.concatenate([tone(2), np.zeros(16000), tone(1)])))], "media_id string, content binary").coalesce(1)
+    told = []
+    out = run(files, counting, upper_translator, on_progress=lambda *a: told.append(a), store=stored_under(str(tmp_path / "run")))
+    for name in ("srt", "status", "speakers"):
+        out[name].collect()
+    assert len(list(calls.iterdir())) == 1
+    assert [t[:2] for t in told] == [("extract", 5), ("vad", 15), ("stt", 30), ("diarize", 50), ("translate", 70), ("mux", 90)] and all(t[2] > 0 for t in told)
+
+
+def test_stages_name_what_they_lack(spark):
+    from weftline.plans.pipeline import detect, diarize, transcribe
+
+    audio = spark.createDataFrame([("m", [0.0], 1, 1.0)], "media_id string, samples array<float>, n_samples long, total double")
+    for call in (lambda: detect(audio.drop("total")), lambda: transcribe(audio, audio, tone_recognizer), lambda: diarize(audio, audio), lambda: translate(audio, audio, None)):
+        with pytest.raises(ValueError, match="lack the column"):
+            call()
+
+
+def test_one_run_at_a_time(spark):
+    from weftline.plans.pipeline import Runs
+
+    runs, seen = Runs(), []
+    files = spark.createDataFrame([("m", to_wav(tone(1)))], "media_id string, content binary")
+
+    def progress(*a):
+        seen.append(runs.busy())
+        with pytest.raises(RuntimeError):
+            runs.process(files, tone_recognizer)
+
+    assert set(runs.process(files, tone_recognizer, on_progress=progress)) > {"srt", "status"}
+    assert all(seen) and not runs.busy()
+
+
+def test_unattended_runs():
+    from weftline.plans.pipeline import unattended
+    from weftline.sources.config import missing_settings
+
+    whole, told = AppConfig(gguf_model_path="g", sherpa_onnx_dir="d"), []
+    tell = lambda *a: told.append(a)
+    assert not unattended({}, whole, None, tell) and not unattended({"WEFTLINE_INPUT": "v"}, AppConfig(), None, tell) and told == []
+    assert unattended({"WEFTLINE_INPUT": "v"}, whole, lambda path, config: path + ".out", tell) and told == [("started", 0, None), ("done", 100, "v.out")]
+    assert not unattended({"WEFTLINE_INPUT": "v"}, whole, lambda path, config: 1 // 0, tell) and told[-1] == ("error", 0, None)
+    assert missing_settings(AppConfig(), "") == ["input_path", "gguf_model_path", "sherpa_onnx_dir"] and missing_settings(whole, "v") == []
+
+
+def test_places_side_by_side(spark):
+    from weftline.operators.joins import zip_positions
+
+    a = spark.createDataFrame([("m", 0, "a"), ("m", 1, "b")], "media_id string, seg_idx int, x string")
+    b = spark.createDataFrame([("m", 1, "c"), ("n", 0, "d")], "media_id string, seg_idx int, y string")
+    assert [tuple(r) for r in zip_positions(a, b).collect()] == [("m", 1, "b", "c")]
+
+
+def test_videos_are_listed_and_samples_scaled(spark, tmp_path):
+    from weftline.functions.vectors import pcm_to_float
+    from weftline.sources.wav import list_videos
+
+    for name in ("a.mp4", "b.mkv", "c.txt"):
+        (tmp_path / name).write_bytes(b"xy")
+    assert sorted(r.media_id.rsplit("/", 1)[1] for r in list_videos(spark, str(tmp_path)).collect()) == ["a.mp4", "b.mkv"]
+    assert column(spark, [-32768, 0, 16384], pcm_to_float, "int") == [-1.0, 0.0, 0.5]
+
+
+def test_files_are_muxed(spark, tmp_path):
+    from weftline.sources.sinks import tool_muxer
+
+    tool = tmp_path / "tool"
+    tool.write_text('#!/bin/sh\nfor last; do :; done\necho "$@" > "$last"\n')
+    tool.chmod(0o755)
+    item = spark.createDataFrame([("m", "v.mp4", "s.srt", "mov_text", str(tmp_path / "o.mp4"), "x")], "media_id string, video string, srt string, codec string, output string, srt_output string")
+    got = mux(item, tool_muxer(str(tool))).first()
+    assert (got.muxed, got.error, got.result_path) == (True, None, str(tmp_path / "o.mp4"))
+    assert "-i v.mp4 -i s.srt" in (tmp_path / "o.mp4").read_text() and "-c:s mov_text" in (tmp_path / "o.mp4").read_text()

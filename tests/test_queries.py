@@ -22,7 +22,8 @@ def test_entry(spark):
     assert set(ORACLES) <= set(__spark_entry__.oracle_sql())
 
 
-def test_queries_without_the_training_data_package(monkeypatch):
+@pytest.mark.parametrize("lacking", [("weftline.llm", "corpus_pipeline"), ("zstandard",)])
+def test_queries_without_the_training_data_package(monkeypatch, lacking):
     import builtins
     import sys
 
@@ -31,11 +32,11 @@ def test_queries_without_the_training_data_package(monkeypatch):
     real = builtins.__import__
 
     def block(name, *a, **k):
-        if name.startswith(("weftline.llm", "corpus_pipeline")):
+        if name.startswith(lacking):
             raise ModuleNotFoundError(name=name)
         return real(name, *a, **k)
 
-    for m in [m for m in sys.modules if m.startswith(("weftline.llm", "corpus_pipeline"))]:
+    for m in [m for m in sys.modules if m.startswith(("weftline.llm", "corpus_pipeline", "zstandard"))]:
         monkeypatch.delitem(sys.modules, m)
     monkeypatch.setattr(builtins, "__import__", block)
     assert set(__spark_entry__.queries()) == set(QUERIES)

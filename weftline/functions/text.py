@@ -1,20 +1,26 @@
-"""Scalar text functions, all built in."""
+"""Text functions, built in but for the decoding of tokens."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator, Sequence
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed value: Unicode white space, written out so that any regex engine takes it the same way.
 SPACE = r"[\s\x0B\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+#: The same, character by character.
+SPACES = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 
 
 def trim_space(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def is_blank(c: Column) -> Column:
-    return F.regexp_replace(c, SPACE, "") == ""
+    """No character beside white space; found at the first other one, without rewriting the text."""
+    return ~c.rlike(rf"[^{SPACE[1:-1]}]")
 
 
 def bracketed(c: Column) -> Column:
@@ -56,8 +62,8 @@ def plain_number(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
-def json_record(start: Column, end: Column, text: Column, speaker: Column) -> Column:
-    parts = ('{"start_sec":', plain_number(start), ',"end_sec":', plain_number(end), ',"text":"', escape_json(text), '","speaker_id":"', speaker, '"}')
+def json_record(number: Column, start: Column, end: Column, text: Column, speaker: Column) -> Column:
+    parts = ('{"id":', number.cast("string"), ',"start_sec":', plain_number(start), ',"end_sec":', plain_number(end), ',"text":"', escape_json(text), '","speaker_id":"', speaker, '"}')
     return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
 
 
@@ -128,10 +134,33 @@ def log_line(seconds: Column, level: Column, message: Column) -> Column:
     return F.concat(clock(seconds), F.lit(" "), log_copy(level, message))
 
 
+#: What stands before and behind a batch's records in a prompt.
+PROMPT_INPUT, PROMPT_OUTPUT = "\n\nInput: ", "\n\nOutput:"
+
+
 def translation_prompt(batch_json: Column, source: str = "English", target: str = "Russian") -> Column:
     """What a translator is asked: a JSON array of the batch's records, to be answered by one of the same shape."""
-    head = f"Translate the texts of this JSON array from {source} to {target}. Answer with a JSON array of the same records only; escape double quotes inside texts.\n\nInput: "
-    return F.concat(F.lit(head), batch_json, F.lit("\n\nOutput:"))
+    head = f"Translate the texts of this JSON array from {source} to {target}. Answer with a JSON array of the same records only, each with its own id; escape double quotes inside texts."
+    return F.concat(F.lit(head + PROMPT_INPUT), batch_json, F.lit(PROMPT_OUTPUT))
+
+
+def text_lines(x: DataFrame, text: str, line: str = "line", number: str = "line_no") -> DataFrame:
+    """One row a line of a text, numbered from 0; line ends may be those of any system."""
+    keys = [c for c in x.columns if c != text]
+    return x.select(*keys, F.posexplode(F.split(F.col(text), r"\r\n|\n|\r")).alias(number, line))
+
+
+def decode_tokens(ids: Column, vocabulary: Sequence[bytes], special: Sequence[int] = ()) -> Column:
+    """The text of token ids (array<int>): bytes of all tokens that are neither special nor outside the vocabulary, one after the
+    other, as UTF-8; what is no UTF-8 becomes U+FFFD."""
+    drop = frozenset(special)
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in batches:
+            yield s.map(lambda x: None if x is None else b"".join(vocabulary[i] for i in x if 0 <= i < len(vocabulary) and i not in drop).decode("utf-8", "replace"))
+
+    return run(ids)
 
 
 #: Log levels, the most severe first.

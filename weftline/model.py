@@ -13,4 +13,6 @@ PROGRESS = "media_id string, stage string, percent float, result_path string"
 PIPELINE_CONFIG = "input_path string, output_format string, gguf_model_path string, ffmpeg_path string, vad_threshold_db string, sherpa_onnx_dir string"
 #: One record of translated JSON; optional fields may be missing, unknown ones are ignored.
 CHUNK_JSON = "start_sec double, end_sec double, text string, speaker_id string"
+#: The same with the place in its item that the record was sent with.
+ANSWER_JSON = "id long, " + CHUNK_JSON
 REQUIRED = ("start_sec", "end_sec", "text")

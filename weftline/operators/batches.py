@@ -27,9 +27,12 @@ def ordered_text(order: Column, line: Column, between: str) -> Column:
 
 
 def batch_json(x: DataFrame, by: list[str], order: str, speaker: str) -> DataFrame:
-    """One JSON array a batch, a record a line."""
-    record = F.concat(F.lit("  "), json_record(F.col("start_sec"), F.col("end_sec"), F.col("text"), F.col(speaker)))
-    return x.groupBy(*by, "batch_id").agg(F.concat(F.lit("[\n"), ordered_text(F.col(order), record, ",\n"), F.lit("\n]")).alias("json"), F.count(F.lit(1)).alias("n"))
+    """One JSON array a batch, a record a line, with n, their number, and rows, the batch's rows in order. A record's id is
+    its place in the item (the column order)."""
+    record = F.concat(F.lit("  "), json_record(F.col(order), F.col("start_sec"), F.col("end_sec"), F.col("text"), F.col(speaker)))
+    row = F.struct(order, *(c for c in x.columns if c not in (*by, "batch_id", order)))
+    rows = F.array_sort(F.collect_list(row)).alias("rows")  # a batch's, so their number is bounded
+    return x.groupBy(*by, "batch_id").agg(F.concat(F.lit("[\n"), ordered_text(F.col(order), record, ",\n"), F.lit("\n]")).alias("json"), F.count(F.lit(1)).alias("n"), rows)
 
 
 def cue_lines(chunks: DataFrame) -> DataFrame:

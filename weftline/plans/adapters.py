@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import hashlib
+import itertools
+import json
+import re
 import subprocess
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StringType, StructField, StructType
+
+from weftline.functions.text import PROMPT_INPUT, PROMPT_OUTPUT
+
+#: Fixed value: new tokens that recognition gives for a slice.
+ANSWER_TOKENS = 512
+TOKEN = r"\w+|[^\w\s]"
+_UPPER = {c: c - 32 for c in range(97, 123)}
 
 #: Texts of audio slices (None: not recognised); the factory runs once a worker, where a model is loaded.
 Recognizer = Callable[[list[np.ndarray], int], list[str | None]]
@@ -57,45 +72,105 @@ def tone_recognizer() -> Recognizer:
     return lambda slices, rate: [f"tone {len(x) / rate:.2f}s {np.abs(x).max() if len(x) else 0:.2f}" if len(x) and np.abs(x).max() > 0 else None for x in slices]
 
 
-def recognize(slices: DataFrame, factory: Callable[[], Recognizer], rate: int = 16_000) -> DataFrame:
-    """media_id, seg_idx, start_sec, end_sec, slice to chunks with text; slices without result go. A batch is one call."""
+def cut_tokens(text: str, most: int) -> str:
+    """The text up to the end of its token number `most`."""
+    ends = (m.end() for m in re.finditer(TOKEN, text))
+    last = next(itertools.islice(ends, most, None), None)
+    return text if last is None else text[: next(itertools.islice((m.end() for m in re.finditer(TOKEN, text)), most - 1, None))] if most else ""
+
+
+def count_tokens(text: str) -> int:
+    """A stand-in for a model's own tokenizer: words and signs."""
+    return sum(1 for _ in re.finditer(TOKEN, text))
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Tokens of the longest prompt that is sent and of the longest answer that is read; how they are counted and cut."""
+
+    prompt: int = 14_000
+    answer: int = 4_096
+    count: Callable[[str], int] = count_tokens
+    cut: Callable[[str, int], str] = cut_tokens
+
+
+def once(factory: Callable[[], object]) -> Callable[[], object]:
+    """A factory that makes its model once a worker process, whatever the number of tasks; an error is remembered, and raised
+    again without another try."""
+    key = hashlib.sha256(cloudpickle.dumps(factory)).hexdigest()
+    return lambda: _made(key, factory)
+
+
+_MODELS: dict[str, tuple[object, Exception | None]] = {}
+
+
+def _made(key: str, factory: Callable[[], object]) -> object:
+    if key not in _MODELS:
+        try:
+            _MODELS[key] = factory(), None
+        except Exception as e:
+            _MODELS[key] = None, e
+    model, error = _MODELS[key]
+    if error is not None:
+        raise error
+    return model
+
+
+def recognize(slices: DataFrame, factory: Callable[[], Recognizer], rate: int = 16_000, most_tokens: int = ANSWER_TOKENS) -> DataFrame:
+    """media_id, seg_idx, start_sec, end_sec, slice to chunks with text; slices without result go. A batch is one call; a text
+    longer than most_tokens is cut there."""
+    make = once(factory)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
+        model = make()
         for pdf in batches:
             texts = model([np.asarray(x, np.float32) for x in pdf["slice"]], rate)
-            out = pdf[["media_id", "seg_idx", "start_sec", "end_sec"]].assign(text=texts)
+            out = pdf[["media_id", "seg_idx", "start_sec", "end_sec"]].assign(text=[None if t is None else cut_tokens(t, most_tokens) for t in texts])
             yield out[out["text"].notna()]
 
     return slices.select("media_id", "seg_idx", "start_sec", "end_sec", "slice").mapInPandas(run, "media_id string, seg_idx int, start_sec double, end_sec double, text string")
 
 
+def batch_of(prompt: str) -> str:
+    """The records inside a translation prompt, or all of a text that is none."""
+    _, _, inside = prompt.rpartition(PROMPT_INPUT)
+    return inside.removesuffix(PROMPT_OUTPUT)
+
+
 def upper_translator() -> Translator:
     """Stub: the batch's own records with a-z of their texts in upper case."""
-    import json
+    return lambda prompt: json.dumps([r | {"text": r["text"].translate(_UPPER)} for r in json.loads(batch_of(prompt))], ensure_ascii=False)
+
 
-    upper = {c: c - 32 for c in range(97, 123)}
+def careless_translator() -> Translator:
+    """Stub: as upper_translator, but the records whose id is divisible by three are left out, the others come in reverse, the
+    first of these twice, and one of no row is added."""
 
-    def run(batch: str) -> str:
-        return json.dumps([r | {"text": r["text"].translate(upper)} for r in json.loads(batch)], ensure_ascii=False)
+    def run(prompt: str) -> str:
+        out = [r | {"text": r["text"].translate(_UPPER)} for r in json.loads(batch_of(prompt)) if r["id"] % 3]
+        again = [out[0] | {"text": "again"}] if out else []
+        stray = {"id": -1, "start_sec": 0.0, "end_sec": 1.0, "text": "stray"}
+        return json.dumps([*out[::-1], stray, *again], ensure_ascii=False)
 
     return run
 
 
-def ask(batches: DataFrame, factory: Callable[[], Translator], prompt: str = "json") -> DataFrame:
-    """Rows of batches (with a column `prompt`) with raw, the translator's answer; empty where it fails."""
+def ask(batches: DataFrame, factory: Callable[[], Translator], prompt: str = "json", limits: Limits = Limits()) -> DataFrame:
+    """Rows of batches, without the column `prompt`, with raw, the translator's answer: one call a row, none for a prompt beyond
+    the limit. raw is empty where there is no answer. All other columns pass through as they are."""
     fields = [f for f in batches.schema.fields if f.name != prompt]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", raw string"
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model = factory()
-        for pdf in parts:
-            raw = []
-            for text in pdf[prompt]:
-                try:
-                    raw.append(model(text))
-                except Exception:  # a failed batch falls back to its originals
-                    raw.append("")
-            yield pdf.drop(columns=[prompt]).assign(raw=raw)
-
-    return batches.mapInPandas(run, schema)
+    make = once(factory)
+
+    def answer(model: Translator, text: str) -> str:
+        try:
+            return limits.cut(model(text), limits.answer) if limits.count(text) <= limits.prompt else ""
+        except Exception:  # a failed batch falls back to its originals
+            return ""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = make()
+        for b in parts:
+            raw = [answer(model, text) for text in b.column(b.schema.get_field_index(prompt)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(f.name)) for f in fields), pa.array(raw, pa.string())], [*(f.name for f in fields), "raw"])
+
+    return batches.mapInArrow(run, StructType([*fields, StructField("raw", StringType())]))

@@ -33,7 +33,48 @@ _AT = r"regexp_extract(url, '^(.*[/\\])[^/\\]*$', 1)"
 _FMT = f"coalesce(nullif(CASE WHEN page_id % 3 = 0 THEN 'MKV' ELSE '' END, ''), nullif({_EXT}, ''), 'mp4')"
 _PARENT = r"regexp_extract(url, '^(.*)[/\\][^/\\]*$', 1)"
 
+_BLANK = f"regexp_replace(text, '{SPACE}', '', 'g') = ''"
+_TURNS = "t AS (SELECT CAST(conv_id AS VARCHAR) AS media_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS INTEGER) AS seg_idx, role, coalesce(text, '') AS text FROM conversations)"
+_CUE = f"number || chr(10) || {_srt('ms')} || ' --> ' || {_srt('(ms + 1000)')} || chr(10) || '[' || label || '] ' || text || chr(10) || chr(10)"
+_CUES = lambda label: f"{_TURNS}, c AS (SELECT media_id, seg_idx * 1500 AS ms, {label} AS label, text, CAST(row_number() OVER (PARTITION BY media_id ORDER BY seg_idx) AS INTEGER) AS number FROM t WHERE NOT ({_BLANK}))"
+_SECONDS = lambda factor: f"regexp_replace(CAST({factor} AS VARCHAR), '\\.0$', '')"
+_UPPER = "translate({}, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ')"
+
 ORACLES: dict[str, str] = {
+    "q_translate_gaps": f"""WITH {_TURNS},
+b AS (SELECT *, seg_idx // 10 AS batch_id, seg_idx % 3 > 0 AS kept FROM t),
+n AS (SELECT media_id, batch_id, count(*) AS n_asked, count(*) FILTER (kept) AS n_matched FROM b GROUP BY ALL)
+SELECT media_id, seg_idx, CAST(batch_id AS INTEGER) AS batch_id, CASE WHEN kept THEN {_UPPER.format('text')} ELSE '[' || text || ']' END AS text, role AS speaker, kept AS translated,
+n_asked, n_matched + 1 + CASE WHEN n_matched > 0 THEN 1 ELSE 0 END AS n_answered, n_matched FROM b JOIN n USING (media_id, batch_id) WHERE kept OR NOT ({_BLANK})""",
+    "q_batch_json": f"""WITH {_TURNS}
+SELECT media_id, CAST(seg_idx // 10 AS INTEGER) AS batch_id, count(*) AS n, '[' || chr(10) || string_agg('  {{"id":' || seg_idx || ',"start_sec":' || {_SECONDS('CAST(seg_idx * 1.5 AS DOUBLE)')} || ',"end_sec":' || {_SECONDS('CAST(seg_idx * 1.5 + 1 AS DOUBLE)')} || ',"text":"' || {_escape('text')} || '","speaker_id":"' || role || '"}}', ',' || chr(10) ORDER BY seg_idx) || chr(10) || ']' AS json
+FROM t GROUP BY media_id, seg_idx // 10""",
+    "q_cue_lines": f"WITH {_CUES("CASE WHEN role <> 'user' THEN role ELSE 'Speaker' END")} SELECT media_id, number, {_CUE} AS cue FROM c",
+    "q_srt_documents": f"WITH {_CUES('role')} SELECT media_id, chr(65279) || string_agg({_CUE}, '' ORDER BY number) AS srt FROM c GROUP BY media_id",
+    "q_parse_records": """WITH e AS (SELECT event_id, event_id % 4 AS kind, user_id::DOUBLE AS s, event_type AS word FROM events)
+SELECT event_id, 0 AS pos, s AS start_sec, s + 1 AS end_sec, CASE WHEN kind = 1 THEN 'say "' || word || '" twice' ELSE word END AS text, NULL::VARCHAR AS speaker_id FROM e WHERE kind < 3
+UNION ALL SELECT event_id, 1, s, s + 1, 'more', 'S1' FROM e WHERE kind = 0""",
+    "q_detector_log": f"""WITH {_EVENTS},
+z AS (SELECT min(t) AS t0, (max(t) - min(t)) // 1000000 AS total FROM e),
+m AS (SELECT user_id, t, event_id, (t - t0) // 1000000 AS pos, event_type = 'error' AS starts, CASE WHEN event_type = 'view' AND value > 1 THEN (t - t0) // 1000000 END AS end_at FROM e, z WHERE event_type IN ('error', 'view')),
+b AS (SELECT *, coalesce(last_value(end_at IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS began FROM m),
+l AS (SELECT user_id, arg_max(starts, (t, event_id)) AS silent, arg_max(end_at, (t, event_id)) FILTER (end_at IS NOT NULL) AS last_end FROM m GROUP BY user_id),
+u AS (SELECT DISTINCT user_id FROM e WHERE event_type IN ('error', 'view', 'click'))
+SELECT CAST(user_id AS VARCHAR) AS media_id, began AS start_s, pos AS end_s FROM b WHERE starts AND pos > began
+UNION ALL
+SELECT CAST(u.user_id AS VARCHAR), coalesce(last_end, 0), total FROM u LEFT JOIN l USING (user_id), z WHERE NOT coalesce(silent, false) AND total > coalesce(last_end, 0)""",
+    "q_samples": """WITH s AS (SELECT o_orderkey, greatest(o_orderkey % 40 * 4000 - 16000, 0) AS start_sample, least(o_custkey % 50 * 4000, o_orderkey % 7 * 30000) AS end_sample FROM orders)
+SELECT * FROM s WHERE start_sample < end_sample""",
+    "q_features": """WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
+f AS (SELECT vec_id, f, k, sum(x[(f * 128 + n) % 64 + 1] * (0.54 - 0.46 * cos(2 * pi() * n / 256)) * cos(2 * pi() * (k * n % 256) / 256)) AS re, sum(x[(f * 128 + n) % 64 + 1] * (0.54 - 0.46 * cos(2 * pi() * n / 256)) * sin(2 * pi() * (k * n % 256) / 256)) AS im
+  FROM s, range(0, 2) a(f), range(0, 129) b(k), range(0, 256) c(n) GROUP BY ALL)
+SELECT CAST(vec_id AS VARCHAR) AS media_id, 0 AS seg_idx, CAST(k * 13 // 129 AS INTEGER) AS band, round(ln(sum(sqrt(re * re + im * im)) / 2 + 1e-10), 6) AS energy FROM f GROUP BY ALL
+UNION ALL SELECT CAST(vec_id AS VARCHAR), 1, CAST(b AS INTEGER), 0.0 FROM s, range(0, 13) r(b)""",
+    "q_decode_tokens": "SELECT p_partkey, p_name AS text FROM part",
+    "q_zip": f"WITH {_TURNS} SELECT media_id, seg_idx, role AS speaker_id, CAST(seg_idx // 4 AS INTEGER) AS batch_id FROM t WHERE seg_idx >= 4",
+    "q_pcm": "SELECT l_orderkey, l_linenumber, (l_partkey % 65536 - 32768) / 32768.0::DOUBLE AS x FROM lineitem",
+    "q_prompts": """SELECT page_id, 'Translate the texts of this JSON array from English to German. Answer with a JSON array of the same records only, each with its own id; escape double quotes inside texts.' || chr(10) || chr(10) || 'Input: ' || url || chr(10) || chr(10) || 'Output:' AS prompt FROM pages""",
+    "q_levels": "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ERROR' ELSE 'WARN' END AS level FROM events WHERE event_id % 5 < 2",
     "q_islands": f"WITH {_ISLANDS} SELECT user_id, island, s AS start_us, f AS end_us, n FROM g",
     "q_pad_filter": f"WITH {_PADDED} SELECT user_id, s AS start_us, f AS end_us FROM p",
     "q_split": f"WITH {_SPLIT} SELECT user_id, island, piece, s AS start_us, f AS end_us FROM c",

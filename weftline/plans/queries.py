@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftline.functions import text as T
-from weftline.functions.vectors import argmax_last, argmin_first, cosine_distance, dot
-from weftline.operators.batches import NO_SPEAKER, last_rows, micro_batches, ordered_text, with_number
+from weftline.functions.vectors import argmax_last, argmin_first, cosine_distance, dot, pcm_to_float
+from weftline.operators.batches import NO_SPEAKER, batch_json, cue_lines, last_rows, micro_batches, ordered_text, srt_documents, with_number
 from weftline.operators.clustering import leader_clusters, speaker_labels
-from weftline.operators.intervals import activity_islands, long_enough, or_whole, pad, speech_intervals, split_long
-from weftline.operators.joins import band_join
-from weftline.operators.json_records import objects
-from weftline.operators.signal import energies
-from weftline.plans.adapters import ask, upper_translator
+from weftline.operators.intervals import activity_islands, long_enough, or_whole, pad, parse_detector_log, speech_intervals, split_long, to_samples
+from weftline.operators.joins import band_join, zip_positions
+from weftline.operators.json_records import explode_records, objects
+from weftline.operators.signal import energies, segment_features
+from weftline.plans.adapters import ask, careless_translator, upper_translator
+from weftline.plans.pipeline import translate
 
 HOUR = 3_600_000_000
 GAP, PAD, LEAST, MOST = 4 * HOUR, HOUR // 2, 2 * HOUR, 8 * HOUR
@@ -62,8 +63,8 @@ def q_fallback_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A user is an item, hours since the first event its time. Events of type error begin a silence; the next kinds in the
-    alphabet after it, and those after, end one with a time if their value is above 1, without if not."""
+    """A user is an item, microseconds since the first event of all its time. An event of type error begins a silence; one of
+    type view ends it, with a known time if its value is above 1."""
     x = events(spark, sf_dir)
     whole = x.agg(F.min("t").alias("t0"), F.max("t").alias("t1"))
     x = x.crossJoin(F.broadcast(whole))  # one row
@@ -216,6 +217,96 @@ def q_translate_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("conv_id", "turn", "role", F.coalesce(F.col("r.text"), T.bracketed(F.col("text"))).alias("text"))
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chunks: a second and a half a turn, spoken by its role."""
+    x = with_number(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role", "text"], "seg_idx")
+    return x.select(F.col("conv_id").cast("string").alias("media_id"), "seg_idx", (F.col("seg_idx") * 1.5).alias("start_sec"), (F.col("seg_idx") * 1.5 + 1).alias("end_sec"), F.coalesce("text", F.lit("")).alias("text"), F.col("role").alias("speaker_id"))
+
+
+def q_translate_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The translation stage with a translator that leaves records out, turns them round, repeats one and invents one."""
+    x = _turns(spark, sf_dir)
+    out = translate(x.withColumn("speaker_id", F.lit(None).cast("string")), x, careless_translator)
+    return out.select("media_id", "seg_idx", "batch_id", "text", "speaker", "translated", "n_asked", "n_answered", "n_matched")
+
+
+def q_batch_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = micro_batches(_turns(spark, sf_dir), ["media_id"], ["seg_idx"])
+    return batch_json(x, ["media_id"], "seg_idx", "speaker_id").select("media_id", "batch_id", "n", "json")
+
+
+def q_cue_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cue_lines(_turns(spark, sf_dir).withColumn("speaker_id", F.when(F.col("speaker_id") != "user", F.col("speaker_id"))))
+
+
+def q_srt_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return srt_documents(_turns(spark, sf_dir))
+
+
+def q_parse_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of four kinds: whole, with bare quotes inside a text, with a broken record among whole ones, without any."""
+    x = table(spark, sf_dir, "events")
+    one = F.concat(F.lit('{"start_sec":'), F.col("user_id").cast("string"), F.lit(',"end_sec":'), (F.col("user_id") + 1).cast("string"), F.lit(',"text":"'))
+    word, kind = F.col("event_type"), F.col("event_id") % 4
+    whole = F.concat(F.lit("Here:\n["), one, word, F.lit('"}, '), one, F.lit('more","speaker_id":"S1","x":1}]'))
+    quoted = F.concat(F.lit("["), one, F.lit('say "'), word, F.lit('" twice"}]'))
+    broken = F.concat(F.lit('[{"start_sec": oops}, '), one, word, F.lit('"}, {"end_sec":3,"text":"no start"}, {"start_sec":1]'))
+    raw = F.when(kind == 0, whole).when(kind == 1, quoted).when(kind == 2, broken).otherwise(word)
+    return explode_records(x.select("event_id", raw.alias("raw")))
+
+
+def q_detector_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as the text of a detector's log, in whole seconds since the first event of all, read back to speech."""
+    x = events(spark, sf_dir).filter(F.col("event_type").isin("error", "view", "click"))
+    x = x.crossJoin(F.broadcast(events(spark, sf_dir).agg(F.min("t").alias("t0"), F.max("t").alias("t1"))))  # one row
+    second = lambda c: F.floor((F.col(c) - F.col("t0")) / 1_000_000).cast("long")
+    at = second("t").cast("string")
+    line = F.when(F.col("event_type") == "error", F.concat(F.lit("[silencedetect @ 0x1] silence_start: "), at)).when(F.col("event_type") == "view", F.concat(F.lit("[silencedetect @ 0x1] silence_end: "), at, F.when(F.col("value") > 1, " | silence_duration: 1").otherwise(""))).otherwise("frame= 1")
+    logs = x.groupBy(F.col("user_id").cast("string").alias("media_id")).agg(ordered_text(F.struct("t", "event_id"), line, "\n").alias("text"), F.max(second("t1")).cast("double").alias("total"))
+    found = speech_intervals(logs.select("media_id", "total"), parse_detector_log(T.text_lines(logs.select("media_id", "text"), "text")))
+    return found.select("media_id", F.col("start").cast("long").alias("start_s"), F.col("end").cast("long").alias("end_s"))
+
+
+def q_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of orders in quarter seconds, before the start and beyond the end of a recording too, as sample numbers."""
+    x = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 40 / 4 - 1).alias("start_sec"), (F.col("o_custkey") % 50 / 4).alias("end_sec"), (F.col("o_orderkey") % 7 * 30_000).cast("long").alias("n_samples"))
+    return to_samples(x).select("o_orderkey", "start_sample", "end_sample")
+
+
+def q_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings, each eight times in a row, as audio of 512 samples; a whole segment and one too short for a frame."""
+    audio = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("media_id"), F.flatten(F.array_repeat("embedding", 8)).alias("samples"))
+    ends = F.explode(F.array(F.struct(F.lit(0).alias("seg_idx"), F.lit(0.032).alias("end_sec")), F.struct(F.lit(1).alias("seg_idx"), F.lit(0.01).alias("end_sec"))))
+    segments = audio.select("media_id", ends.alias("s")).select("media_id", "s.seg_idx", F.lit(0.0).alias("start_sec"), "s.end_sec")
+    return segment_features(audio, segments).select("media_id", "seg_idx", F.posexplode("vec").alias("band", "x")).select("media_id", "seg_idx", "band", F.round("x", 6).alias("energy"))
+
+
+def q_decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts as one token a byte, led by a special token and followed by one outside the vocabulary."""
+    codes = F.transform(F.split("p_name", ""), lambda c: F.ascii(c))
+    ids = F.concat(F.array(F.lit(256)), codes, F.array(F.lit(999), F.lit(-1)))
+    return table(spark, sf_dir, "part").select("p_partkey", T.decode_tokens(ids, [bytes([b]) for b in range(256)] + [b"<s>"], [256]).alias("text"))
+
+
+def q_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns beside the batch that they fall into, by place."""
+    x = _turns(spark, sf_dir)
+    return zip_positions(x.select("media_id", "seg_idx", "speaker_id"), micro_batches(x, ["media_id"], ["seg_idx"], 4).filter("batch_id > 0").select("media_id", "seg_idx", "batch_id"))
+
+
+def q_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pcm_to_float(F.col("l_partkey") % 65536 - 32768).alias("x"))
+
+
+def q_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.translation_prompt(F.col("url"), "English", "German").alias("prompt"))
+
+
+def q_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.element_at(F.array(*map(F.lit, T.LEVELS)), (F.col("event_id") % 5 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", level.alias("level")).filter(T.level_at_least(F.col("level"), "WARN"))
+
+
 def q_cues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: activity islands of each user, padded, filtered, split and numbered as subtitle cues."""
     x = split_long(_padded(spark, sf_dir), MOST)

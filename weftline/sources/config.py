@@ -69,6 +69,12 @@ def resolve_input(path: str) -> str:
     return str(other) if not p.exists() and other.exists() else path
 
 
+def missing_settings(config: AppConfig, input_path: str | None) -> list[str]:
+    """What a run needs and does not have: a video, the translator's model, the recogniser's folder."""
+    have = {"input_path": input_path, "gguf_model_path": config.gguf_model_path, "sherpa_onnx_dir": config.sherpa_onnx_dir}
+    return [name for name, value in have.items() if not value]
+
+
 def model_file(folder: str, name: str) -> Path | None:
     """<name>.int8.onnx before <name>.onnx."""
     return next((p for p in (Path(folder) / f"{name}{end}" for end in (".int8.onnx", ".onnx")) if p.exists()), None)
@@ -89,7 +95,7 @@ def media_tool(configured: str | None, name: str = "ffmpeg") -> str:
 
 def log_paths(folders: list[str]) -> list[Path]:
     """One log file a folder, in order, each once."""
-    return list(dict.fromkeys(Path(f) / "last_logs.log" for f in folders))
+    return list(dict.fromkeys(Path(f) / "weftline.log" for f in folders))
 
 
 def append_log(paths: list[Path], line: str) -> None:

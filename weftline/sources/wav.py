@@ -51,7 +51,7 @@ def samples(content: Column) -> Column:
 def duration(content: Column) -> Column:
     """Seconds, from the header alone and without Python: bytes of the data chunk over bytes a second. For the usual layout
     with the format chunk first."""
-    text = F.hex(content)
+    text = F.hex(F.substring(content, 1, 240))  # the header, not the samples
     little = lambda at: F.conv(F.concat(*(F.substring(text, 2 * (at + k) + 1, 2) for k in (3, 2, 1, 0))), 16, 10).cast("double")
     data = F.instr(F.substring(text, 73, 400), "64617461")
     at = 36 + ((data - 1) / 2).cast("int")
