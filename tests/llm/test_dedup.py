@@ -234,11 +234,11 @@ def test_trees_locate_edits(spark):
     tree, = merkle_trees([a])
     root = next(r for r in nodes if r.doc_id == 1 and r.parent is None)
     assert (root.digest, root.start, root.end, root.level) == (tree.root.hex(), 0, len(a), len(tree.levels))
-    leaves = [(r.start, r.end) for r in sorted(nodes, key=lambda r: r.index) if r.level == 0 and r.doc_id == 1]
+    leaves = [(r.start, r.end) for r in sorted(nodes, key=lambda r: r["index"]) if r.level == 0 and r.doc_id == 1]
     assert [e for _, e in leaves] == paragraphs([a])[0] and leaves[0][0] == 0
     for r in nodes:
         if r.parent is not None:
-            assert any(p.doc_id == r.doc_id and p.level == r.level + 1 and p.index == r.parent and p.start <= r.start and r.end <= p.end for p in nodes)
+            assert any(p.doc_id == r.doc_id and p.level == r.level + 1 and p["index"] == r.parent and p.start <= r.start and r.end <= p.end for p in nodes)
 
 
 def test_shingles_of_texts():

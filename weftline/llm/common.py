@@ -21,11 +21,15 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (single-machine tests) a new local one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set and
+    all runs in one process (a local master, as in tests), a new local one."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        held = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        path = held or tempfile.mkdtemp(prefix="weftline-")
+        path = spark.sparkContext.getCheckpointDir()
+        if not path:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            path = tempfile.mkdtemp(prefix="weftline-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
@@ -36,7 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete stored tables (others are left alone) that nothing will read again: what was made of them is stored, too."""
+    for df in frames:
+        if hasattr(df, "stored_path"):
+            delete(df.sparkSession, df.stored_path)
 
 
 def release(spark: SparkSession) -> None:

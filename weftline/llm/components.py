@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import stored
+from weftline.llm.common import discard, stored
 
 
 def _flatten(parents: DataFrame) -> DataFrame:
     """parents (node, parent), parent <= node, with every chain shortened to its root by pointer jumping."""
+    held = parents
     while True:
         up = parents.select(F.col("node").alias("parent"), F.col("parent").alias("above"))
-        parents = stored(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("next"), "parent"), "jump")
-        moved = parents.filter(F.col("next") != F.col("parent")).isEmpty()
-        parents = parents.select("node", F.col("next").alias("parent"))
-        if moved:
+        jumped = stored(parents.join(up, "parent", "left").select("node", F.coalesce("above", "parent").alias("next"), "parent"), "jump")
+        discard(held)
+        held, settled = jumped, jumped.filter(F.col("next") != F.col("parent")).isEmpty()
+        parents = jumped.select("node", F.col("next").alias("parent"))
+        if settled:
+            parents.stored_path = jumped.stored_path
             return parents
 
 
@@ -32,7 +35,9 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         parents = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent")).withColumn("parent", F.least("node", "parent"))
         parents = _flatten(stored(parents, "parents"))
         root = lambda c: parents.select(F.col("node").alias(c), F.col("parent").alias(f"{c}_root"))
+        held = labels, edges, parents
         labels = stored(labels.join(root("comp"), "comp", "left").select("set_id", F.coalesce("comp_root", "comp").alias("comp")), "labels")
         edges = edges.join(root("a"), "a").join(root("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b"))
         edges = stored(edges.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(*held)
     return labels

@@ -38,7 +38,9 @@ from weftline.llm.common import pick, stored
 
 CAPACITY, END_ID = 2048, 0
 #: Entries after which a worker's table of encoded pieces starts anew: it bounds the memory.
-KNOWN_LIMIT = 1_000_000
+KNOWN_LIMIT = 1 << 18
+#: Text bytes that are encoded at once.
+ENCODED_BYTES = 1 << 19
 #: Pairs of classes of bins that the local search looks at before it ends, about a minute of work.
 EFFORT = 3_000_000
 #: Rows that share a length are ranked in groups of about so many; groups are at most the distinct lengths plus MOST_LANES.
@@ -134,7 +136,7 @@ class Encoder:
 
     def forget(self) -> None:
         """Of each known piece, by hash: where its bytes and its ids begin, and how many there are."""
-        self.hashes, self.known = np.zeros(0, U64), np.zeros((4, 0), np.int64)
+        self.hashes, self.known = np.zeros(0, U64), np.zeros((4, 0), np.int32)
         self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0
         self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
 
@@ -164,7 +166,7 @@ class Encoder:
         self.raw_used += len(raw)
         at = np.searchsorted(self.hashes, hashes)
         self.hashes = np.insert(self.hashes, at, hashes)
-        self.known = np.insert(self.known, at, np.stack((begin, length, starts, sizes)), axis=1)
+        self.known = np.insert(self.known, at, np.stack((begin, length, starts, sizes)).astype(np.int32), axis=1)
 
     def special_spans(self, whole: str, begin: np.ndarray) -> list[tuple[int, int]]:
         """Where special tokens' strings stand in the texts that begin at begin: the leftmost first, the longest of equal ones."""
@@ -218,7 +220,7 @@ class Encoder:
             new = self.hashes[at] != distinct
         if new.any():
             self.learn(distinct[new], [raw[a:b] for a, b in zip(place[where[new]].tolist(), ends[where[new]].tolist())])
-        text, length, ids_at, sizes = self.known[:, np.searchsorted(self.hashes, distinct)][:, back]
+        text, length, ids_at, sizes = self.known[:, np.searchsorted(self.hashes, distinct)][:, back].astype(np.int64)
         differ = length != ends - place
         if not differ.any():
             unequal = np.flatnonzero(self.raw[ragged(text, length)] != data)
@@ -252,7 +254,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | No
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(held or default_vocabulary())
-        for rows, data, off in slices(batches):
+        for rows, data, off in slices(batches, limit=ENCODED_BYTES):
             ids, upto = coder.encode(data, off)
             n = np.diff(upto) + 1
             count = (n + capacity - 1) // capacity

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.arrays import U64, Lanes, mix64, powers, ragged, running, slices, stretch
+from weftline.llm.arrays import SLICE_BYTES, U64, Lanes, mix64, powers, ragged, running, slices, stretch
 from weftline.llm.common import partitions, release, shared_dir, stored
 from weftline.llm.exchange import ROWS, deal, differences, from_bytes, groups, pack, packed_rows, range_bucket, runs, to_bytes, unpack
 
@@ -114,13 +114,15 @@ class Kind:
     fields: str
 
 
-def _places(rows: pa.RecordBatch, key: str, off: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """What orders documents: id (null last), then the text's hash."""
+def _names(rows: pa.RecordBatch, key: str) -> tuple[np.ndarray, np.ndarray]:
+    """What orders documents first: ids, and which are null (those come last)."""
     column = rows.column(rows.schema.get_field_index(key))
-    null = column.is_null().to_numpy(zero_copy_only=False)
-    ids = column.fill_null(0).to_numpy()
-    tie = (stretch(sums, off[:-1], off[1:]) >> U64(32)).astype(np.uint32)
-    return ids, null, tie
+    return column.fill_null(0).to_numpy(), column.is_null().to_numpy(zero_copy_only=False)
+
+
+def _ties(sums: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """What orders documents of one id: a hash of the text."""
+    return (stretch(sums, off[:-1], off[1:]) >> U64(32)).astype(np.uint32)
 
 
 def _write_blocks(docs: DataFrame, kind: Kind, n: int, key: str, text: str) -> DataFrame:
@@ -151,7 +153,7 @@ def _write_blocks(docs: DataFrame, kind: Kind, n: int, key: str, text: str) -> D
             sym, at = kind.symbols(data, off)
             sums = running(kind.values(sym))
             doc, start, length, anchor, content = find_segments(sums, Lanes(sym), at, kind.window, kind.gram)
-            held.append((rows, doc + docs_so_far, start + symbols, length, anchor, content, *_places(rows, key, at, sums)))
+            held.append((rows, doc + docs_so_far, start + symbols, length, anchor, content, *_names(rows, key), _ties(sums, at)))
             size, symbols, docs_so_far = size + len(data), symbols + int(at[-1]), docs_so_far + rows.num_rows
             if size >= BLOCK_BYTES:
                 yield flush()
@@ -239,18 +241,26 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
             place[which[one]] = one
             place = place[index]
             s, size, d = start[place], length[place].astype(np.int64), doc[place].astype(np.int64)
-            sums, lanes = running(kind.values(sym)), Lanes(sym)
-            # The hashes again, of these segments only.
-            ids, null, tie = _places(rows.combine_chunks().to_batches()[0], key, off, sums)
-            out = []
-            hot = np.flatnonzero(provide == HOT)
-            if len(hot):
-                out += _windows(kind, n, block, lanes, index[hot], s[hot], size[hot], np.minimum(times[index[hot]], 2), ids[d[hot]], null[d[hot]], tie[d[hot]], off[d[hot]])
-                cold = provide != HOT
-                index, provide, s, size, d = index[cold], provide[cold], s[cold], size[cold], d[cold]
+            # The hashes again, of these segments only, some documents at a time.
+            tie = np.zeros(len(off) - 1, np.uint32)
+            anchor, content = np.zeros(len(s), U64), np.zeros(len(s), U64)
+            is_hot = provide == HOT
+            alone: list[tuple[np.ndarray, ...]] = []
+            for lo, hi in _lots(off):
+                first_at, part = off[lo], sym[off[lo] : off[hi]]
+                mine = np.flatnonzero((s >= first_at) & (s < off[hi]))
+                sums = running(kind.values(part))
+                tie[lo:hi] = _ties(sums, off[lo : hi + 1] - first_at)
+                lanes = Lanes(part)
+                hot, cold = mine[is_hot[mine]], mine[~is_hot[mine]]
+                anchor[cold], content[cold] = _again(sums, lanes, s[cold] - first_at, size[cold], kind)
+                alone.append(_windows(kind, lanes, hot, s[hot] - first_at, size[hot]))
+                del sums, lanes
+            ids, null = _names(rows.combine_chunks().to_batches()[0], key)
+            out = _send_windows(kind, n, block, alone, index, s, np.minimum(times[index], 2), ids[d], null[d], tie[d], off[d])
+            cold = ~is_hot
+            index, provide, s, size, d, anchor, content = (x[cold] for x in (index, provide, s, size, d, anchor, content))
             provide = provide.astype(bool)
-            anchor, content = _again(sums, lanes, s, size, kind)
-            del sums, lanes
             where = range_bucket(anchor, n)
             order = np.argsort(where, kind="stable")
             for k, i, j in runs(where[order]):
@@ -262,20 +272,35 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
     return run
 
 
-def _windows(kind: Kind, n: int, block: int, lanes: Lanes, index: np.ndarray, start: np.ndarray, size: np.ndarray, times: np.ndarray, ids: np.ndarray, null: np.ndarray, tie: np.ndarray, begin: np.ndarray) -> list[tuple]:
-    """Step 3 for segments of hot anchors: each window goes to the shard that its own hash names. The windows of a segment differ."""
+def _lots(off: np.ndarray) -> list[tuple[int, int]]:
+    """Runs of documents of about SLICE_BYTES symbols, a longer document alone."""
+    out, at = [], 0
+    while at < len(off) - 1:
+        to = max(int(np.searchsorted(off, off[at] + SLICE_BYTES, "right")) - 1, at + 1)
+        out.append((at, to))
+        at = to
+    return out
+
+
+def _windows(kind: Kind, lanes: Lanes, which: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Windows of segments of hot anchors: the segment, the window's place in it and its own hash."""
     count = size - kind.window + 1
-    of = np.repeat(np.arange(len(index)), count)
-    shift = ragged(np.zeros(len(index), np.int64), count)
+    of = np.repeat(np.arange(len(which)), count)
+    shift = ragged(np.zeros(len(which), np.int64), count)
     at = start[of] + shift
-    key = mix64(lanes.of(at, at + kind.window) ^ U64(0xD6E8FEB86659FD93))
+    return which[of], shift, mix64(lanes.of(at, at + kind.window) ^ U64(0xD6E8FEB86659FD93))
+
+
+def _send_windows(kind: Kind, n: int, block: int, alone: list[tuple[np.ndarray, ...]], index: np.ndarray, start: np.ndarray, times: np.ndarray, ids: np.ndarray, null: np.ndarray, tie: np.ndarray, begin: np.ndarray) -> list[tuple]:
+    """Step 3 for segments of hot anchors: each window goes to the shard that its own hash names. The windows of a segment differ."""
+    of, shift, key = (np.concatenate([a[i] for a in alone]) for i in range(3))
     where = range_bucket(key >> U64(16), n)
     order = np.argsort(where, kind="stable")
     out = []
     for k, i, j in runs(where[order]):
         w = order[i:j]
         x = of[w]
-        place = (ids[x], null[x].astype(np.uint8), tie[x], at[w] - begin[x]) if kind.first_stays else ()
+        place = (ids[x], null[x].astype(np.uint8), tie[x], start[x] + shift[w] - begin[x]) if kind.first_stays else ()
         out.append((ALONE, k, block, pack(index[x], shift[w].astype(np.uint32), key[w], times[x].astype(np.uint8), *place)))
     return out
 
