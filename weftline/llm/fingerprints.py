@@ -35,6 +35,8 @@ PARAGRAPH_WORDS, CHILDREN, NODES = 4, 4, 64
 LONG_WORD = 32
 #: Rows a range of documents that are sampled for the ranges' bounds, and in all; documents and bytes handled at once.
 SAMPLED, MOST_SAMPLED, CHUNK_ROWS, CHUNK_BYTES = 64, 4_000_000, 256, 1 << 20
+#: Ranges whose keys (about 40 bytes each) are broadcast.
+MOST_BROADCAST = 1 << 20
 
 
 def paragraphs(texts: list[bytes]) -> list[list[int]]:
@@ -290,9 +292,11 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
         return spark.createDataFrame([], _OUT)
     before = [(tops[k - 1]["bucket"], *t["top"]) for k, t in enumerate(tops)]
     wanted = spark.createDataFrame(before, "to int, unnamed boolean, turned long, hash long")
+    if len(before) <= MOST_BROADCAST:  # else the planner decides
+        wanted = F.broadcast(wanted)
     # Equal keys may be many, and may begin many ranges: one text of each key first, then one row a range.
     same = _KEY[:3]
-    firsts = keyed.join(wanted.select(*same).distinct(), same, "left_semi").groupBy(*same).agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    firsts = keyed.join(wanted.select(*same), same, "left_semi").groupBy(*same).agg(F.min(F.struct("doc_id", "text")).alias("r"))
     extra = firsts.join(wanted, same).select(F.col("to").alias("bucket"), F.lit(True).alias("extra"), "r.doc_id", "r.text", *(F.lit(0).cast("long").alias(c) for c in ("rank", *same[1:])))
     own = dealt.select("bucket", F.lit(False).alias("extra"), "doc_id", "text", F.col("unnamed").cast("long").alias("rank"), *same[1:])
     placed = deal(own.unionByName(extra), max(n, len(bounds) + 1)).sortWithinPartitions("bucket", "extra", "rank", "turned", "hash", "text")
