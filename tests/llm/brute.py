@@ -153,3 +153,36 @@ def katz(data, discounts, top, reserve):
         base = sum(math.log10((one.get(x, 0) + 1) / (n + v + 1)) for x in w)
         out.append((i, held, len(w), sum(x in one for x in w), n, base, score))
     return out
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over tuples of symbols, by dictionaries and recursion. sequences: symbols of the training texts,
+    each led by as many zeros as the order has symbols, less one."""
+
+    def __init__(self, sequences, order, symbols):
+        self.order, self.symbols = order, symbols
+        self.counts = {order: Counter(tuple(s[i : i + order]) for s in sequences for i in range(len(s) - order + 1))}
+        for k in range(order - 1, 0, -1):
+            self.counts[k] = Counter(g[1:] for g in self.counts[k + 1])
+
+    def share(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / self.symbols
+        counts = self.counts[k]
+        ones, twos = sum(c == 1 for c in counts.values()), sum(c == 2 for c in counts.values())
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        after = [c for g, c in counts.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return self.share(gram[1:])
+        own = max(counts[gram] - discount, 0) / sum(after) if gram in counts else 0.0
+        return own + discount * len(after) / sum(after) * self.share(gram[1:])
+
+
+def jump(key_hash, shards):
+    """The shard after jumps from bucket to bucket; key_hash(step) is a 64-bit number."""
+    held, following, step = 0, 0, 0
+    while following < shards:
+        held, step = following, step + 1
+        following = math.floor(min((held + 1) / (((key_hash(step) % 2**64 >> 11) + 1) / 2**53), 2.0**62))
+    return held

@@ -118,6 +118,76 @@ def test_language_models_are_normalised():
     assert letters.tolist() == [6, 0, 1] and np.diff(upto).tolist() == [7, 0, 1] and ORDER == 4
 
 
+def test_language_models_against_dictionaries():
+    """Shares, entropies and the language chosen, by a plain Kneser-Ney with its own symbols."""
+    texts = ["the cat sat on the mat", "a cat and a hat", "that is the end of it", "the the the", "Cat! 7 on the"]
+    others = ["der hund lag auf dem bett", "ein hund und ein hut", "das ist das ende", "der der", "Hund? 3 auf dem"]
+    who = fit_identifier(texts + others, ["en"] * 5 + ["de"] * 5)
+    fold = lambda t: re.sub(r"[^a-z]+", " ", "\0" + t.lower())
+    ids = {c: i + 1 for i, c in enumerate(sorted(set("".join(map(fold, [*texts[:4], *others[:4]])) ) - {" "}))}
+    number = lambda t: [0] * (ORDER - 1) + [ids.get(c, len(ids) + 1) if c != " " else 0 for c in fold(t)[1:]]
+    assert who.base == len(ids) + 2 and who.languages == ["de", "en"]
+    plain = [brute.KneserNey([number(t) for t in held[:4]], ORDER, who.base) for held in (others, texts)]
+    for model, mine in zip(who.models, plain):
+        for gram in [(0, 0, 0, 1), (1, 2, 3, 4), (0, 5, 5, 5), (0, 0, 1, 0), tuple(number(texts[0])[3:7]), tuple(number(others[0])[4:8])]:
+            key = 0
+            for c in gram:
+                key = key * who.base + c
+            assert math.isclose(math.exp(model.log_shares(np.array([key]))[0]), mine.share(gram), rel_tol=1e-9)
+    asked = ["the hat", "das bett", "x y z", "Ende, der Hut"]
+    raw = [t.encode() for t in asked]
+    e, _ = who.entropies(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for row, t in zip(e, asked):
+        s = number(t)
+        want = [-sum(math.log(m.share(tuple(s[i : i + ORDER]))) for i in range(len(s) - ORDER + 1)) / (len(s) - ORDER + 1) for m in plain]
+        assert np.allclose(row, want)
+
+
+def test_foreign_texts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    strange = [("qzxv kjwq zzxq vvkj qqxz " * 40, "noise"), ("日本語の文章です。これは試験のための文です。" * 20, "script"), ("0x7f 9b2c aa41 77de " * 60, "hex")]
+    extra = spark.createDataFrame([(10**7 + 3 * i, t, None, "s", len(t)) for i, (t, _) in enumerate(strange)], docs.schema)
+    got = {r.doc_id: r.rejected for r in identify_documents(docs.unionByName(extra)).collect()}
+    assert [got[10**7 + 3 * i] for i in range(3)] == [True, True, True]
+    assert sum(got[i] for i in got if i < 10**7) <= 0.005 * len(got)
+
+
+def test_language_sample_is_bounded_and_whole(spark, monkeypatch):
+    """A hot repeated text is learned once, no language is left out, and the bound is exact."""
+    from weftline.llm import language
+
+    monkeypatch.setattr(language, "SAMPLE_CHARS", 2000)
+    monkeypatch.setattr(language, "LONGEST_SAMPLE", 900)
+    data = [(i, "the same text again and again", "en") for i in range(3000)]
+    data += [(4000 + i, f"another text of number {i} and some words more", "en") for i in range(200)]
+    data += [(5000, "ein langer satz " * 4000, "de"), (5001, "un mot", "fr"), (5002, "un mot", "fr"), (5003, None, "es"), (5004, "no language", None)]
+    sample = language._sample(spark.createDataFrame(data, "doc_id long, text string, lang string"))
+    held = {x: [t for y, t in sample if y == x] for x in {x for x, _ in sample}}
+    assert set(held) == {"de", "en", "fr"} and held["fr"] == ["un mot"] and [len(t) for t in held["de"]] == [900]
+    assert len(set(held["en"])) == len(held["en"]) > 1 and sum(map(len, held["en"])) <= 2000
+
+
+def test_identifiers_are_bounded(spark, monkeypatch):
+    from weftline.llm import language
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    whole = language.train_identifier(docs)
+    monkeypatch.setattr(language, "MODEL_BYTES", language._bytes(whole) // 3)
+    less = language.train_identifier(docs)
+    assert less.languages == whole.languages and language._bytes(less) <= language._bytes(whole) // 3
+
+
+def test_language_tables_start_anew(monkeypatch):
+    from weftline.llm import language
+
+    who = fit_identifier(["the cat sat on the mat"] * 5 + ["der hund lag auf dem bett"] * 5, ["en"] * 5 + ["de"] * 5)
+    texts = [t.encode() for t in ("the cat", "auf dem mat", "der cat")]
+    ask = lambda t: who.entropies(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]
+    want = [ask(t) for t in texts]
+    monkeypatch.setattr(language, "MOST_KNOWN", 3)
+    assert all(np.allclose(ask(t), w) for t, w in zip(texts * 2, want * 2))
+
+
 def test_language_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = {r.doc_id: r for r in identify_documents(docs).collect()}
@@ -136,10 +206,24 @@ def test_language_of_awkward_rows(spark):
         assert (r.lang_pred == "und") == (r.score == 0)
         if r.doc_id is not None:
             assert (r.lang_pred == "und") == (r.doc_id in none)
-    assert {r.lang_pred for r in identify_documents(brute.table(spark, [(1, "a", None, None, 0, "", "", 0)])).collect()} == {"und"}
+    nothing = identify_documents(brute.table(spark, [(1, "a", None, None, 0, "", "", 0), (2, "1 2", "en", None, 0, "", "", 0), (3, None, "en", None, 0, "", "", 0)])).collect()
+    assert {(r.lang_pred, r.score, r.rejected) for r in nothing} == {("und", 0.0, False)}
     assert identify_documents(brute.table(spark, [])).count() == 0
 
 
+def test_jump_hash_against_a_plain_loop(spark):
+    from pyspark.sql import functions as F
+
+    from weftline.llm.sharding import jump_hash
+
+    ids = [*range(200), -1, -(2**63), 2**63 - 1, None]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    hashes = {r.doc_id: r.h for r in docs.select("doc_id", F.array(*(F.xxhash64("doc_id", F.lit(k)) for k in range(1, 120))).alias("h")).collect()}
+    for shards in (1, 2, 8, 9, 100):
+        got = {r.doc_id: r.s for r in docs.select("doc_id", jump_hash(F.col("doc_id"), shards).alias("s")).collect()}
+        assert got == {i: brute.jump(lambda step, h=hashes[i]: h[step - 1], shards) for i in ids}
+
+
 def test_sharding(spark):
     data = brute.rows() + [(1000 + i, "t", None, None, 0, "", "", 0) for i in range(4000)]
     got = shard_documents(brute.table(spark, data), 8).collect()

@@ -6,12 +6,15 @@ of lowest cross-entropy a symbol. Shares of languages are scaled by a temperatur
 cross-entropy lies beyond what its language's own calibration texts reach; both are fitted on texts apart from those
 that the models count.
 
-The models are fitted on a bounded sample of labelled rows: SAMPLE_CHARS a language, of texts up to LONGEST_SAMPLE, chosen
-by hash. Everything else runs over all rows and whole texts.
+The models are fitted on a bounded sample of labelled rows: of each language its distinct texts of least hash, SAMPLE_CHARS
+characters in all and LONGEST_SAMPLE of a text, and TOTAL_CHARS over all languages together; the identifier goes to every task
+and is halved until it takes no more than MODEL_BYTES. Each language has a text in the sample, so each can be predicted.
+Everything else runs over all rows and whole texts.
 
 Defined cases: null text, or one without a letter, is `und` with score 0 and rejected; null languages teach nothing;
-a null doc_id counts as an empty identifier; repeated rows are rows of their own; without any labelled row all texts
-are `und`; an empty table gives no rows; further columns are not read.
+a null doc_id counts as an empty identifier; repeated rows are rows of their own and teach once; without any labelled text
+that has a letter all texts are `und` with score 0 and none is rejected, since nothing was learned to judge by; an empty table
+gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,16 +29,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftline.llm.arrays import slices
 from weftline.llm.common import pick
 
-#: Characters of the sample a language, characters of the longest text in it, languages kept (the most frequent).
-SAMPLE_CHARS, LONGEST_SAMPLE, MOST_LANGUAGES = 1_200_000, 60_000, 200
+#: Characters of the sample a language, and of all; characters taken of one text; bytes of an identifier.
+SAMPLE_CHARS, TOTAL_CHARS, LONGEST_SAMPLE, MODEL_BYTES = 1_200_000, 48_000_000, 60_000, 64 << 20
 ORDER, MOST_SYMBOLS = 4, 4000
 UNDETERMINED = "und"
-#: Largest product of symbols for which n-grams index a table directly.
-DIRECT = 1 << 24
+#: Largest product of symbols for which n-grams index a table directly, and n-grams after which a worker's table starts anew.
+DIRECT, MOST_KNOWN = 1 << 24, 1 << 20
 
 
 @lru_cache(1)
@@ -158,7 +162,7 @@ class Identifier:
             distinct, back = np.unique(key, return_inverse=True)
             own["_table"] = [m.log_shares(distinct) for m in self.models]
             return back
-        if "_slot" not in own:
+        if "_slot" not in own or len(own["_table"][0]) > MOST_KNOWN:
             own["_slot"], own["_table"] = np.full(self.base**ORDER, -1, np.int32), [np.zeros(0)] * len(self.models)
         slot = own["_slot"][key]
         if (slot < 0).any():
@@ -181,6 +185,10 @@ class Identifier:
         return (letters == 0) | (entropy > self.limits[best] + 6 / np.sqrt(np.maximum(letters, 1)))
 
 
+def _bytes(who: Identifier) -> int:
+    return sum(x.nbytes for m in who.models for pair in (*m.grams, *m.contexts) for x in pair)
+
+
 def _buffers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     raw = [t.encode() for t in texts]
     return np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(r) for r in raw]))).astype(np.int64)
@@ -188,6 +196,8 @@ def _buffers(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def fit_identifier(texts: list[str], languages: list[str]) -> Identifier:
     """Models on four of five texts of each language, calibration on the fifth."""
+    who = [bool(symbols(*_buffers([t]))[0].any()) for t in texts]
+    texts, languages = [t for t, ok in zip(texts, who) if ok], [x for x, ok in zip(languages, who) if ok]
     names = sorted(set(languages))
     fit: dict[str, list[str]] = {x: [] for x in names}
     tune: list[tuple[str, str]] = []
@@ -227,17 +237,37 @@ def held_out(doc_id: Column, modulus: int = 3, rest: int = 1) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus == rest
 
 
+def _sample(labelled: DataFrame) -> list[tuple[str, str]]:
+    """(lang, text) of the bounded sample that the module names: within a language, distinct texts in the order of their hash."""
+    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", F.substring("text", 1, LONGEST_SAMPLE).alias("text"))
+    rows = rows.withColumn("order", F.xxhash64("text"))
+    sizes = rows.groupBy("lang").agg(F.sum(F.length("text")).alias("chars"), F.min("order").alias("first")).collect()  # one row a language
+    most = min(SAMPLE_CHARS, TOTAL_CHARS // max(len(sizes), 1))
+    # The draw goes by the text's hash, so copies are drawn together and merged: four times what is wanted, then cut exactly. A
+    # language's text of least hash is in the sample whatever the draw gives.
+    share = [(r["lang"], min(1.0, 4 * most / max(r["chars"], 1)) * (1 << 20), r["first"]) for r in sizes]
+    drawn = rows.join(rows.sparkSession.createDataFrame(share, "name string, share double, first long"), F.col("lang") == F.col("name"))
+    drawn = drawn.filter((F.pmod("order", F.lit(1 << 20)) < F.col("share")) | (F.col("order") == F.col("first"))).groupBy("lang", "order", "first", "text").agg(F.count(F.lit(1)).alias("copies"))
+    upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("order", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    chosen = drawn.withColumn("upto", upto).filter((F.col("upto") <= most) | (F.col("order") == F.col("first"))).select("lang", "order", "text").collect()
+    return [(r["lang"], r["text"]) for r in sorted(chosen)]
+
+
 def train_identifier(labelled: DataFrame) -> Identifier:
     """labelled: doc_id, text, lang. Collects the bounded sample that the module names."""
-    rows = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= LONGEST_SAMPLE))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    if not sizes:
-        return fit_identifier([], [])
-    share = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], float(min(1.0, SAMPLE_CHARS / max(r["chars"], 1))))))
-    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) / float(1 << 20)
-    chosen = rows.filter(draw < F.try_element_at(share, F.col("lang"))).select("doc_id", "text", "lang").collect()
-    chosen.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["text"]))
-    return fit_identifier([r["text"] for r in chosen], [r["lang"] for r in chosen])
+    sample = _sample(labelled) if not labelled.isEmpty() else []
+    while True:
+        who = fit_identifier([t for _, t in sample], [x for x, _ in sample])
+        if _bytes(who) <= MODEL_BYTES:
+            return who
+        place, half = 0, []
+        for i, (lang, text) in enumerate(sample):  # every other text of each language, the first always
+            place = 0 if not i or sample[i - 1][0] != lang else place + 1
+            if place % 2 == 0:
+                half.append((lang, text))
+        if len(half) == len(sample):
+            raise ValueError(f"{len(who.languages)} languages make an identifier of {_bytes(who)} bytes")
+        sample = half
 
 
 def identify(docs: DataFrame, who: Identifier, text: str = "text") -> DataFrame:
@@ -254,7 +284,7 @@ def identify(docs: DataFrame, who: Identifier, text: str = "text") -> DataFrame:
                 out = who.rejected(best, e[np.arange(len(e)), best], letters)
                 best = np.where(none, len(who.languages), best)
             else:
-                best, score, out = np.zeros(len(e), int), np.zeros(len(e)), np.ones(len(e), bool)
+                best, score, out = np.zeros(len(e), int), np.zeros(len(e)), np.zeros(len(e), bool)
             score = np.where(none, 0.0, score)
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(names[best], pa.string()), pa.array(score), pa.array(out)], [*rows.schema.names, "lang_pred", "score", "rejected"])
 
