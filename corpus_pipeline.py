@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes it as Parquet to the shared folder and reads
 it back as the next stage's docs. All stages but the last return the columns of documents.
+
+Defined cases, for every stage: columns beside those of documents are not read, whatever their names, in any case of
+letters; texts of any length are handled whole; an empty table gives an empty table with the stage's columns. What nulls, empty
+texts and repeated rows come to is said at each stage.
 """
 
 from __future__ import annotations
@@ -23,7 +27,9 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the identifier, fitted on their own labels, does not reject."""
+    """Documents whose language the identifier, fitted on their own labels, does not reject. Null texts and texts without a letter
+    go, unless no labelled text has one: then nothing can be judged, and all stay. Null languages teach nothing; repeated rows
+    are judged alike; null doc_ids, sources and n_chars pass."""
     docs = pick(docs, *COLUMNS)
     who = train_identifier(docs.select("doc_id", "text", "lang"))
     return identify(docs, who).filter(~F.col("rejected")).select(*COLUMNS)
@@ -41,17 +47,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the passages of 200 bytes and more that also stand elsewhere."""
+    """Texts without the passages of 200 bytes and more that stand in an earlier place too: of each the first copy stays, by doc_id
+    (nulls last), then by text. Texts of which nothing but white space is left go; untouched ones stay as they are, null and
+    empty ones too. n_chars, where not null, follows a changed text. Of repeated rows the first keeps its text."""
     return deduplicated_texts(pick(docs, *COLUMNS), 200).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Whole documents, repeated as their source's target asks."""
+    """Whole documents, repeated as their source's target asks. Null is a source of its own; texts without words (null ones too)
+    have size 0 and go as their source's copies say; repeated rows are rows of their own."""
     return mixed_rows(pick(docs, *COLUMNS)).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Places of all documents' pieces in sequences of 2048 tokens."""
+    """Places of all documents' pieces in sequences of 2048 tokens, as op10's: null and empty texts are an end token, repeated rows
+    and null doc_ids are packed each."""
     return pack_documents(pick(docs, *COLUMNS))
 
 
