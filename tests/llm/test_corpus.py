@@ -35,6 +35,27 @@ def test_katz(spark):
     assert np.allclose([g[5:] for g in got], [w[5:] for w in want], atol=1e-6)
 
 
+def test_katz_tables_score_texts(spark):
+    """The stored tables alone give the same scores, also of texts that the model never saw, and of unlike words of one polynomial hash."""
+    from test_dedup import unlike_twins
+    from pyspark.sql import functions as F
+
+    from weftline.llm.katz import train_and_score
+
+    a, b = unlike_twins()
+    data = brute.rows() + [(7001, f"{a} {a} x", None, None, 0, "", "", 0), (7002, f"{b} x", None, None, 0, "", "", 0), (7003, a, None, None, 0, "", "", 0)]
+    docs = brute.table(spark, data).toDF("doc_id", "text", *"cdefgh").select("doc_id", (F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2).alias("held_out"), "text")
+    scores, model = train_and_score(docs)
+    want = sorted((repr(r.doc_id), r.n_tokens, round(r.score, 5)) for r in scores.collect())
+    assert want == sorted((repr(r[0]), r[2], round(r[6], 5)) for r in brute.katz(data, lambda c: discounts(np.array(c)), TOP, RESERVE))
+    assert sorted((repr(r.doc_id), r.n_tokens, round(r.score, 5)) for r in model.score(docs).collect()) == want
+    _, one, share = brute.katz_model(data, lambda c: discounts(np.array(c)), TOP, RESERVE)
+    new = [(1, "the cat the The"), (2, None), (3, f"{b} {a}"), (4, "ab ab ab x it's x never seen")]
+    for r in model.score(spark.createDataFrame(new, "doc_id long, text string")).collect():
+        w = [*brute.words((dict(new)[r.doc_id] or "").translate(brute.ASCII_LOWER)), None]
+        assert math.isclose(r.score, sum(math.log10(share(x, h)) for h, x in zip([0, *w[:-1]], w)), abs_tol=1e-6) and r.n_tokens == len(w)
+
+
 def test_katz_is_normalised():
     """All words after a history, the unknown one and the end included, have probability 1 together."""
     _, one, share = brute.katz_model(brute.rows(), lambda c: discounts(np.array(c)), TOP, RESERVE)

@@ -30,19 +30,23 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.arrays import U64, lower_ascii, mix64, slices, word_hashes, words
 from weftline.llm.common import partitions, pick, release, shared_dir
-from weftline.llm.exchange import ROWS, at_keys, deal, differences, groups, pack, packed_rows, range_bucket, unpack
+from weftline.llm.exchange import ROWS, at_keys, deal, differences, groups, pack, packed_rows, range_bucket, runs, unpack
 
 BEGIN, END, FIRST_WORD = 0, 1, 2
+#: Kinds of rows: documents, bigrams; then sums by document, histories' sums, bigrams not seen, sums of hot histories, counts of
+#: counts, the tables of bigrams, of unigrams and of backoff weights.
+DOCS, BIGRAMS, SUMS, HISTORIES, UNSEEN, HOT, COUNTS, TABLE, UNIGRAMS, WEIGHTS = range(10)
 TOP, RESERVE = 5, 0.05
 #: Text bytes whose n-grams are merged before they are sent.
 BLOCK_BYTES = 12 << 20
@@ -127,63 +131,54 @@ class Figures:
         return np.where(count > 0, p, self.unknown)
 
 
-def _count_words(docs: DataFrame, n: int) -> Figures:
+def _count_words(docs: DataFrame, n: int, path: str) -> Figures:
+    """The table of unigrams, a row a bucket, and from it the figures: sums are made by Spark, the driver gets one row of them and
+    the hot words, fewer than 4 n by what hot means."""
+
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _blocks(batches):
-            train = ~b.held[b.doc]
-            word, count = np.unique(b.word[train], return_counts=True)
-            cut = np.searchsorted(range_bucket(word, n), np.arange(n + 1))
-            texts = np.array([int((~b.held).sum())], np.int64)
-            out = [(0, k, 0, pack(differences(word[i:j]), count[i:j].astype(np.uint32))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i]
-            yield packed_rows([*out, (1, 0, 0, pack(texts))])
+            word, count = np.unique(b.word[~b.held[b.doc]], return_counts=True)
+            yield packed_rows([(UNIGRAMS, k, 0, pack(differences(word[i:j]), count[i:j].astype(np.uint32))) for k, i, j in runs(range_bucket(word, n))])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, texts = [], 0
+        got = [(bucket, unpack(raw)) for b in batches for bucket, raw in zip(b.column(1).to_pylist(), b.column(3).to_pylist())]
+        for bucket in sorted({k for k, _ in got}):
+            word = np.concatenate([np.cumsum(x[0], dtype=U64) for k, x in got if k == bucket])
+            count = np.concatenate([x[1] for k, x in got if k == bucket]).astype(np.int64)
+            order = np.argsort(word)
+            word, count = word[order], count[order]
+            at = groups(word)
+            yield packed_rows([(UNIGRAMS, bucket, 0, pack(differences(word[at]), np.add.reduceat(count, at)))])
+
+    spark = docs.sparkSession
+    deal(docs.mapInArrow(send, ROWS), n).mapInArrow(merge, ROWS).write.option("compression", "none").parquet(path)
+    table = spark.read.schema(ROWS).parquet(path)
+    sums = ["tokens", "types", *(f"n{r}" for r in range(TOP + 2))]
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for kind, raw in zip(b.column(0).to_pylist(), b.column(3)):
-                x = unpack(raw.as_buffer())
-                if kind:
-                    texts += int(x[0][0])
-                else:
-                    got.append((np.cumsum(x[0], dtype=U64), x[1]))
-        if not got and not texts:
-            return
-        word = np.concatenate([w for w, _ in got]) if got else np.zeros(0, U64)
-        count = np.concatenate([c for _, c in got]).astype(np.int64) if got else np.zeros(0, np.int64)
-        order = np.argsort(word)
-        word, count = word[order], count[order]
-        at = groups(word)
-        word, count = word[at], np.add.reduceat(count, at) if len(at) else count
-        of = np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)
-        top = np.argsort(-count, kind="stable")[: 4 * n]
-        yield packed_rows([(0, 0, 0, pack(np.array([count.sum(), len(word), texts], np.int64), of, word[top], count[top]))])
-
-    rows = deal(docs.mapInArrow(send, ROWS), n).mapInArrow(merge, ROWS)
-    # A partition's most frequent words come along; those below the threshold are dropped before they reach the driver.
-    total, texts, of, hot = np.zeros(2, np.int64), 0, np.zeros(TOP + 3, np.int64), []
-    for r in rows.select("payload").toLocalIterator():
-        x, o, w, c = unpack(r["payload"])
-        total, texts, of = total + x[:2], texts + int(x[2]), of + o
-        hot.append((w[c > 0], c[c > 0]))
-        if len(hot) > 16:  # fold: only words that can still be hot
-            hot = [_hottest(hot, 4 * n)]
-    w, c = _hottest(hot, 4 * n) if hot else (np.zeros(0, U64), np.zeros(0, np.int64))
-    keep = c * 4 * n > total[0]
-    order = np.argsort(w[keep])
-    figures = Figures(int(total[0]), int(total[1]), texts, discounts(of[: TOP + 2]), w[keep][order], c[keep][order])
-    seen = float((of[1 : TOP + 1] * np.arange(1, TOP + 1) * figures.unigram[1:]).sum()) + float(total[0] - (of[1 : TOP + 1] * np.arange(1, TOP + 1)).sum())
-    figures.unknown = 1 - seen / (figures.tokens + RESERVE)
-    return figures
-
+            for raw in b.column(3).to_pylist():
+                count = unpack(raw)[1]
+                of = np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)
+                yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in (count.sum(), len(count), *of[: TOP + 2])], sums)
 
-def _hottest(hot: list[tuple[np.ndarray, np.ndarray]], n: int) -> tuple[np.ndarray, np.ndarray]:
-    w, c = (np.concatenate([x[i] for x in hot]) for i in (0, 1))
-    top = np.argsort(-c, kind="stable")[:n]
-    return w[top], c[top]
+    got = table.mapInArrow(totals, ", ".join(f"{c} long" for c in sums)).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in sums)).first()
+    tokens, types, of = got["tokens"], got["types"], np.array([got[f"n{r}"] for r in range(TOP + 2)], np.int64)
 
-
-#: Kinds of rows: documents, bigrams; then sums by document, histories' sums, bigrams not seen, hot histories, counts of counts, the bigram table.
-DOCS, BIGRAMS, SUMS, HISTORIES, UNSEEN, HOT, COUNTS, TABLE = range(8)
+    def hottest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw in b.column(3).to_pylist():
+                steps, count = unpack(raw)
+                keep = count * 4 * n > tokens
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(steps, dtype=U64)[keep].view(np.int64)), pa.array(count[keep])], ["word", "count"])
+
+    hot = table.mapInArrow(hottest, "word long, count long").toArrow().sort_by("word")
+    texts = docs.filter(~F.col("held_out")).count()
+    figures = Figures(tokens, types, texts, discounts(of), hot.column(0).to_numpy().view(U64), hot.column(1).to_numpy())
+    low = np.arange(1, TOP + 1)
+    seen = float((of[1 : TOP + 1] * low * figures.unigram[1:]).sum()) + float(tokens - (of[1 : TOP + 1] * low).sum())
+    figures.unknown = 1 - seen / (tokens + RESERVE)
+    return figures
 
 
 def _send_bigrams(docs: DataFrame, n: int, figures: Figures) -> DataFrame:
@@ -209,17 +204,14 @@ def _send_bigrams(docs: DataFrame, n: int, figures: Figures) -> DataFrame:
             where[is_hot] = range_bucket(mix64(history[pair][is_hot] ^ (word[pair][is_hot] << U64(7))) >> U64(16), n)
             lists = np.diff(np.append(pair, len(word)))
             order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(n + 1))
-            held = b.held.astype(np.uint8)
-            for k in range(n):
-                mine = order[cut[k] : cut[k + 1]]
-                if not len(mine):
-                    continue
+            train = ~b.held
+            for k, i, j in runs(where[order]):
+                mine = order[i:j]
                 take = np.repeat(pair[mine] - np.cumsum(lists[mine]) + lists[mine], lists[mine]) + np.arange(int(lists[mine].sum()))
                 w = word[pair[mine]]
                 run_at = groups(w)
                 h = history[pair[mine]]
-                out.append((BIGRAMS, k, block, pack(differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (h >> U64(32)).astype(np.uint16), h.astype(np.uint32), lists[mine].astype(np.uint32), doc[take].astype(np.uint32), times[take], held)))
+                out.append((BIGRAMS, k, block, pack(differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (h >> U64(32)).astype(np.uint16), h.astype(np.uint32), lists[mine].astype(np.uint32), doc[take].astype(np.uint32), times[take], np.packbits(train[doc[take]]))))
             yield packed_rows(out)
 
     return docs.mapInArrow(run, ROWS)
@@ -229,7 +221,7 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
     """Step 2 at a word's partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, blocks, sizes = [], [], []
+        parts, blocks = [], []
         for b in batches:
             through = b.filter(pa.compute.equal(b.column(0), DOCS))
             if through.num_rows:
@@ -237,15 +229,18 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
             for kind, block, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3)):
                 if kind == BIGRAMS:
                     x = unpack(raw.as_buffer())
-                    parts.append((np.repeat(np.cumsum(x[0], dtype=U64), x[1]), (x[2].astype(U64) << U64(32)) | x[3], x[4], x[5], x[6], x[7]))
-                    blocks.append(block), sizes.append(len(x[7]))
+                    train = np.unpackbits(x[7], count=len(x[5])).astype(bool)
+                    parts.append((np.repeat(np.cumsum(x[0], dtype=U64), x[1]), (x[2].astype(U64) << U64(32)) | x[3], x[4], x[6], train, np.repeat(np.int32(len(blocks)), len(x[5])), x[5]))
+                    blocks.append(block)
         if not parts:
             return
-        first = np.concatenate(([0], np.cumsum(sizes)))
-        doc = np.concatenate([p[3].astype(np.int32) + np.int32(f0) for p, f0 in zip(parts, first)])
-        train = np.concatenate([p[5] for p in parts]) == 0
-        word, history, lists, times = (np.concatenate([p[i] for p in parts]) for i in (0, 1, 2, 4))
+        word, history, lists, times, train, block_of, doc_of = (np.concatenate([p[i] for p in parts]) for i in range(7))
         parts.clear()
+        # Documents that are met here, by number: what is kept of them grows with the records, not with the corpus.
+        met, doc = np.unique((block_of.astype(np.int64) << 32) | doc_of, return_inverse=True)
+        doc = doc.astype(np.int32)
+        first = np.searchsorted(met >> 32, np.arange(len(blocks) + 1))
+        name = (met & 0xFFFFFFFF).astype(np.uint32)
         order = np.lexsort((history, word))
         kind = np.empty(len(order), np.int32)  # the type (distinct bigram) of each record
         at = groups(word[order], history[order])
@@ -253,7 +248,7 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
         word, history = word[order][at], history[order][at]
         of = np.repeat(kind, lists)
         del order, kind, lists
-        count = np.bincount(of, np.where(train[doc], times, 0), len(word)).astype(np.int64)
+        count = np.bincount(of, np.where(train, times, 0), len(word)).astype(np.int64)
         w_at = groups(word)
         w_type = np.repeat(np.arange(len(w_at)), np.diff(np.append(w_at, len(word))))
         w_count = np.add.reduceat(count, w_at)
@@ -265,14 +260,12 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
         with np.errstate(divide="ignore"):
             value = np.where(count > 0, np.log10(np.maximum(count, 1)), np.log10(np.maximum(f.share(own), 1e-300)))
         value -= np.where((own > 0) & (word != END), np.log10(own + RESERVE), 0)  # this word as the next token's history
-        terms = [np.bincount(doc, x[of] * times, first[-1]) for x in (value, np.log10(own + 1.0), (own > 0).astype(float))]
-        small = [np.bincount(doc, np.where(count[of] == r, times, 0), first[-1]) for r in range(1, TOP + 1)]
+        terms = [np.bincount(doc, x[of] * times, len(met)) for x in (value, np.log10(own + 1.0), (own > 0).astype(float))]
+        small = [np.bincount(doc, np.where(count[of] == r, times, 0), len(met)) for r in range(1, TOP + 1)]
         out = []
         for i, block in enumerate(blocks):
             s = slice(first[i], first[i + 1])
-            has = np.flatnonzero(terms[1][s] != 0) if len(blocks) else None
-            has = np.union1d(has, np.flatnonzero(terms[0][s] != 0))
-            out.append((SUMS, home(block, n), block, pack(has.astype(np.uint32), *(np.rint(x[s][has] * _POINT).astype(np.int64) for x in terms[:2]), terms[2][s][has].astype(np.uint32), *(x[s][has].astype(np.uint32) for x in small))))
+            out.append((SUMS, home(block, n), block, pack(name[s], *(np.rint(x[s] * _POINT).astype(np.int64) for x in terms[:2]), terms[2][s].astype(np.uint32), *(x[s].astype(np.uint32) for x in small))))
         yield packed_rows(out)
         # Histories: what their backoff weights need of the types met here.
         seen = np.flatnonzero(count)
@@ -285,24 +278,24 @@ def _meet(n: int, f: Figures):  # noqa: ANN202
             h = h[at]
             _, is_hot = at_keys(f.hot, h)
             is_hot |= h == BEGIN
-            yield packed_rows([(HOT, 0, 0, pack(h[is_hot], *(x[is_hot] for x in sums)))])
-            h, sums = h[~is_hot], [x[~is_hot] for x in sums]
-            cut = np.searchsorted(range_bucket(h, n), np.arange(n + 1))
-            yield packed_rows([(HISTORIES, k, 0, pack(differences(h[i:j]), *(x[i:j] for x in sums))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i])
+            for kind, mine in ((HOT, np.flatnonzero(is_hot)), (HISTORIES, np.flatnonzero(~is_hot))):
+                yield packed_rows([(kind, k, 0, pack(differences(h[mine[i:j]]), *(x[mine[i:j]] for x in sums))) for k, i, j in runs(range_bucket(h[mine], n))])
         # Bigrams not seen: their histories, by block.
         unseen = np.flatnonzero(count[of] == 0)
         h, d, t = history[of[unseen]], doc[unseen], times[unseen]
-        block_of = np.searchsorted(first, d, "right") - 1
         where = range_bucket(h, n)
         _, is_hot = at_keys(f.hot, h)
         is_hot |= h == BEGIN
-        where[is_hot] = (mix64(d[is_hot].astype(U64)) % U64(n)).astype(np.int64)  # their weights are known everywhere
-        order = np.lexsort((block_of, h, where))
-        h, d, t, block_of, where = h[order], d[order] - first[block_of[order]], t[order], block_of[order], where[order]
-        cut = np.searchsorted(where, np.arange(n + 1))
+        where[is_hot] = (mix64(met[d[is_hot]].view(U64)) % U64(n)).astype(np.int64)  # their weights are known everywhere
+        order = np.lexsort((block_of[unseen], h, where))
+        h, d, t, where, b_of = h[order], name[d[order]], t[order], where[order], block_of[unseen][order]
         named = np.array(blocks, np.int64)
-        yield packed_rows([(UNSEEN, k, 0, pack(named, differences(h[i:j]), block_of[i:j].astype(np.uint32), d[i:j].astype(np.uint32), t[i:j].astype(np.uint32))) for k, (i, j) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist())) if j > i])
-        yield packed_rows([(COUNTS, 0, 0, pack(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)))])
+        rows = []
+        for k, i, j in runs(where):
+            mine, b_at = np.unique(b_of[i:j], return_inverse=True)
+            rows.append((UNSEEN, k, 0, pack(named[mine], differences(h[i:j]), b_at.astype(np.uint32), d[i:j], t[i:j].astype(np.uint32))))
+        yield packed_rows(rows)
+        yield packed_rows([(COUNTS, 0, 0, pack(np.bincount(np.minimum(count, TOP + 2), minlength=TOP + 3)))])  # one small row a partition
         w, run_at = word[seen], groups(word[seen])
         yield packed_rows([(TABLE, 0, 0, pack(differences(w[run_at]), np.diff(np.append(run_at, len(w))).astype(np.uint32), (history[seen] >> U64(32)).astype(np.uint16), history[seen].astype(np.uint32), count[seen].astype(np.uint32)))])
 
@@ -337,6 +330,7 @@ def _back_off(n: int, f: Figures, hot: np.ndarray, hot_weights: np.ndarray, d: n
             at = groups(h)
             weight = _weights([np.add.reduceat(np.concatenate([k[1][i] for k in known])[order], at) for i in range(TOP + 2)], d)
             h = h[at]
+            yield packed_rows([(WEIGHTS, 0, 0, pack(differences(h), weight, np.add.reduceat(np.concatenate([k[1][0] for k in known])[order], at)))])
         out: dict[int, list] = {}
         for named, keys, of, doc, times in asked:
             value = np.zeros(len(keys))
@@ -397,30 +391,133 @@ def _finish(f: Figures, d: np.ndarray):  # noqa: ANN202
     return run
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+@dataclass
+class KatzModel:
+    """A trained model: tables in folders by kind below path, a row a bucket (see unpack), and the figures of the whole."""
+
+    path: str
+    figures: Figures
+    bigram: np.ndarray
+    #: Histories whose weights are known everywhere: keys, log10 of a(h) (c(h) + RESERVE), c(h).
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def _rows(self, spark: SparkSession, kind: int) -> DataFrame:
+        return spark.read.schema(ROWS).parquet(f"{self.path}/kind={kind}")
+
+    def unigrams(self, spark: SparkSession) -> DataFrame:
+        """word (its hash), log_p."""
+        f = self.figures
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for raw in (r for b in batches for r in b.column(3).to_pylist()):
+                steps, count = unpack(raw)
+                yield pa.RecordBatch.from_arrays([pa.array(np.cumsum(steps, dtype=U64).view(np.int64)), pa.array(np.log10(f.share(count)))], ["word", "log_p"])
+
+        return self._rows(spark, UNIGRAMS).mapInArrow(run, "word long, log_p double")
+
+    def histories(self, spark: SparkSession) -> DataFrame:
+        """history, log_total (of c(h) + RESERVE), log_a (its backoff weight)."""
+        keys, weight, total = self.hot
+
+        def arrays(h: np.ndarray, w: np.ndarray, c: np.ndarray) -> pa.RecordBatch:
+            log_total = np.log10(c + RESERVE)
+            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(log_total), pa.array(w - log_total)], ["history", "log_total", "log_a"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for raw in (r for b in batches for r in b.column(3).to_pylist()):
+                steps, w, c = unpack(raw)
+                yield arrays(np.cumsum(steps, dtype=U64), w, c)
+
+        known = spark.createDataFrame(pa.Table.from_batches([arrays(keys, weight, total)]))
+        return self._rows(spark, WEIGHTS).mapInArrow(run, "history long, log_total double, log_a double").unionByName(known)
+
+    def bigrams(self, spark: SparkSession) -> DataFrame:
+        """word, history, log_c: log10 of the discounted count."""
+        d = self.bigram
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for raw in (r for b in batches for r in b.column(3).to_pylist()):
+                steps, lengths, high, low, count = unpack(raw)
+                word, history = np.repeat(np.cumsum(steps, dtype=U64), lengths), (high.astype(U64) << U64(32)) | low
+                c = count.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(history.view(np.int64)), pa.array(np.log10(c * np.where(c > TOP, 1.0, d[np.minimum(c, TOP)])))], ["word", "history", "log_c"])
+
+        return self._rows(spark, TABLE).mapInArrow(run, "word long, history long, log_c double")
+
+    def score(self, docs: DataFrame) -> DataFrame:
+        """doc_id, n_tokens, score of docs (doc_id long, text), from the tables alone: each token's bigram if it is there, else its
+        history's weight and the word's own probability, else the unknown word's. Equal bigrams of a row are one record."""
+        spark = docs.sparkSession
+
+        def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part = TaskContext.get().partitionId()
+            for i, b in enumerate(_blocks(batches)):
+                order = np.lexsort((b.word, b.history, b.doc))
+                doc, history, word = b.doc[order], b.history[order], b.word[order]
+                at = groups(doc, history, word)
+                times = np.diff(np.append(at, len(doc)))
+                row = (np.int64(part) << 40) + (np.int64(i) << 24) + doc[at]
+                yield pa.RecordBatch.from_arrays([pa.array(row), b.ids.take(pa.array(doc[at])), pa.array(history[at].view(np.int64)), pa.array(word[at].view(np.int64)), pa.array(times.astype(np.int64))], ["row", "doc_id", "history", "word", "times"])
+
+        slim = pick(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), F.lit(True).alias("held_out"), "text")
+        x = slim.mapInArrow(tokens, "row long, doc_id long, history long, word long, times long")
+        x = x.join(self.bigrams(spark), ["word", "history"], "left").join(self.unigrams(spark), "word", "left").join(self.histories(spark), "history", "left")
+        own = F.coalesce("log_p", F.lit(float(np.log10(self.figures.unknown))))
+        log = F.when(F.col("log_c").isNotNull(), F.col("log_c") - F.col("log_total")).otherwise(F.coalesce("log_a", F.lit(0.0)) + own)
+        return x.groupBy("row", "doc_id").agg(F.sum("times").alias("n_tokens"), F.sum(log * F.col("times")).alias("score")).drop("row")
+
+
+def train_and_score(docs: DataFrame) -> tuple[DataFrame, KatzModel]:
     """docs: doc_id long, held_out boolean, text. Learns from the rows that are not held out, scores all (see _OUT)."""
     spark, n = docs.sparkSession, partitions(docs)
-    figures = _count_words(docs, n)
-    release(spark)
     path = f"{shared_dir(spark)}/katz-{uuid.uuid4().hex}"
+    figures = _count_words(docs, n, f"{path}/kind={UNIGRAMS}")
+    release(spark)
     met = deal(_send_bigrams(docs, n, figures), n).mapInArrow(_meet(n, figures), ROWS)
-    met.write.partitionBy("kind").option("compression", "none").parquet(path)
+    met.write.partitionBy("kind").mode("append").option("compression", "none").parquet(path)
     release(spark)
-    schema = "bucket int, block long, payload binary, kind int"
-    rows = spark.read.schema(schema).parquet(path).select("kind", "bucket", "block", "payload")
-    of, hot = np.zeros(TOP + 3, np.int64), {}
-    for r in rows.filter(F.col("kind").isin(COUNTS, HOT)).toLocalIterator():  # a row a partition and kind; at most 4 n + 1 hot histories
-        x = unpack(r["payload"])
-        if r["kind"] == COUNTS:
-            of = of + x[0]
-        else:
-            for h, *sums in zip(*x):
-                hot[int(h)] = np.array(sums, np.int64) + hot.get(int(h), 0)
-    d = discounts(of[: TOP + 2])
-    keys = np.array(sorted(hot), U64)
-    weights = _weights(list(np.array([hot[int(k)] for k in keys]).T), d) if len(keys) else np.zeros(0)
-    late = deal(rows.filter(F.col("kind").isin(HISTORIES, UNSEEN)), n).mapInArrow(_back_off(n, figures, keys, weights, d), ROWS)
-    return deal(rows.filter(F.col("kind").isin(DOCS, SUMS)).unionByName(late), n).mapInArrow(_finish(figures, d), _OUT)
+    rows = lambda *kinds: [spark.read.schema(ROWS).parquet(f"{path}/kind={k}").withColumn("kind", F.lit(k)) for k in kinds if _exists(spark, f"{path}/kind={k}")]
+    union = lambda parts: reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], ROWS)
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = np.zeros(TOP + 3, np.int64)
+        for b in batches:
+            for raw in b.column(3).to_pylist():
+                of += unpack(raw)[0]
+        yield pa.RecordBatch.from_arrays([pa.array([int(v)]) for v in of], [f"n{r}" for r in range(TOP + 3)])
+
+    names = [f"n{r}" for r in range(TOP + 3)]
+    of = union(rows(COUNTS)).mapInArrow(counts, ", ".join(f"{c} long" for c in names)).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first()
+    d = discounts(np.array(of, np.int64)[: TOP + 2])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [unpack(raw) for b in batches for raw in b.column(3).to_pylist()]
+        if got:
+            h = np.concatenate([np.cumsum(x[0], dtype=U64) for x in got])
+            order = np.argsort(h, kind="stable")
+            at = groups(h[order])
+            sums = [np.add.reduceat(np.concatenate([x[i] for x in got])[order], at) for i in range(1, TOP + 3)]
+            yield pa.RecordBatch.from_arrays([pa.array(h[order][at].view(np.int64)), *map(pa.array, sums)], ["history", *(f"s{i}" for i in range(TOP + 2))])
+
+    # At most 4 n + 1 histories, each added up where its hash sends it.
+    held = deal(union(rows(HOT)), n).mapInArrow(together, "history long, " + ", ".join(f"s{i} long" for i in range(TOP + 2))).toArrow().sort_by("history")
+    keys = held.column(0).to_numpy().view(U64)
+    sums = [held.column(i + 1).to_numpy() for i in range(TOP + 2)]
+    weights = _weights(sums, d) if len(keys) else np.zeros(0)
+    late = deal(union(rows(HISTORIES, UNSEEN)), n).mapInArrow(_back_off(n, figures, keys, weights, d), ROWS)
+    late.write.partitionBy("kind").mode("append").option("compression", "none").parquet(path)
+    scores = deal(union(rows(DOCS, SUMS)), n).mapInArrow(_finish(figures, d), _OUT)
+    return scores, KatzModel(path, figures, d, (keys, weights, sums[0]))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
+def score_documents(docs: DataFrame) -> DataFrame:
+    """The scores alone."""
+    return train_and_score(docs)[0]
 
 
 def score_corpus(docs: DataFrame, modulus: int = 7, rest: int = 2) -> DataFrame:
