@@ -112,22 +112,54 @@ def test_mix_without_rows(spark):
     assert mix_documents(brute.table(spark, [])).count() == 0
 
 
-def test_search(spark):
+def test_search(spark, tmp_path):
     rng = np.random.default_rng(7)
     data = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(300)]
-    data += [(300, data[3][1]), (350, data[3][1]), (301, None), (400, [1.0] * 7 + [None]), (450, [float("nan")] * 8), (302, [float("inf")] * 8), (303, []), (None, data[0][1]), (50, data[50][1]), (304, [1.0, 2.0])]
-    got = sorted(map(tuple, search_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<double>"), 50, 5).collect()))
-    ok = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in data if i is not None and v and len(v) == 8 and all(x is not None and math.isfinite(x) for x in v)]
+    data += [(300, data[3][1]), (350, data[3][1]), (301, None), (400, [1.0] * 7 + [None]), (450, [float("nan")] * 8), (302, [float("inf")] * 8), (303, []), (None, data[0][1])]
+    data += [(50, data[50][1]), (50, data[7][1]), (4, data[100][1]), (304, [1.0, 2.0]), (500, [1.0, 2.0]), (305, [1.0, 3.0]), (550, [9.0] * 3)]
+    ok = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in data if i is not None and v and all(x is not None and math.isfinite(x) for x in v)]
     want = []
-    for q in sorted({i for i, _ in ok if i % 50 == 0}):
-        v = min(tuple(x) for i, x in ok if i == q)
-        near = sorted((-int(np.dot(v, x)), i) for i, x in ok if i != q)[:5]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
-    assert got == want
+    for at, (q, v) in enumerate(ok):
+        if q % 50 == 0:
+            near = sorted((-int(np.dot(v, x)), i) for k, (i, x) in enumerate(ok) if k != at and len(x) == len(v))[:5]
+            want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(near)]
+    # Further columns, one of them with a clashing name.
+    docs = spark.createDataFrame([(*r, "x", 1) for r in data], "vec_id long, embedding array<double>, VEC_ID string, row int")
+    assert sorted(map(tuple, search_embeddings(docs, 50, 5).collect())) == sorted(want)
+    spark.createDataFrame(data, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    names, sql = duck_rows(str(tmp_path), ORACLES["op5_search_top_k"])
+    assert sorted(tuple(r[names.index(c)] for c in ("query_id", "rank", "vec_id", "score")) for r in sql) == sorted(want)
     assert search_embeddings(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
     assert [tuple(r) for r in search_embeddings(spark.createDataFrame([(0, [1.0]), (1, [2.0])], "vec_id long, embedding array<double>")).collect()] == [(0, 1, 1, 256 * 512)]
 
 
+def test_search_bounds_come_from_what_was_read():
+    """Bounds after each pause against plain ones: read entries are exact, the others lie between the list's far end and where reading stands."""
+    from weftline.llm import topk
+
+    rng = np.random.default_rng(3)
+    x = rng.integers(-9, 10, (60, 5)).astype(np.float64)
+    q = rng.integers(-9, 10, (4, 5)).astype(np.float64)
+    for part in topk.DEPTHS:
+        depth = min(max(int(len(x) * part), 1), len(x))
+        for w in q:
+            low, high = [], []
+            for row in x:
+                lo = hi = 0.0
+                for j, c in enumerate(w):
+                    column = sorted(x[:, j], reverse=c > 0)  # read from the end that the query's sign asks for
+                    stands, far = column[depth - 1], column[-1]
+                    read = row[j] >= stands if c > 0 else row[j] <= stands
+                    lo, hi = lo + c * (row[j] if read else far), hi + c * (row[j] if read else stands)
+                low.append(lo), high.append(hi)
+                assert lo <= row @ w <= hi
+            own = np.array([-1])
+            alive = np.ones(len(x), bool)
+            kth = sorted(low)[-3]
+            kept, _ = topk.candidates(x, np.arange(len(x)), topk.block_lists(x), w[None], own, 3)
+            assert (np.array(high)[kept[0]] >= kth).all() and (kept[0] <= alive).all()
+
+
 def test_language_models_are_normalised():
     who = fit_identifier(["the cat sat on the mat"] * 5 + ["der hund lag auf dem bett"] * 5, ["en"] * 5 + ["de"] * 5)
     for m in who.models:

@@ -11,10 +11,10 @@ merged.
 
 Integers are exact in float32 (float64) as long as dimensions * max|x|**2 stays below 2**24 (2**53), which is checked.
 
-Defined cases: a vector that is null, empty, of another length than most, or holds null or non-finite components takes no
-part, as query or candidate; so does a null vec_id; of rows that repeat a vec_id, each is a candidate (its query's own
-rows excepted) and the id asks once; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty
-table gives none; further columns are not read.
+Defined cases: a vector that is null, empty, or holds null or non-finite components takes no part, as query or candidate; so
+does a null vec_id; vectors of unequal length have no score with each other; of rows that repeat a vec_id, each asks, and is
+a candidate of all rows but itself; ties go to the smaller vec_id; fewer candidates than k give fewer rows; an empty table
+gives none; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -47,14 +47,14 @@ def block_lists(x: np.ndarray) -> np.ndarray:
     return np.sort(x, axis=0)
 
 
-def candidates(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def candidates(x: np.ndarray, names: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Which rows are left to each query when it stops reading (queries x rows), and the pauses it has read up to.
 
-    x: rows x dimensions, lists: block_lists(x), q: queries x dimensions, own: ids of the queries.
+    x: rows x dimensions, lists: block_lists(x), q: queries x dimensions, names of the rows, own: those of the queries' own rows.
     """
     n = len(x)
     up, down = np.maximum(q, 0), np.minimum(q, 0)
-    alive = ids[None, :] != own[:, None]
+    alive = names[None, :] != own[:, None]
     pauses = np.zeros(len(q), int)
     for part in DEPTHS:
         reads = np.flatnonzero(alive.sum(axis=1) > k)  # the stop test
@@ -73,9 +73,9 @@ def candidates(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray,
     return alive, pauses
 
 
-def nra(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each query row: the rows of the block's k best by (score descending, id), its own id left out."""
-    alive, _ = candidates(x, ids, lists, q, own, k)
+def nra(x: np.ndarray, ids: np.ndarray, names: np.ndarray, lists: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query row: the block's k best by (score descending, id), its own row left out."""
+    alive, _ = candidates(x, names, lists, q, own, k)
     for i in range(len(q)):
         left = np.flatnonzero(alive[i])
         score = x[left] @ q[i]  # k rows, or ties
@@ -84,70 +84,80 @@ def nra(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, own: n
 
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score. Both frames: vec_id long, v array<long> (quantised, usable).
+    """query_id, rank, vec_id, score. Both frames: vec_id long, row long (a row's own name, the same in both), v array<long>
+    (quantised, usable).
 
-    Both sides are packed in blocks; each block of queries goes to every block of vectors, an equi-join on the block's
-    number, so what is sent is the queries times the number of blocks and never a row a pair.
+    Both sides are packed in blocks of one length of vectors; each block of queries goes to every block of vectors, by the
+    block's number, so what is sent is the queries times the number of blocks and never a row a pair.
     """
     spark = vectors.sparkSession
-    dims = vectors.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    size = F.size("v").alias("d")
+    span = F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("span")
+    asks = queries.groupBy(size).agg(F.count(F.lit(1)).alias("asks"))
+    lengths = vectors.groupBy(size).agg(F.count(F.lit(1)).alias("n"), span).join(asks, "d").orderBy("d").collect()  # one row a length of vectors
     schema = "query_id long, rank int, vec_id long, score long"
-    if not dims:
+    if not lengths:
         return spark.createDataFrame([], schema)
-    d = dims[0]["d"]
-    vectors, queries = vectors.filter(F.size("v") == d), queries.filter(F.size("v") == d)
-    n, span = vectors.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("v", lambda x: F.abs(x))))).first()
-    blocks = max(1, -(-int(n) // BLOCK_ROWS))
-    if d * int(span or 0) ** 2 >= 1 << 53:
-        raise ValueError("components too large for exact sums in float64")
-    kind = np.float32 if d * int(span or 0) ** 2 < 1 << 24 else np.float64
-    lots = max(1, -(-int(queries.count()) // QUERY_ROWS))
+    kinds: dict[int, type] = {}
+    plan, blocks = [], 0
+    for r in lengths:
+        most = r["d"] * int(r["span"]) ** 2
+        if most >= 1 << 53:
+            raise ValueError("components too large for exact sums in float64")
+        kinds[r["d"]] = np.float32 if most < 1 << 24 else np.float64
+        own = max(1, -(-r["n"] // BLOCK_ROWS))
+        plan.append((r["d"], blocks, own, max(1, -(-r["asks"] // QUERY_ROWS))))
+        blocks += own
+    plan_rows = F.broadcast(spark.createDataFrame(plan, "d int, base int, blocks int, lots int"))  # one row a length of vectors
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lot = b.column(0).to_numpy()
-            ids = b.column(1).to_numpy()
-            x = b.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, d)
-            keys = np.unique(lot)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([pack(ids[lot == j], x[lot == j].reshape(-1)) for j in keys], pa.binary())], ["lot", "payload"])
-
-    def dealt(df: DataFrame, parts: int) -> DataFrame:
-        lot = F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int")
-        return df.select(lot.alias("lot"), "vec_id", "v").mapInArrow(packed, "lot int, payload binary")
+            lot, length = b.column(0).to_numpy(), b.column(1).to_numpy()
+            ids, names = b.column(2).to_numpy(), b.column(3).to_numpy()
+            out = []
+            for d in np.unique(length).tolist():
+                of_d = np.flatnonzero(length == d)
+                x = b.column(4).take(pa.array(of_d)).flatten().to_numpy(zero_copy_only=False).astype(np.int64).reshape(-1, d)
+                for j in np.unique(lot[of_d]).tolist():
+                    mine = lot[of_d] == j
+                    out.append((j, d, pack(ids[of_d[mine]], names[of_d[mine]], x[mine].reshape(-1))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["lot", "d", "payload"])
+
+    def dealt(df: DataFrame, parts: str) -> DataFrame:
+        x = df.select(size, "vec_id", "row", "v").join(plan_rows, "d")
+        lot = F.pmod(F.xxhash64("vec_id", "row"), F.col(parts)).cast("int")
+        return x.select(lot.alias("lot"), "d", "vec_id", "row", "v").mapInArrow(packed, "lot int, d int, payload binary").join(plan_rows, "d")
 
     # Queries: one row a (lot of queries, slice of input), sent to each block. Vectors: to their block.
-    asked = dealt(queries, lots).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "lot", "payload")
-    held = dealt(vectors, blocks).select(F.col("lot").alias("block"), F.lit(False).alias("asks"), "lot", "payload")
+    block_of = F.explode(F.sequence(F.col("base"), F.col("base") + F.col("blocks") - 1)).alias("block")
+    asked = dealt(queries, "lots").select(block_of, F.lit(True).alias("asks"), "d", "payload")
+    held = dealt(vectors, "blocks").select((F.col("base") + F.col("lot")).alias("block"), F.lit(False).alias("asks"), "d", "payload")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mine: dict[int, tuple[list, list]] = {}
+        mine: dict[tuple[int, int], tuple[list, list]] = {}
         for b in batches:
-            for block, asks, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)):
-                mine.setdefault(block, ([], []))[asks].append(unpack(raw.as_buffer()))
-        for vs, qs in mine.values():
+            for block, asks, d, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                mine.setdefault((block, d), ([], []))[asks].append(unpack(raw.as_buffer()))
+        for (_, d), (vs, qs) in mine.items():
             if not vs or not qs:
                 continue
-            ids = np.concatenate([a for a, _ in vs])
-            x = np.concatenate([v for _, v in vs]).reshape(-1, d).astype(kind)
+            (ids, names, x), (asked_ids, own, q) = ([np.concatenate([part[i] for part in side]) for i in range(3)] for side in (vs, qs))
+            x, q = x.reshape(-1, d).astype(kinds[d]), q.reshape(-1, d).astype(kinds[d])
             lists = block_lists(x)
-            asked_ids = np.concatenate([a for a, _ in qs])
-            asked_q = np.concatenate([v for _, v in qs]).reshape(-1, d).astype(kind)
-            for at in range(0, len(asked_ids), QUERY_ROWS):
-                part = asked_ids[at : at + QUERY_ROWS]
-                found = list(nra(x, ids, lists, asked_q[at : at + QUERY_ROWS], part, k))
-                if found:
-                    who = np.repeat(part[[i for i, _ in found]], [f.shape[1] for _, f in found])
-                    both = np.concatenate([f for _, f in found], axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(both[0].astype(np.int64)), pa.array(both[1].astype(np.int64))], ["query_id", "vec_id", "score"])
-
-    near = deal(asked.unionByName(held), blocks, "block").mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for at in range(0, len(own), QUERY_ROWS):
+                part = slice(at, at + QUERY_ROWS)
+                found = list(nra(x, ids, names, lists, q[part], own[part], k))
+                who = np.repeat(at + np.array([i for i, _ in found], np.int64), [f.shape[1] for _, f in found])
+                both = np.concatenate([f for _, f in found], axis=1).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (asked_ids[who], own[who], both[0], both[1])], ["query_id", "row", "vec_id", "score"])
+
+    near = deal(asked.unionByName(held), blocks, "block").mapInArrow(search, "query_id long, row long, vec_id long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id"))
     return near.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def search_embeddings(embeddings: DataFrame, every: int = 50, k: int = 5) -> DataFrame:
-    """The k best for each usable row whose vec_id is divisible by `every`, against all usable rows."""
+    """The k best for each usable row whose vec_id is divisible by `every`, against all other usable rows."""
     slim = pick(embeddings, "vec_id", "embedding").filter(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    vectors = stored(slim.select(F.col("vec_id").cast("long"), quantise(F.col("embedding")).alias("v")), "vectors")
-    queries = vectors.filter(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    return top_k(queries, vectors, k)
+    vectors = stored(slim.select(F.col("vec_id").cast("long"), F.monotonically_increasing_id().alias("row"), quantise(F.col("embedding")).alias("v")), "vectors")
+    return top_k(vectors.filter(F.col("vec_id") % every == 0), vectors, k)
