@@ -29,13 +29,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weftline.llm.arrays import U64, lower_ascii, mix64, slices, word_hashes, words
-from weftline.llm.common import partitions, pick, stored
+from weftline.llm.common import discard, pick, stored
 from weftline.llm.components import components
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
 SAMPLES = BANDS * ROWS
-#: Pivot rounds before the rest is compared in blocks, and members a block.
-ROUNDS, BLOCK = 3, 512
+#: Pivot rounds before the rest is compared in blocks, members a block, members of a band's group that one task joins, and
+#: parts into which every key is cut where the size of its group is not known yet.
+ROUNDS, BLOCK, LANE_ROWS, LANES = 3, 512, 1024, 16
 
 _SEED = mix64(np.arange(2 * SAMPLES, dtype=U64) + U64(0xA0761D6478BD642F))
 _FACTOR = _SEED[:SAMPLES] | U64(1)
@@ -168,6 +169,14 @@ def _block_links(members: DataFrame, limit: int, percent: int) -> DataFrame:
     return members.groupBy("key", "i", "j").applyInArrow(run, "a long, b long")
 
 
+def _beside(members: DataFrame, by_key: DataFrame) -> DataFrame:
+    """members (key, n, set_id, ...) joined with rows of their key (key, n, ...; n is the group's size in both). A large group is cut
+    into lanes, to each of which its key's row goes, so no task gets the whole of it."""
+    lanes = F.ceil(F.col("n") / LANE_ROWS).cast("int")
+    each = by_key.withColumn("lane", F.explode(F.sequence(F.lit(0), lanes - 1))).drop("n")
+    return members.withColumn("lane", F.pmod(F.xxhash64("set_id"), lanes).cast("int")).join(each, ["key", "lane"]).drop("lane")
+
+
 def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """set_id, comp of every class that shares a band with another; None if there is none."""
     classes = signed.filter(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -175,7 +184,9 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     # Bands with the same members say the same: one of them is kept.
     shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("set_id")).alias("who")).filter(F.col("n") > 1)
     shared = shared.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n")
-    groups = stored(keyed.join(shared, "key"), "groups")
+    lane = F.pmod(F.xxhash64("set_id"), F.lit(LANES)).cast("int")
+    each = shared.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    groups = stored(keyed.withColumn("lane", lane).join(each, ["key", "lane"]).select("key", "n", "set_id"), "groups")
     if groups.isEmpty():
         return None
     needed = stored(groups.select("set_id").distinct().join(classes.select("set_id", "doc_id", "sketch"), "set_id"), "needed")
@@ -184,38 +195,49 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     sets = stored(sets.join(needed.select("set_id", "sketch"), "set_id").dropDuplicates(["set_id"]), "sets")
     limit = sketch_limit(percent)
     labels = needed.select("set_id", F.col("set_id").alias("comp"))
-    links: DataFrame | None = None
 
     def merge(found: DataFrame) -> DataFrame:
-        nonlocal links
-        found = stored(found, "links")
-        links = found if links is None else links.unionByName(found)
-        return components(links, needed.select("set_id"))
+        """Labels after further links (a, b): only what they join is looked at again, components in place of their members."""
+        links = stored(found, "links")
+        of = lambda c: labels.select(F.col("set_id").alias(c), F.col("comp").alias(f"{c}_comp"))
+        edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
+        edges = stored(edges.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        discard(links)
+        if edges.isEmpty():
+            return labels
+        ends = edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct()
+        roots = components(edges, ends).select(F.col("set_id").alias("comp"), F.col("comp").alias("root"))
+        return stored(labels.join(roots, "comp", "left").select("set_id", F.coalesce("root", "comp").alias("comp")), "labels")
 
     def spanning() -> DataFrame:
         """Groups that span components, with each row's component and the group's largest one."""
         g = groups.join(labels, "set_id")
-        by = g.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-        most = by.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter(F.col("comps") > 1)
-        return g.join(most, "key")
+        by = g.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("c"))
+        most = by.groupBy("key", "n").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter(F.col("comps") > 1).drop("comps")
+        return stored(_beside(g, most), "spanning")
 
+    minor = F.col("comp") != F.col("main")
     for r in range(ROUNDS):
         # A pivot a group, a candidate a member: of its groups' pivots the first in an order of this round, so that members
         # of one family mostly meet the same pivot.
-        g = stored(spanning(), "spanning")
+        g = spanning()
+        if g.isEmpty():
+            return labels
         turn = F.xxhash64("set_id", F.lit(r))
-        pivot = g.filter(F.col("comp") == F.col("main")).groupBy("key").agg(F.min(F.struct(turn.alias("turn"), "set_id")).alias("p"))
-        pairs = g.filter(F.col("comp") != F.col("main")).join(pivot, "key").groupBy("set_id").agg(F.min("p").alias("p"))
+        pivot = g.filter(~minor).groupBy("key", "n").agg(F.min(F.struct(turn.alias("turn"), "set_id")).alias("p"))
+        pairs = _beside(g.filter(minor), pivot).groupBy("set_id").agg(F.min("p").alias("p"))
         x = pairs.select(F.col("set_id").alias("a"), F.col("p.set_id").alias("b"))
         x = x.join(sets.select(F.col("set_id").alias("a"), F.col("members").alias("x"), F.col("sketch").alias("sx")), "a")
         x = x.join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"), F.col("sketch").alias("sy")), "b").filter(_far(F.col("sx"), F.col("sy")) <= limit)
         both = F.size(F.array_intersect("x", "y")).cast("long")
         labels = merge(x.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
+        discard(g)
     # The rest: in each group that still spans components, the members outside its largest one against all, in blocks.
-    g = stored(spanning(), "spanning")
-    minor = F.col("comp") != F.col("main")
-    sizes = g.groupBy("key").agg(F.ceil(F.count_if(minor) / BLOCK).cast("int").alias("minors"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("alls"))
-    g = g.join(sizes, "key").select("key", "set_id", "comp", minor.alias("minor"), "minors", "alls", F.pmod(F.xxhash64("set_id"), F.col("minors")).cast("int").alias("mine"), F.pmod(F.xxhash64("set_id"), F.col("alls")).cast("int").alias("all"))
+    g = spanning()
+    if g.isEmpty():
+        return labels
+    sizes = g.groupBy("key", "n").agg(F.ceil(F.count_if(minor) / BLOCK).cast("int").alias("minors"), F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("alls"))
+    g = _beside(g, sizes).select("key", "set_id", "comp", minor.alias("minor"), "minors", "alls", F.pmod(F.xxhash64("set_id"), F.col("minors")).cast("int").alias("mine"), F.pmod(F.xxhash64("set_id"), F.col("alls")).cast("int").alias("all"))
     outer = g.filter("minor").select("key", "set_id", "comp", F.lit(True).alias("left"), F.col("mine").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"))
     inner = g.select("key", "set_id", "comp", F.lit(False).alias("left"), F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.col("all").alias("j"))
     return merge(_block_links(outer.unionByName(inner).join(sets, "set_id"), limit, percent))
