@@ -40,24 +40,16 @@ def later_windows(part: Segment, window: int) -> np.ndarray:
     index = FMIndex(s, len(used) + 2, window)
     begins = ragged(at, part.length - window + 1)
     segment = np.repeat(np.arange(count), part.length - window + 1)
-    out = []
-    # Place of each suffix, as a number that orders places; only starts of windows have one.
-    none = np.iinfo(np.int64).max
-    place = np.full(len(s), none)
-    place[begins] = part.place[segment] + begins - at[segment]
-    by_suffix = place[index.suffixes]
-    for i in range(0, len(begins), SEARCHED):
-        mine = begins[i : i + SEARCHED]
-        who, lo, hi = index.matches(s, mine, window)
-        if len(who):
-            spans, back = np.unique(lo, return_inverse=True)
-            end = np.zeros(len(spans), np.int64)
-            end[back] = hi
-            # Intervals of different windows are disjoint.
-            least = np.minimum.reduceat(np.append(by_suffix, none), np.stack((spans, end), 1).reshape(-1))[::2]
-            late = who[place[mine[who]] > least[back]]
-            out.append(mine[late] - segment[i + late])
-    return np.concatenate(out) if out else np.zeros(0, np.int64)
+    # Equal windows have one interval, different ones have disjoint intervals; each window of the index is searched, so the first
+    # place of a sequence is found among those with its interval, without locating suffixes.
+    found = [(i + who, lo) for i in range(0, len(begins), SEARCHED) for who, lo, _ in [index.matches(s, begins[i : i + SEARCHED], window)]]
+    who, lo = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in range(2))
+    place = part.place[segment[who]] + begins[who] - at[segment[who]]
+    order = np.lexsort((place, lo))
+    first = np.ones(len(order), bool)
+    first[1:] = lo[order][1:] != lo[order][:-1]
+    late = np.sort(who[order][place[order] > np.repeat(place[order][first], np.diff(np.append(np.flatnonzero(first), len(order))))])
+    return begins[late] - segment[late]
 
 
 def _symbols(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

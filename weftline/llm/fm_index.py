@@ -56,13 +56,14 @@ class FMIndex:
     """Index of a sequence of symbols 0 .. kinds - 1 that ends with a unique 0. Patterns up to `longest` symbols.
 
     Suffixes are sorted by their first symbols, longest + 1 of them at least, which is all that patterns of that length
-    can tell apart.
+    can tell apart. Their order is let go of once the transform is made: the index is the tree's bits (one a symbol and level,
+    and a count every 64) and a number a kind of symbol.
     """
 
     def __init__(self, symbols: np.ndarray, kinds: int, longest: int) -> None:
-        self.suffixes = double_ranks(symbols, longest + 1)
+        suffixes = double_ranks(symbols, longest + 1)
         self.first = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=kinds))))
-        self.tree = WaveletMatrix(symbols[self.suffixes - 1], kinds)
+        self.tree = WaveletMatrix(symbols[suffixes - 1], kinds)
         self.n = len(symbols)
 
     def step(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
