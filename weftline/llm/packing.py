@@ -42,7 +42,7 @@ KNOWN_LIMIT = 1 << 18
 #: Text bytes that are encoded at once.
 ENCODED_BYTES = 1 << 19
 #: Pairs of classes of bins that the local search looks at before it ends, about a minute of work.
-EFFORT = 3_000_000
+EFFORT = 1_500_000
 #: Rows that share a length are ranked in groups of about so many; groups are at most the distinct lengths plus MOST_LANES.
 LANE_ROWS, MOST_LANES = 256, 4096
 
