@@ -37,6 +37,8 @@ from weftline.llm.common import pick
 #: Characters of the sample a language, and of all; characters taken of one text; bytes of an identifier.
 SAMPLE_CHARS, TOTAL_CHARS, LONGEST_SAMPLE, MODEL_BYTES = 1_200_000, 48_000_000, 60_000, 64 << 20
 ORDER, MOST_SYMBOLS = 4, 4000
+#: Languages whose shares (a name and two numbers each) are broadcast.
+MOST_BROADCAST = 1 << 16
 UNDETERMINED = "und"
 #: Largest product of symbols for which n-grams index a table directly, and n-grams after which a worker's table starts anew.
 DIRECT, MOST_KNOWN = 1 << 24, 1 << 20
@@ -246,7 +248,10 @@ def _sample(labelled: DataFrame) -> list[tuple[str, str]]:
     # The draw goes by the text's hash, so copies are drawn together and merged: four times what is wanted, then cut exactly. A
     # language's text of least hash is in the sample whatever the draw gives.
     share = [(r["lang"], min(1.0, 4 * most / max(r["chars"], 1)) * (1 << 20), r["first"]) for r in sizes]
-    drawn = rows.join(rows.sparkSession.createDataFrame(share, "name string, share double, first long"), F.col("lang") == F.col("name"))
+    shares = rows.sparkSession.createDataFrame(share, "name string, share double, first long")
+    if len(share) <= MOST_BROADCAST:  # else the planner decides
+        shares = F.broadcast(shares)
+    drawn = rows.join(shares, F.col("lang") == F.col("name"))
     drawn = drawn.filter((F.pmod("order", F.lit(1 << 20)) < F.col("share")) | (F.col("order") == F.col("first"))).groupBy("lang", "order", "first", "text").agg(F.count(F.lit(1)).alias("copies"))
     upto = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("order", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     chosen = drawn.withColumn("upto", upto).filter((F.col("upto") <= most) | (F.col("order") == F.col("first"))).select("lang", "order", "text").collect()
