@@ -17,8 +17,10 @@ Nothing is broadcast but figures of the whole and the hot words, of which there
   3. histories: backoff weights, and with them the terms of the bigrams not seen;
   4. sums by document.
 
-The counts and the histories' sums are the model; they are written as tables partitioned by kind, one payload a bucket.
-Records travel packed (see exchange). Words are 48-bit hashes; log terms travel as fixed point, 2**-32 apart.
+The model is written as tables partitioned by kind, a payload a bucket: counts of words, counts of bigrams, totals and backoff
+weights of histories. KatzModel reads them back, and scores any texts from them alone. What a task keeps grows with the
+records that reach it, not with the corpus's documents. Records travel packed (see exchange). Words are 48-bit hashes; log
+terms travel as fixed point, 2**-32 apart.
 
 Defined cases: null text is empty and has the end token alone; a null doc_id counts as an empty identifier and is returned;
 repeated rows each count and are each returned; without training rows every token is the unknown word; an empty table gives
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm.arrays import U64, lower_ascii, mix64, slices, word_hashes, words
-from weftline.llm.common import partitions, pick, release, shared_dir
+from weftline.llm.common import delete, partitions, pick, release, shared_dir
 from weftline.llm.exchange import ROWS, at_keys, deal, differences, groups, pack, packed_rows, range_bucket, runs, unpack
 
 BEGIN, END, FIRST_WORD = 0, 1, 2
@@ -506,6 +508,8 @@ def train_and_score(docs: DataFrame) -> tuple[DataFrame, KatzModel]:
     weights = _weights(sums, d) if len(keys) else np.zeros(0)
     late = deal(union(rows(HISTORIES, UNSEEN)), n).mapInArrow(_back_off(n, figures, keys, weights, d), ROWS)
     late.write.partitionBy("kind").mode("append").option("compression", "none").parquet(path)
+    for kind in (HISTORIES, UNSEEN, HOT, COUNTS):  # what they say is in the weights, the sums and the figures now
+        delete(spark, f"{path}/kind={kind}")
     scores = deal(union(rows(DOCS, SUMS)), n).mapInArrow(_finish(figures, d), _OUT)
     return scores, KatzModel(path, figures, d, (keys, weights, sums[0]))
 

@@ -179,6 +179,20 @@ def _beside(members: DataFrame, by_key: DataFrame) -> DataFrame:
 
 def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """set_id, comp of every class that shares a band with another; None if there is none."""
+    made: list[DataFrame] = []
+    labels = _linked(signed, docs, k, percent, made)
+    if hasattr(labels, "stored_path"):  # nothing else is read again
+        discard(*(x for x in made if x is not labels))
+    return labels
+
+
+def _linked(signed: DataFrame, docs: DataFrame, k: int, percent: int, made: list[DataFrame]) -> DataFrame | None:
+    """link_classes; made gets the tables stored on the way."""
+
+    def keep(x: DataFrame, name: str) -> DataFrame:
+        made.append(stored(x, name))
+        return made[-1]
+
     classes = signed.filter(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     keyed = classes.select("set_id", F.explode("bands").alias("key"))
     # Bands with the same members say the same: one of them is kept.
@@ -186,13 +200,13 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
     shared = shared.groupBy("n", "who").agg(F.min("key").alias("key")).select("key", "n")
     lane = F.pmod(F.xxhash64("set_id"), F.lit(LANES)).cast("int")
     each = shared.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
-    groups = stored(keyed.withColumn("lane", lane).join(each, ["key", "lane"]).select("key", "n", "set_id"), "groups")
+    groups = keep(keyed.withColumn("lane", lane).join(each, ["key", "lane"]).select("key", "n", "set_id"), "groups")
     if groups.isEmpty():
         return None
-    needed = stored(groups.select("set_id").distinct().join(classes.select("set_id", "doc_id", "sketch"), "set_id"), "needed")
+    needed = keep(groups.select("set_id").distinct().join(classes.select("set_id", "doc_id", "sketch"), "set_id"), "needed")
     wanted = needed.select(F.col("doc_id").alias("rep")).distinct()
     sets = _sets(docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").select("doc_id", "text"), k)
-    sets = stored(sets.join(needed.select("set_id", "sketch"), "set_id").dropDuplicates(["set_id"]), "sets")
+    sets = keep(sets.join(needed.select("set_id", "sketch"), "set_id").dropDuplicates(["set_id"]), "sets")
     limit = sketch_limit(percent)
     labels = needed.select("set_id", F.col("set_id").alias("comp"))
 
@@ -201,20 +215,20 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         links = stored(found, "links")
         of = lambda c: labels.select(F.col("set_id").alias(c), F.col("comp").alias(f"{c}_comp"))
         edges = links.join(of("a"), "a").join(of("b"), "b").select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))
-        edges = stored(edges.filter(F.col("a") != F.col("b")).distinct(), "edges")
+        edges = keep(edges.filter(F.col("a") != F.col("b")).distinct(), "edges")
         discard(links)
         if edges.isEmpty():
             return labels
         ends = edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct()
         roots = components(edges, ends).select(F.col("set_id").alias("comp"), F.col("comp").alias("root"))
-        return stored(labels.join(roots, "comp", "left").select("set_id", F.coalesce("root", "comp").alias("comp")), "labels")
+        return keep(labels.join(roots, "comp", "left").select("set_id", F.coalesce("root", "comp").alias("comp")), "labels")
 
     def spanning() -> DataFrame:
         """Groups that span components, with each row's component and the group's largest one."""
         g = groups.join(labels, "set_id")
         by = g.groupBy("key", "n", "comp").agg(F.count(F.lit(1)).alias("c"))
         most = by.groupBy("key", "n").agg(F.max_by("comp", F.struct("c", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).filter(F.col("comps") > 1).drop("comps")
-        return stored(_beside(g, most), "spanning")
+        return keep(_beside(g, most), "spanning")
 
     minor = F.col("comp") != F.col("main")
     for r in range(ROUNDS):
@@ -231,7 +245,6 @@ def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> Da
         x = x.join(sets.select(F.col("set_id").alias("b"), F.col("members").alias("y"), F.col("sketch").alias("sy")), "b").filter(_far(F.col("sx"), F.col("sy")) <= limit)
         both = F.size(F.array_intersect("x", "y")).cast("long")
         labels = merge(x.filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b"))
-        discard(g)
     # The rest: in each group that still spans components, the members outside its largest one against all, in blocks.
     g = spanning()
     if g.isEmpty():
