@@ -35,7 +35,7 @@ from weftline.llm.components import components
 BANDS, ROWS, SKETCH_BITS = 32, 4, 1024
 SAMPLES = BANDS * ROWS
 #: Pivot rounds before the rest is compared in blocks, members a block, members of a band's group that one task joins, and
-#: parts into which every key is cut where the size of its group is not known yet.
+#: parts into which every band or component is cut where the size of its group is not known.
 ROUNDS, BLOCK, LANE_ROWS, LANES = 3, 512, 1024, 16
 
 _SEED = mix64(np.arange(2 * SAMPLES, dtype=U64) + U64(0xA0761D6478BD642F))
@@ -177,6 +177,13 @@ def _beside(members: DataFrame, by_key: DataFrame) -> DataFrame:
     return members.withColumn("lane", F.pmod(F.xxhash64("set_id"), lanes).cast("int")).join(each, ["key", "lane"]).drop("lane")
 
 
+def _by_component(members: DataFrame, by_comp: DataFrame, how: str) -> DataFrame:
+    """members (set_id, comp, ...) joined with rows of their component (comp, ...): every component is cut into lanes, since one may
+    have most of the members."""
+    each = by_comp.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(LANES - 1))))
+    return members.withColumn("lane", F.pmod(F.xxhash64("set_id"), F.lit(LANES)).cast("int")).join(each, ["comp", "lane"], how).drop("lane")
+
+
 def link_classes(signed: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame | None:
     """set_id, comp of every class that shares a band with another; None if there is none."""
     made: list[DataFrame] = []
@@ -221,7 +228,7 @@ def _linked(signed: DataFrame, docs: DataFrame, k: int, percent: int, made: list
             return labels
         ends = edges.select(F.col("a").alias("set_id")).union(edges.select("b")).distinct()
         roots = components(edges, ends).select(F.col("set_id").alias("comp"), F.col("comp").alias("root"))
-        return keep(labels.join(roots, "comp", "left").select("set_id", F.coalesce("root", "comp").alias("comp")), "labels")
+        return keep(_by_component(labels, roots, "left").select("set_id", F.coalesce("root", "comp").alias("comp")), "labels")
 
     def spanning() -> DataFrame:
         """Groups that span components, with each row's component and the group's largest one."""
@@ -284,9 +291,11 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = 5, percent: int =
     rows, labels = _labelled(slim, words_per_shingle, percent)
     # A class outside every group is its own component; component ids are taken from classes, not from all rows.
     reps = rows.filter(F.col("n_shingles") > 0).groupBy("set_id").agg(F.min("doc_id").alias("rep"))
-    named = reps.join(labels, "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-    least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = named.join(least, "comp").select("set_id", "component_id")
+    named = reps.join(labels, "set_id", "left")
+    linked = named.filter(F.col("comp").isNotNull())
+    least = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    alone = named.filter(F.col("comp").isNull()).select("set_id", F.col("rep").alias("component_id"))
+    named = _by_component(linked, least, "inner").select("set_id", "component_id").unionByName(alone)
     out = rows.join(named, "set_id", "left")
     own = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
