@@ -282,6 +282,44 @@ def test_a_common_line_fills_no_index(spark):
     assert {i: n for i, n in got.items() if n} == {0: 350, 16000: 350, 1: 350, 16001: 350}
 
 
+@pytest.mark.parametrize("first_stays", [False, True])
+def test_copies_fill_no_index(spark, first_stays):
+    """Anchors whose segments are all equal are answered without an index; beside an unlike one they go into it."""
+    from weftline.llm.arrays import BYTE_VALUES
+    from weftline.llm.repeats import Kind, take_out_repeats
+    from weftline.llm.suffix_dedup import _symbols, kept_bytes, later_windows, repeated_windows
+
+    rng = random.Random(9)
+    noise = lambda n: "".join(rng.choices("abcdefgh ", k=n))
+    texts = [noise(900) for _ in range(12)]
+    kind = lambda solve: Kind(200, 100, _symbols, lambda s: BYTE_VALUES[s], solve, first_stays, kept_bytes, "doc_id long, text string, n_bytes long, n_removed long, n_spans long, kept binary")
+    plain = lambda b: b.decode()
+
+    def found(data, solve):
+        docs = spark.createDataFrame(data, "doc_id long, text string").repartition(4)
+        return sorted((r.doc_id, bytes(r.kept).decode()) for r in take_out_repeats(docs, kind(solve)).collect())
+
+    def expected(data):
+        if first_stays:
+            return sorted((r[0], left) for r, (left, _) in zip(data, brute.later_byte_repeats(data, 200)))
+        return sorted((r[0], r[4]) for r in brute.byte_repeats(data, 200, plain))
+
+    def refuse(part, window):
+        raise ValueError(f"{len(part.start)} segments in an index")
+
+    data = [(i, texts[i % 12]) for i in range(36)]
+    assert found(data, refuse) == expected(data)
+    data += [(50 + i, t[:450] + noise(300)) for i, t in enumerate(texts[:6])] + [(60, noise(900))]
+    most = sum(len(t) - 200 + 1 for t in texts)
+
+    def few(part, window):
+        if sum(part.length - window + 1) > most // 2:
+            raise ValueError(f"{len(part.start)} segments in an index")
+        return (later_windows if first_stays else repeated_windows)(part, window)
+
+    assert found(data, few) == expected(data)
+
+
 def unlike_twins(size=4096):
     """Two Thue-Morse words, unlike at every letter: polynomial hashes modulo powers of two take them for equal."""
     bits = [bin(i).count("1") & 1 for i in range(size)]

@@ -12,6 +12,9 @@ segments with equal anchors can hold equal windows, so segments are dealt into s
      count as copies there;
   5. blocks mark what the answers cover and take it out.
 
+An anchor whose segments are all equal needs no index: its windows differ from each other and from all others, so its
+segments are copies and no more. Their content is not sent; what the index holds are anchors of unlike segments.
+
 An anchor with so many distinct segments that they fill an index is hot: blocks cut its segments into their windows and
 deal those by their own 64-bit hashes, so that only equal windows meet and no index holds more than two times INDEX_SYMBOLS.
 
@@ -40,8 +43,9 @@ INDEX_SYMBOLS = 1 << 20
 #: In answers: the whole segment is covered.
 ALL = np.uint32(0xFFFFFFFF)
 BLOCKS, PLACES, ASKED, WANTED, SENT, ANSWERS, ALONE = range(7)
-#: In step 2, beside 0 and 1 for contents to be provided: the segment's windows are to be sent one by one.
-HOT = 2
+#: In step 2, beside 0 and 1 for contents to be provided: the segment's windows are to be sent one by one; all segments of the
+#: anchor are equal.
+HOT, EQUAL = 2, 3
 
 Symbols = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
@@ -54,23 +58,30 @@ def find_segments(sums: np.ndarray, lanes: Lanes, off: np.ndarray, window: int,
     if not count.sum():
         z = np.zeros(0, np.int64)
         return z, z, z, z.view(U64), z.view(U64)
-    head = n - gram + 1
-    inverse = powers(n + 1)[1]
+    head, places = n - gram + 1, n - window + 1
     # The least gram of each run of span grams, the last of equals: hash above, position below.
-    key = mix64((sums[gram:] - sums[:head]) * inverse[:head])
-    key = (key & U64(0xFFFFFFFF00000000)) | (U64(0xFFFFFFFF) - np.arange(head, dtype=U64))
-    pad = -head % span
-    table = np.concatenate((key, np.full(pad, ~U64(0)))).reshape(-1, span)
+    key = sums[gram:] - sums[:head]
+    key *= powers(n + 1)[1][:head]
+    key = mix64(key)
+    key &= U64(0xFFFFFFFF00000000)
+    key |= np.arange(0xFFFFFFFF, 0xFFFFFFFF - head, -1).view(U64)
+    table = np.concatenate((key, np.full(-head % span, ~U64(0)))).reshape(-1, span)
     before = np.minimum.accumulate(table, axis=1).reshape(-1)
     after = np.minimum.accumulate(table[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    start = ragged(off[:-1], count)
-    low = np.minimum(after[start], before[start + span - 1])
-    anchor = (U64(0xFFFFFFFF) - (low & U64(0xFFFFFFFF))).astype(np.int64)
-    doc = np.repeat(np.arange(len(sizes)), count)
-    at = groups(anchor, doc)
-    last = np.append(at[1:], len(start)) - 1
-    begin, end, a = start[at], start[last] + window, anchor[at]
-    return doc[at], begin, end - begin, *_segment_keys(sums, lanes, begin, end - begin, a, gram)
+    low = np.minimum(after[:places], before[span - 1 : span - 1 + places])
+    # Runs of one anchor, cut where windows of a text begin and where they would leave it.
+    new = np.ones(places, bool)
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    edges = np.concatenate((off[:-1], off[:-1] + count))
+    new[edges[edges < places]] = True
+    at = np.flatnonzero(new)
+    last = np.append(at[1:], places) - 1
+    doc = np.searchsorted(off, at, "right") - 1
+    inside = at < off[doc] + count[doc]
+    doc, begin, last = doc[inside], at[inside], last[inside]
+    a = (U64(0xFFFFFFFF) - (low[begin] & U64(0xFFFFFFFF))).astype(np.int64)
+    size = last + window - begin
+    return doc, begin, size, *_segment_keys(sums, lanes, begin, size, a, gram)
 
 
 def _segment_keys(sums: np.ndarray, lanes: Lanes, begin: np.ndarray, size: np.ndarray, at: np.ndarray, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -171,8 +182,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, pa.Buff
 
 
 def _want(n: int, most: int):  # noqa: ANN202
-    """Step 2: of a shard's anchors, those that occur more than once; the first block that has a content provides it. Anchors
-    of more than `most` distinct segments are hot."""
+    """Step 2: of a shard's anchors, those that occur more than once; the first block that has a content provides it, unless all of
+    the anchor's are equal. Anchors of more than `most` distinct segments are hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [(block, unpack(raw)) for _, block, raw in _read(batches)]
@@ -192,7 +203,9 @@ def _want(n: int, most: int):  # noqa: ANN202
         keep = np.repeat(times > 1, size)
         provide = np.zeros(len(anchor), np.uint8)
         provide[groups(anchor, content)] = 1
-        provide[np.repeat(np.add.reduceat(provide, at, dtype=np.int64) > most, size)] = HOT
+        distinct = np.add.reduceat(provide, at, dtype=np.int64)
+        provide[np.repeat(distinct == 1, size)] = EQUAL
+        provide[np.repeat(distinct > most, size)] = HOT
         source, index, provide = source[keep], index[keep], provide[keep]
         order = np.lexsort((index, source))
         source, index, provide = source[order], index[order], provide[order]
@@ -231,6 +244,16 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
             index, provide = (np.concatenate([w[i] for w in wanted]) for i in (0, 1))
             order = np.argsort(index)
             index, provide = index[order], provide[order]
+            out = []
+            if not kind.first_stays:  # else the first place is still to be found
+                equal = index[provide == EQUAL]
+                if len(equal):
+                    none = np.zeros(0, np.uint32)
+                    out.append((ANSWERS, block % n, block, pack(equal, np.full(len(equal), ALL), none, none)))
+                index, provide = index[provide != EQUAL], provide[provide != EQUAL]
+                if not len(index):
+                    yield packed_rows(out)
+                    continue
             step, length, which, first, doc = unpack(held[PLACES][0])
             start = np.cumsum(step, dtype=np.int64)
             rows = from_bytes(held[BLOCKS][0])
@@ -257,10 +280,10 @@ def _send(kind: Kind, n: int, key: str, text: str):  # noqa: ANN202
                 alone.append(_windows(kind, lanes, hot, s[hot] - first_at, size[hot]))
                 del sums, lanes
             ids, null = _names(rows.combine_chunks().to_batches()[0], key)
-            out = _send_windows(kind, n, block, alone, index, s, np.minimum(times[index], 2), ids[d], null[d], tie[d], off[d])
+            out += _send_windows(kind, n, block, alone, index, s, np.minimum(times[index], 2), ids[d], null[d], tie[d], off[d])
             cold = ~is_hot
             index, provide, s, size, d, anchor, content = (x[cold] for x in (index, provide, s, size, d, anchor, content))
-            provide = provide.astype(bool)
+            provide = provide == 1
             where = range_bucket(anchor, n)
             order = np.argsort(where, kind="stable")
             for k, i, j in runs(where[order]):
@@ -357,7 +380,10 @@ def _answer(kind: Kind, n: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got, alone = [], []
         for what, block, raw in _read(batches):
-            (alone if what == ALONE else got).append((block, unpack(raw)))
+            if what == ANSWERS:
+                yield packed_rows([(ANSWERS, block % n, block, raw.to_pybytes())])
+            else:
+                (alone if what == ALONE else got).append((block, unpack(raw)))
         if alone:
             yield packed_rows(_repeated_windows(alone, kind, n))
             alone.clear()
@@ -367,7 +393,8 @@ def _answer(kind: Kind, n: int):  # noqa: ANN202
         source = np.repeat(np.arange(len(got)), [len(x[0]) for _, x in got])
         index, anchor, content, times, provide, ids, null, tie, at_doc = (np.concatenate([x[i] for _, x in got]) for i in range(9))
         sizes = np.concatenate([x[9] for _, x in got])
-        symbols = np.concatenate([np.cumsum(x[10], dtype=U64)[x[11]] if len(x[10]) else x[11] for _, x in got if len(x[11])])
+        symbols = [np.cumsum(x[10], dtype=U64)[x[11]] if len(x[10]) else x[11] for _, x in got if len(x[11])]
+        symbols = np.concatenate(symbols) if symbols else np.zeros(0, np.uint8)
         given = np.flatnonzero(provide)
         upto = np.concatenate(([0], np.cumsum(sizes.astype(np.int64))))
         text_of = np.full(len(index), -1)
@@ -383,21 +410,22 @@ def _answer(kind: Kind, n: int):  # noqa: ANN202
         rank = np.empty(len(at), np.int64)  # places of the first members, as numbers; windows of a document stay in its order
         by_place = np.lexsort((at_doc[leader], blocks[source[leader]], tie[leader], ids[leader], null[leader]))
         same = (source[leader][by_place][1:] == source[leader][by_place][:-1]) & (ids[leader][by_place][1:] == ids[leader][by_place][:-1]) & (tie[leader][by_place][1:] == tie[leader][by_place][:-1]) & (null[leader][by_place][1:] == null[leader][by_place][:-1])
-        longest = int(at_doc.max()) + int(sizes.max()) + 2
+        longest = int(at_doc.max()) + int(sizes.max(initial=0)) + 2
         # Another document's number lies beyond every start of the one before.
         base = np.cumsum(np.concatenate(([0], ~same))) * longest if len(at) else np.zeros(0, np.int64)
         rank[by_place] = base + at_doc[leader][by_place]
-        size = sizes.astype(np.int64)[text]
-        # Indexes of bounded size; an anchor's segments stay together (hot anchors have none here).
-        new_anchor = np.ones(len(at), bool)
-        new_anchor[1:] = anchor[leader][1:] != anchor[leader][:-1]
+        # Indexes of bounded size; an anchor's segments stay together (hot anchors have none here, those of equal segments no content).
+        unlike = np.flatnonzero(text >= 0)
+        size = sizes.astype(np.int64)[text[unlike]]
+        new_anchor = np.ones(len(unlike), bool)
+        new_anchor[1:] = anchor[leader[unlike]][1:] != anchor[leader[unlike]][:-1]
         total = np.cumsum(size)
         lot = np.maximum.accumulate(np.where(new_anchor, (total - size) // INDEX_SYMBOLS, 0))
         covered_s, covered_e, covered_of = [], [], []
-        for lot_at, lot_to in zip(*(lambda c: (c, np.append(c[1:], len(at))))(groups(lot))):
-            pick = np.arange(lot_at, lot_to)
-            begin = np.cumsum(size[pick]) - size[pick]
-            part = Segment(symbols[ragged(upto[text[pick]], size[pick])], begin, size[pick], copies[pick], rank[pick])
+        for lot_at, lot_to in zip(*(lambda c: (c, np.append(c[1:], len(unlike))))(groups(lot))):
+            pick, length = unlike[lot_at:lot_to], size[lot_at:lot_to]
+            begin = np.cumsum(length) - length
+            part = Segment(symbols[ragged(upto[text[pick]], length)], begin, length, copies[pick], rank[pick])
             hit = kind.solve(part, kind.window)
             if len(hit):
                 of = np.searchsorted(begin, hit, "right") - 1
